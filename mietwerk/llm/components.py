@@ -37,30 +37,33 @@ def fold(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(_forest, EDGE)
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two edges up, or is both a member and a root."""
+    out = edges.select(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    into = edges.select(F.col("dst").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = out.unionByName(into).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Node and smallest node of its component, for every node of `edges` (src, dst long, not null).
 
     Alternates large-star and small-star rounds, each an aggregation with map-side partial minima and a
     join that adaptive execution can split when a hub is hot. Every round's table is written to the shared
-    folder. Rounds stop when the edge set no longer changes; only a count and a checksum reach the driver.
+    folder. Rounds stop when all edges form stars; only that answer reaches the driver.
     Edges of equal ends and repeated edges change nothing; an empty table gives an empty one.
     """
     now = scratch.write(fold(edges).where("src <> dst").distinct())
-    state = None
-    while True:
+    while _unfinished(now):
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
         large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         # every edge now points from the larger to the smaller end
-        low2 = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low2, "src").select(F.explode(F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("e")).select("e.*").where("src <> dst")
+        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        ends = F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))
+        small = large.join(low, "src").select(F.explode(ends).alias("e")).select("e.*").where("src <> dst")
         new = scratch.write(small.distinct())
-        was, state = state, new.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.countDistinct("src")).first()
         scratch.drop(now)
         now = new
-        # each source has one edge and nothing changed: all are stars
-        if state == was:
-            break
-    members = now.groupBy("src").agg(F.min("dst").alias("component"))
-    roots = now.select(F.col("dst").alias("src"), F.col("dst").alias("component")).distinct()
-    return members.unionByName(roots).withColumnRenamed("src", "node").distinct()
+    roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
