@@ -171,23 +171,3 @@ class UnionFind:
         pairs = [(x, self.find(x)) for x in list(self.parent)]
         pairs = [(x, r) for x, r in pairs if x != r]
         return [x for x, _ in pairs], [r for _, r in pairs]
-
-
-def small_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest member of each component of a local graph on 0..n-1."""
-    label = np.arange(n)
-    while len(left):
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = new[new]
-        while True:
-            again = new[new]
-            if np.array_equal(again, new):
-                break
-            new = again
-        label = new[label]
-        keep = label[left] != label[right]
-        left, right = left[keep], right[keep]
-    return label
