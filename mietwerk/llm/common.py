@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task hashes at once; larger single texts are hashed alone.
 SLICE_BYTES = 1 << 20
@@ -171,3 +173,55 @@ class UnionFind:
         pairs = [(x, self.find(x)) for x in list(self.parent)]
         pairs = [(x, r) for x, r in pairs if x != r]
         return [x for x, _ in pairs], [r for _, r in pairs]
+
+
+#: Bits of a Bloom filter and of one of its parts (fixed: 4 MB in 128 parts), and hashes a key.
+FILTER_BITS, FILTER_PART, FILTER_HASHES = 1 << 25, 1 << 18, 4
+
+
+def _filter_bits(keys: np.ndarray) -> np.ndarray:
+    h = mix(keys.view(np.uint64))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + step * np.uint64(i)) & np.uint64(FILTER_BITS - 1) for i in range(FILTER_HASHES)]).astype(np.int64)
+
+
+def maybe(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows of `df` whose long `key` may be among `members` (one long column); a join must follow."""
+    return df.where(F.col(key).isNotNull() & may_hold(members)(key))
+
+
+def may_hold(members: DataFrame) -> Callable[[str], Column]:
+    """A test of a long column: false only for values that are not among `members` (one long column).
+
+    A Bloom filter of a fixed 4 MB, built part by part on the executors, keeps rows out of that join's
+    shuffle. However many members there are, its size is the same; when it is full it lets all rows pass.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            seen[_filter_bits(batch.column(0).to_numpy()).ravel()] = True
+        used = [p for p in range(FILTER_BITS // FILTER_PART) if seen[p * FILTER_PART : (p + 1) * FILTER_PART].any()]
+        bits = [np.packbits(seen[p * FILTER_PART : (p + 1) * FILTER_PART]).tobytes() for p in used]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(FILTER_PART // 8, np.uint8)
+        for b in table.column("bits").to_pylist():
+            total |= np.frombuffer(b, np.uint8)
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
+
+    spark = members.sparkSession
+    few = members.coalesce(max(1, min(default_partitions(spark), 24)))
+    made = few.mapInArrow(parts, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in made:
+        bits[r["part"] * FILTER_PART // 8 : (r["part"] + 1) * FILTER_PART // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        at = _filter_bits(np.ascontiguousarray(keys.fillna(0).to_numpy(np.int64)))
+        return pd.Series((((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) == 1).all(0))
+
+    return hit

@@ -15,6 +15,7 @@ from mietwerk.llm.common import (
     default_partitions,
     interval_hash,
     lower_ascii,
+    maybe,
     mix,
     prefix_hash,
     slices,
@@ -76,8 +77,6 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, coordinates: int = COORDI
     for j in range(coordinates):
         np.bitwise_xor(low, xor[j], out=work)
         np.multiply(work, times[j], out=work)
-        np.bitwise_xor(work, work >> np.uint32(15), out=work)
-        np.multiply(work, np.uint32(0x2C1B3C6D), out=work)
         out[:, j] = np.minimum.reduceat(work, starts) if len(starts) else 0
     return out
 
@@ -131,7 +130,7 @@ def _linkable(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndar
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of one long posting list that agree on enough coordinates.
 
     Breadth-first: every row is compared, tile by tile, only with rows that are in no component yet, so that
@@ -149,7 +148,7 @@ def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: i
                 if not len(rest):
                     break
                 at = left[rest]
-                same = np.count_nonzero(short[at] == short[i], axis=1) >= MATCHES
+                same = np.count_nonzero(short[at] == short[i], axis=1) >= matches
                 hit = rest[same & _linkable(sizes[at], sizes[i : i + 1], percent)]
                 if len(hit):
                     keep[hit] = False
@@ -162,8 +161,12 @@ def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: i
     return np.concatenate(src), np.concatenate(dst)
 
 
-def _edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidate edges of posting lists that arrive sorted by key."""
+def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCHES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A forest of candidate edges from postings sorted by key: key, id, size, short (`width` bytes, or a long).
+
+    A pair of one posting list is a candidate if at least `matches` of its `width` bytes agree and the sizes
+    don't rule a link out. Each task folds what it finds into a forest.
+    """
 
     def lists(key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, uf: UnionFind) -> None:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -177,11 +180,11 @@ def _edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for a in range(0, len(i), 100_000):
                 own = i[a : a + 100_000]
                 own = own[_linkable(sizes[own], sizes[own + d], percent)]
-                own = own[np.count_nonzero(short[own] == short[own + d], axis=1) >= MATCHES]
+                own = own[np.count_nonzero(short[own] == short[own + d], axis=1) >= matches]
                 for x, y in zip(ids[own].tolist(), ids[own + d].tolist(), strict=True):
                     uf.union(x, y)
         for s, n in zip(start[long].tolist(), length[long].tolist(), strict=True):
-            src, dst = _run_edges(ids[s : s + n], sizes[s : s + n], short[s : s + n], percent)
+            src, dst = _run_edges(ids[s : s + n], sizes[s : s + n], short[s : s + n], percent, matches)
             for x, y in zip(src.tolist(), dst.tolist(), strict=True):
                 uf.union(x, y)
 
@@ -189,7 +192,9 @@ def _edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         uf = UnionFind()
         held: list[np.ndarray] | None = None
         for batch in batches:
-            short = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            packed = batch.column(3)
+            data = np.ascontiguousarray(packed.to_numpy()).view(np.uint8) if pa.types.is_integer(packed.type) else np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+            short = data.reshape(-1, width)
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), short]
             if not len(short):
                 continue
@@ -316,7 +321,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     sets = sketched.groupBy("print_a", "print_b", "n_shingles").agg(F.min("_row").alias("id"), F.first("signature").alias("signature"))
     heads = scratch.write(sets)
     postings = heads.select("id", "n_shingles", "signature").mapInArrow(_posting_rows, "key long, id long, size int, short binary")
-    merged = postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_edges(percent), "src long, dst long")
+    merged = postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(candidate_edges(percent), "src long, dst long")
     clouds = scratch.write(connected_components(merged, scratch).withColumnRenamed("component", "cloud"))
     sizes = clouds.groupBy("cloud").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -324,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     # of more than one block, each pair of different blocks holds all pairs within them too
     other = F.when(F.col("blocks") == 1, F.array("block")).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
     dealt = placed.withColumn("other", F.explode(other)).select("cloud", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("_row"))
-    texts = dealt.join(rows, "_row")
+    texts = dealt.join(maybe(rows, "_row", clouds.select("node")), "_row")
     ordered = texts.select("cloud", "low", "high", "_row", "text").repartition(parts, "cloud", "low", "high").sortWithinPartitions("cloud", "low", "high", "_row")
     links = scratch.write(ordered.mapInArrow(_confirm(size, percent), "src long, dst long"))
     final = connected_components(links, scratch)

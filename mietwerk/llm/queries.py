@@ -46,6 +46,12 @@ from f group by conv_id
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mietwerk.llm.near_dup import near_duplicates
 
@@ -71,6 +77,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe": op7_bpe,
