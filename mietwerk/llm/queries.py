@@ -46,6 +46,12 @@ from f group by conv_id
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.toxicity import toxicity_query
+
+    return toxicity_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mietwerk.llm.line_dedup import dedup_lines
 
@@ -58,6 +64,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.quality import quality_query
+
+    return quality_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,8 +89,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_quality": op5_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe": op7_bpe,
 }
