@@ -87,6 +87,51 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe_decode(bpe_encode(_read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN), vocabulary))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.topk import top_k_vectors
+
+    return top_k_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+with c as (
+  select vec_id, list_transform(range(1, 65), lambda i: embedding[i] > 0) as bits
+  from embeddings
+), d as (
+  select q.vec_id as query_id, r.vec_id, list_count(list_filter(list_zip(q.bits, r.bits), lambda z: z[1] <> z[2]))::int as distance
+  from c q join c r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id
+), k as (
+  select query_id, (row_number() over (partition by query_id order by distance, vec_id))::int as rank, vec_id, distance from d
+)
+select query_id, rank, vec_id, distance from k where rank <= 10
+"""
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.vector_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+with recursive u as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+), n as (
+  select vec_id, label, v, sqrt(list_dot_product(v, v)) as r from u
+), e as (
+  select a.vec_id as src, b.vec_id as dst from n a join n b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.v, b.v) / (a.r * b.r) >= 0.98
+), reach as (
+  select vec_id as src, vec_id as dst from embeddings
+  union select r.src, e.dst from reach r join e on r.dst = e.src
+), c as (
+  select src as vec_id, min(dst) as component_id from reach group by src
+)
+select c.vec_id, coalesce(l.n, 0)::bigint as n_links, c.component_id, c.vec_id = c.component_id as kept
+from c left join (select src, count(*) as n from e group by src) l on l.src = c.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe": op7_bpe,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}
