@@ -31,8 +31,6 @@ MATCHES = 38
 PREFIX = COORDINATES - MATCHES + 1
 #: Documents of a cloud that one task compares; larger clouds are compared block by block.
 BLOCK = 4096
-#: Rows compared at once within a posting list.
-TILE = 512
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,35 +128,45 @@ def _linkable(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndar
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal bytes of rows of 64-bit words."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    x = a ^ b
+    return np.bitwise_count(~(((x & low) + low) | x | low)).sum(1)
+
+
+def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: int, matches: int) -> tuple[list[int], list[int]]:
     """A spanning forest of the pairs of one long posting list that agree on enough coordinates.
 
-    Breadth-first: every row is compared, tile by tile, only with rows that are in no component yet, so that
-    a family of copies costs one pass for each row and emits one edge for each.
+    Breadth-first in order of size: each row is compared once with those rows of a linkable size that are in
+    no component yet, so a family of copies emits one edge a row.
     """
-    left = np.arange(len(ids))
-    src, dst = [], []
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            tile, front = front[:TILE], front[TILE:]
-            keep = np.ones(len(left), bool)
-            for i in tile.tolist():
-                rest = np.flatnonzero(keep)
-                if not len(rest):
-                    break
-                at = left[rest]
-                same = np.count_nonzero(short[at] == short[i], axis=1) >= matches
-                hit = rest[same & _linkable(sizes[at], sizes[i : i + 1], percent)]
-                if len(hit):
-                    keep[hit] = False
-                    src.append(ids[left[hit]])
-                    dst.append(np.full(len(hit), ids[i]))
-                    front = np.concatenate([front, left[hit]])
-            left = left[keep]
-    if not src:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(src), np.concatenate(dst)
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, short = ids[order], sizes[order].astype(np.int64), short[order]
+    free = np.ones(len(ids), bool)
+    src, dst, queue = [], [], []
+    first = 0
+    while True:
+        if not queue:
+            while first < len(ids) and not free[first]:
+                first += 1
+            if first == len(ids):
+                return src, dst
+            free[first] = False
+            queue.append((ids[first], int(sizes[first]), short[first].copy()))
+        who, size, own = queue.pop()
+        low = np.searchsorted(sizes, -(-size * percent // 100))
+        high = np.searchsorted(sizes, size * 100 // percent, side="right") if percent else len(sizes)
+        low = max(int(low), first)
+        at = low + np.flatnonzero((_agreements(short[low:high], own) >= matches) & free[low:high])
+        for i in at.tolist():
+            src.append(int(ids[i]))
+            dst.append(int(who))
+            queue.append((ids[i], int(sizes[i]), short[i].copy()))
+        free[at] = False
+        if len(at) and 2 * (left := int(free[first:].sum())) < len(ids) - first and len(ids) > 256:
+            keep = np.flatnonzero(free)
+            ids, sizes, short, free, first = ids[keep], sizes[keep], short[keep], np.ones(left, bool), 0
 
 
 def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCHES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -180,12 +188,12 @@ def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCH
             for a in range(0, len(i), 100_000):
                 own = i[a : a + 100_000]
                 own = own[_linkable(sizes[own], sizes[own + d], percent)]
-                own = own[np.count_nonzero(short[own] == short[own + d], axis=1) >= matches]
+                own = own[_agreements(short[own], short[own + d]) >= matches]
                 for x, y in zip(ids[own].tolist(), ids[own + d].tolist(), strict=True):
                     uf.union(x, y)
         for s, n in zip(start[long].tolist(), length[long].tolist(), strict=True):
             src, dst = _run_edges(ids[s : s + n], sizes[s : s + n], short[s : s + n], percent, matches)
-            for x, y in zip(src.tolist(), dst.tolist(), strict=True):
+            for x, y in zip(src, dst, strict=True):
                 uf.union(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +201,8 @@ def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCH
         held: list[np.ndarray] | None = None
         for batch in batches:
             packed = batch.column(3)
-            data = np.ascontiguousarray(packed.to_numpy()).view(np.uint8) if pa.types.is_integer(packed.type) else np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
-            short = data.reshape(-1, width)
+            data = np.ascontiguousarray(packed.to_numpy()).view(np.uint64) if pa.types.is_integer(packed.type) else np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
+            short = data.reshape(-1, width // 8)
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), short]
             if not len(short):
                 continue
