@@ -132,6 +132,12 @@ from c left join (select src, count(*) as n from e group by src) l on l.src = c.
 """
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.html_extract import extract_pages
+
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}
