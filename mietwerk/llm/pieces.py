@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that make a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 #: Code points that Java's tables may class otherwise than the tokenizer's, and the mark itself.
 UNSURE = r"[\x00\p{Cn}]"
 
