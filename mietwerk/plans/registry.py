@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from mietwerk.plans import listing_queries, state_queries
+
+_MODULES = (listing_queries, state_queries)
+FLAGSHIP = "price_cuts"
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
