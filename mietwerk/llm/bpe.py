@@ -155,7 +155,9 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         table = {i: t for t, i in ranks.value.items()}
         for batch in batches:
             ids = batch.column(1)
-            found = [None if x is None else b"".join([table[i] for i in x]) for x in ids.to_pylist()]
+            flat, ends, known = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+            # one text at a time: Python numbers of a whole batch would take ten times its memory
+            found = [b"".join(map(table.__getitem__, flat[a:b].tolist())) if k else None for a, b, k in zip(ends[:-1], ends[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(found, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, ENCODED + ", bytes binary")
