@@ -258,7 +258,7 @@ ORACLES = {
     "claims_by_kind": _sql(_ADVERTS + " select kind, count(*) as n, count(distinct claim) as claims from d group by kind"),
     "vetoed_pairs": _sql(_PAIRS + " select * from j"),
     "best_matches": _sql(_PAIRS + ", b as (select later, min((case kind when 'url' then 4 when 'sem' then 5 else 8 end, earlier)) as m from j where veto = '' group by later) select later, m[2] as earlier, case m[1] when 4 then 'url' when 5 then 'sem' else 'tps' end as kind from b"),
-    "entity_groups": _sql(_PAIRS.replace("with a as", "with recursive a as", 1) + """, b as (select later, min((case kind when 'url' then 4 when 'sem' then 5 else 8 end, earlier)) as m from j where veto = '' group by later),
+    "entity_groups": _sql(_PAIRS + """, b as (select later, min((case kind when 'url' then 4 when 'sem' then 5 else 8 end, earlier)) as m from j where veto = '' group by later),
       up as (select later as id, m[2] as root from b union all select up.id, b.m[2] from up join b on b.later = up.root),
       top as (select id, root from up where root not in (select later from b)),
       k as (select a.*, coalesce(top.root, a.id) as root from a left join top on top.id = a.id)

@@ -149,4 +149,5 @@ def with_views(sql: str) -> str:
     used = ",\n".join(text for name, text in VIEWS.items() if name in sql)
     if not used:
         return sql
-    return f"with {used}\n{sql}" if not sql.lstrip().lower().startswith("with ") else f"with {used},\n{sql.lstrip()[5:]}"
+    # views may precede a recursive term
+    return f"with recursive {used}\n{sql}" if not sql.lstrip().lower().startswith("with ") else f"with recursive {used},\n{sql.lstrip()[5:]}"
