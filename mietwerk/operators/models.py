@@ -17,6 +17,8 @@ from mietwerk.functions.text import string_hash
 FOLDS, HUBER, ITERATIONS, TOLERANCE = 5, 1.345, 50, 1e-8
 LAMBDAS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 LEAST_POOLED, LEAST_TIER = 20, 30
+#: Names of design_columns(), which needs a running session.
+TERMS = ("one", "log_size", "log_size_2", "rooms_missing", "rooms_dev", "small", "large", "provider_a", "provider_n", "active")
 
 
 def corpus_rows(listings: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from mietwerk.functions import stats
 from mietwerk.operators import models as m
 from mietwerk.sources import tables as t
 
-TERMS = list(m.design_columns())
 #: Two hand-made trees over (size, rooms), one for each rule of missing values.
 TREES = [
     {"tree_structure": {"split_feature": 0, "threshold": 20.5, "missing_type": "NaN", "default_left": True, "left_child": {"leaf_value": 1.5}, "right_child": {"split_feature": 1, "threshold": 25.0, "missing_type": "None", "left_child": {"leaf_value": -0.5}, "right_child": {"leaf_value": 2.0}}}},
@@ -114,8 +113,8 @@ def normal_equations(spark: SparkSession, d: str) -> DataFrame:
 def ridge_residuals(spark: SparkSession, d: str) -> DataFrame:
     """Error of a robust ridge fit over all rows, by market."""
     design = _design(spark, d)
-    beta, mean, std = m.huber_ridge(design, TERMS, "log_price", 3.0, rounds=4)
-    scored = m.predict_ridge(design, TERMS, beta, mean, std)
+    beta, mean, std = m.huber_ridge(design, list(m.TERMS), "log_price", 3.0, rounds=4)
+    scored = m.predict_ridge(design, list(m.TERMS), beta, mean, std)
     found = stats.error_stats(scored.withColumns({"a": F.exp("log_price"), "p": F.exp("predicted")}), ["market"], "a", "p")
     return found.select("market", F.round("mdape", 2).alias("mdape"), "n")
 
