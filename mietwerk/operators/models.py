@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -341,19 +342,23 @@ def score_with_models(rows: DataFrame, models: DataFrame, features: list[str]) -
 def greedy_point_dedupe(rows: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Rows left when, of those at one point and size, each within `tolerance` of an earlier kept price goes.
 
-    Points are grouped by key; a group is one building's flats of one size. Groups beyond memory can't arise
-    from equal flats, but a missing coordinate must be filtered first. Order: created_at, id.
+    Order: created_at, id. Points stream through their task one after the other, and only a point's kept
+    prices are held: these lie further than `tolerance` apart, so few are kept however many rows a point has.
+    Rows without a price have to be filtered first.
     """
-    columns = rows.columns
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "id"])
-        kept: list[int] = []
-        prices: list[float] = []
-        for i, p in enumerate(pdf["price"].tolist()):
-            if not any(abs(p - q) <= tolerance * max(p, q) for q in prices):
-                kept.append(i)
-                prices.append(p)
-        return pdf.iloc[kept][columns]
-
-    return rows.groupBy("point", "size").applyInPandas(keep, rows.schema)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, prices = None, []
+        for pdf in batches:
+            kept = np.zeros(len(pdf), bool)
+            for i, (point, size, price) in enumerate(zip(pdf["point"], pdf["size"], pdf["price"], strict=True)):
+                if (point, size) != group:
+                    group, prices = (point, size), []
+                at = bisect_left(prices, price)
+                if not any(abs(price - q) <= tolerance * max(price, q) for q in prices[max(at - 1, 0) : at + 1]):
+                    kept[i] = True
+                    prices.insert(at, price)
+            yield pdf[kept]
+
+    ordered = rows.repartition("point", "size").sortWithinPartitions("point", "size", "created_at", "id")
+    return ordered.mapInPandas(keep, rows.schema)

@@ -192,7 +192,7 @@ ORACLES = {
       w as (select id, value, h, exp(-0.5 * (distance / h) ** 2) as w from h where distance <= 3 * h), v as (select id, value, sum(w) as w from w group by id, value),
       m as (select *, sum(w) over (partition by id order by value) as run, sum(w) over (partition by id) as total from v), q as (select id, min(value) as residual from m where run >= 0.5 * total - 1e-9 group by id),
       e as (select id, sum(w) ** 2 / sum(w * w) as n_eff, any_value(h) as h from w group by id)
-      select p.id, round(coalesce(residual, 0), 6) as residual, round(coalesce(n_eff, 0), 4) as n_eff, round(coalesce(greatest(0.05, least(1.0, least(1.0, n_eff / 12) * sqrt(300.0 / h))), 0.05), 5) as confidence
+      select p.id, round(coalesce(residual, 0), 6) as residual, round(coalesce(n_eff, 0), 4) as n_eff, round(case when n_eff is null then 0.05 else greatest(0.05, least(1.0, least(1.0, n_eff / 12) * sqrt(300.0 / h))) end, 5) as confidence
       from v_point p left join q on q.id = p.id left join e on e.id = p.id"""),
     "grid_cell_counts": _sql("select floor(x / 500)::bigint || ':' || floor(y / 500)::bigint as cell, count(*) as n from v_point group by 1"),
     "design_moments": _sql(f"""with {_CORPUS}, d as (select market, unnest([{{'t': 'log_size', 'v': ln(size)}}, {{'t': 'log_size_2', 'v': ln(size) ** 2}}, {{'t': 'rooms_dev', 'v': rooms / greatest(size / 32, 1.0) - 1}},
