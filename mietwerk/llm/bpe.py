@@ -94,9 +94,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 own = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 new = [w for w in dict.fromkeys(own) if w not in known]
                 ids, n = encode_words(new, to_ids)
-                stops = np.cumsum(n).tolist()
+                stops = np.cumsum(n)
                 ids = ids.astype("<u4").tobytes()
-                known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(new, [0, *stops[:-1]], stops, strict=True))
+                known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(new, (stops - n).tolist(), stops.tolist(), strict=True))
                 found = [known[w] for w in own]
                 n = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 rows.append((row["chunk"], len(own), _squeeze(np.frombuffer(b"".join(found), "<u4")), _squeeze(n), row["codes"]))
