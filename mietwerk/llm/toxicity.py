@@ -21,7 +21,8 @@ EMBED, HIDDEN = 8, 8
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 2000
 GRAMS = (3, 4)
-BATCH, ROUNDS, EPOCHS, RATE = 256, 3, 2, 0.01
+#: Windows of an update, rounds, updates of a round (as many for a small sample as for a large one), step size.
+BATCH, ROUNDS, UPDATES, RATE = 256, 3, 40, 0.01
 #: Windows that are scored at once.
 BLOCK = 1024
 
@@ -252,34 +253,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> Network:
         y = labels[words.owner[order]]
         take = ~aside[words.owner[order]] & np.where(y == 1, place < 2, (place < 3) | (rng.random(len(order)) < 0.03))
         pool, target = order[take], y[take]
-        for _ in range(EPOCHS):
-            shuffled = rng.permutation(len(pool))
-            for a in range(0, len(shuffled), BATCH):
-                own = shuffled[a : a + BATCH]
-                used, code = np.unique(words.windows[pool[own]], return_inverse=True)
-                used = used[used < len(words.bucket)]
-                n = words.gram_counts[used]
-                starts = (np.cumsum(words.gram_counts) - words.gram_counts)[used]
-                spots = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                small = Words(words.bucket[used], words.grams[spots], n, code.reshape(-1, WINDOW), np.zeros(0))
-                step += 1
-                grads = net.gradients(small, net.inputs(small), small.windows, target[own].astype(np.float32))
-                rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, g in grads.items():
-                    m, v = moments[k]
-                    if isinstance(g, tuple):
-                        rows, where = np.unique(g[0], return_inverse=True)
-                        total = np.zeros((len(rows), EMBED), np.float32)
-                        np.add.at(total, where, g[1])
-                        m[rows] = 0.9 * m[rows] + 0.1 * total
-                        v[rows] = 0.999 * v[rows] + 0.001 * total**2
-                        net.p[k][rows] -= rate * m[rows] / (np.sqrt(v[rows]) + 1e-8)
-                    else:
-                        m *= 0.9
-                        m += 0.1 * g
-                        v *= 0.999
-                        v += 0.001 * g**2
-                        net.p[k] -= rate * m / (np.sqrt(v) + 1e-8)
+        passes = -(-UPDATES * BATCH // max(len(pool), 1))
+        shuffled = np.concatenate([rng.permutation(len(pool)) for _ in range(passes)])[: UPDATES * BATCH]
+        for a in range(0, len(shuffled), BATCH):
+            own = shuffled[a : a + BATCH]
+            used, code = np.unique(words.windows[pool[own]], return_inverse=True)
+            used = used[used < len(words.bucket)]
+            n = words.gram_counts[used]
+            starts = (np.cumsum(words.gram_counts) - words.gram_counts)[used]
+            spots = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            small = Words(words.bucket[used], words.grams[spots], n, code.reshape(-1, WINDOW), np.zeros(0))
+            step += 1
+            grads = net.gradients(small, net.inputs(small), small.windows, target[own].astype(np.float32))
+            rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for k, g in grads.items():
+                m, v = moments[k]
+                if isinstance(g, tuple):
+                    rows, where = np.unique(g[0], return_inverse=True)
+                    total = np.zeros((len(rows), EMBED), np.float32)
+                    np.add.at(total, where, g[1])
+                    m[rows] = 0.9 * m[rows] + 0.1 * total
+                    v[rows] = 0.999 * v[rows] + 0.001 * total**2
+                    net.p[k][rows] -= rate * m[rows] / (np.sqrt(v[rows]) + 1e-8)
+                else:
+                    m *= 0.9
+                    m += 0.1 * g
+                    v *= 0.999
+                    v += 0.001 * g**2
+                    net.p[k] -= rate * m / (np.sqrt(v) + 1e-8)
         rank = net.logits(words)
     top = np.full(len(texts), -99.0)
     np.maximum.at(top, words.owner, rank)
