@@ -7,13 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of a text that is learned from, at most; longer texts are scored but not learned from.
+LONGEST = 100_000
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the decimal doc_id modulo `folds`; null for a null id."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % folds
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int) -> pd.DataFrame:
-    """Text and label of at most `per_class` documents of each class, chosen by a hash of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, longest: int = LONGEST) -> pd.DataFrame:
+    """Text and label of at most `per_class` documents of each class, chosen by a hash of doc_id, without longer ones than `longest`.
 
     `keep` selects the rows that may be learned from. The sample's ids are bounded by 2 * per_class and so
     may be broadcast; repeated ids count once, with their smallest label; rows without label are left out.
@@ -21,7 +25,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    texts = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     found = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()
     found = found.drop_duplicates("doc_id").sort_values("doc_id")
     return found.sample(frac=1, random_state=7).reset_index(drop=True)

@@ -19,7 +19,7 @@ WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 15
 EMBED, HIDDEN = 8, 8
 #: Labelled documents of each class that are learned from, at most.
-PER_CLASS = 2000
+PER_CLASS = 1600
 GRAMS = (3, 4)
 #: Windows of an update, rounds, updates of a round (as many for a small sample as for a large one), step size.
 BATCH, ROUNDS, UPDATES, RATE = 256, 3, 40, 0.01
@@ -71,11 +71,13 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     first = np.cumsum(per_row) - per_row
     n_windows = np.maximum(1, -(-(per_row - (WINDOW - STRIDE)) // STRIDE))
     owner = np.repeat(np.arange(n), n_windows)
-    step = (np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * STRIDE
-    at = step[:, None] + np.arange(WINDOW)
-    inside = at < per_row[owner][:, None]
+    step = ((np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * STRIDE).astype(np.int32)
+    at = step[:, None] + np.arange(WINDOW, dtype=np.int32)
+    inside = at < per_row[owner].astype(np.int32)[:, None]
     padded = np.concatenate([code, [len(bucket)]]).astype(np.int32)
-    return Words(bucket, grams, gram_counts, padded[np.where(inside, at + first[owner][:, None], len(code))], owner)
+    at += first[owner].astype(np.int32)[:, None]
+    at[~inside] = len(code)
+    return Words(bucket, grams, gram_counts, padded[at], owner)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
