@@ -23,8 +23,8 @@ PER_CLASS = 1600
 GRAMS = (3, 4)
 #: Windows of an update, rounds, updates of a round (as many for a small sample as for a large one), step size.
 BATCH, ROUNDS, UPDATES, RATE = 256, 3, 40, 0.01
-#: Windows that are scored at once.
-BLOCK = 1024
+#: Windows that are scored at once, and distinct words that are looked up at once.
+BLOCK, AT_ONCE = 1024, 1 << 15
 
 
 @dataclass
@@ -38,35 +38,46 @@ class Words:
     owner: np.ndarray
 
 
-def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    n = len(offsets) - 1
-    part = lower_ascii(raw[offsets[0] : offsets[-1]])
-    start, end, rows = word_bounds(part, offsets)
-    if len(start):
-        hashes = interval_hash(prefix_hash(part), start, end)
-        distinct, pick, code = np.unique(hashes, return_index=True, return_inverse=True)
-        a, length = start[pick], (end - start)[pick]
-        # ^word$ of all distinct words in a row
-        full = length + 2
+def _grams(part: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of ^word$, word after word, and their number for each word."""
+    counts = [np.maximum(length + 2 - size + 1, 1) for size in GRAMS]
+    total = sum(counts)
+    ends = np.cumsum(total)
+    out = np.empty(int(total.sum()), np.int32)
+    for a in range(0, len(start), AT_ONCE):
+        some = slice(a, a + AT_ONCE)
+        size_of = length[some]
+        full = size_of + 2
         begin = np.cumsum(full) - full
         line = np.empty(int(full.sum()), np.uint8)
         line[begin], line[begin + full - 1] = 94, 36
-        inner = np.repeat(begin + 1 - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        line[inner] = part[np.repeat(a - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        inner = np.arange(int(size_of.sum())) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+        line[np.repeat(begin + 1, size_of) + inner] = part[np.repeat(start[some], size_of) + inner]
         prefix = prefix_hash(line)
-        found, counts = [], []
-        for size in GRAMS:
-            m = np.maximum(full - size + 1, 1)
-            at = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            found.append(interval_hash(prefix, at, np.minimum(at + size, np.repeat(begin + full, m))))
-            counts.append(m)
-        owner = np.concatenate([np.repeat(np.arange(len(m)), m) for m in counts])
-        order = np.argsort(owner, kind="stable")
-        grams = (np.concatenate(found)[order] >> np.uint64(64 - CHAR_BUCKETS.bit_length() + 1)).astype(np.int32)
-        bucket = (mix(distinct) >> np.uint64(64 - WORD_BUCKETS.bit_length() + 1)).astype(np.int32)
-        gram_counts = sum(counts)
-    else:
-        bucket, grams, gram_counts, code = (np.zeros(0, np.int32) for _ in range(4))
+        place = ends[some] - total[some]
+        for size, m in zip(GRAMS, (c[some] for c in counts), strict=True):
+            inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            at = np.repeat(begin, m) + inner
+            hashes = interval_hash(prefix, at, np.minimum(at + size, np.repeat(begin + full, m)))
+            out[np.repeat(place, m) + inner] = (hashes >> np.uint64(64 - CHAR_BUCKETS.bit_length() + 1)).astype(np.int32)
+            place = place + m
+    return out, total
+
+
+def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
+    n = len(offsets) - 1
+    part = lower_ascii(raw[offsets[0] : offsets[-1]])
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    for a, b in slices(offsets):
+        base = offsets[a] - offsets[0]
+        own = part[base : offsets[b] - offsets[0]]
+        start, end, rows = word_bounds(own, offsets[a : b + 1])
+        if len(start):
+            found.append((interval_hash(prefix_hash(own), start, end), start + base, end - start, rows + a))
+    hashes, start, length, rows = (np.concatenate(c) for c in zip(*found, strict=True))
+    distinct, pick, code = np.unique(hashes, return_index=True, return_inverse=True)
+    bucket = (mix(distinct) >> np.uint64(64 - WORD_BUCKETS.bit_length() + 1)).astype(np.int32)
+    grams, gram_counts = _grams(part, start[pick], length[pick])
     per_row = np.bincount(rows, minlength=n)
     first = np.cumsum(per_row) - per_row
     n_windows = np.maximum(1, -(-(per_row - (WINDOW - STRIDE)) // STRIDE))
@@ -100,9 +111,16 @@ class Network:
         p = self.p
         if not len(words.bucket):
             return np.zeros((0, 2 * EMBED), np.float32)
-        starts = np.cumsum(words.gram_counts) - words.gram_counts
-        chars = np.add.reduceat(p["char"][words.grams], starts, axis=0) / words.gram_counts[:, None].astype(np.float32)
-        return np.concatenate([p["word"][words.bucket], 2 * chars], axis=1)
+        out = np.empty((len(words.bucket), 2 * EMBED), np.float32)
+        out[:, :EMBED] = p["word"][words.bucket]
+        ends = np.cumsum(words.gram_counts)
+        for a in range(0, len(out), AT_ONCE):
+            n = words.gram_counts[a : a + AT_ONCE]
+            stop = ends[a : a + AT_ONCE]
+            low = stop[0] - n[0]
+            chars = np.add.reduceat(p["char"][words.grams[low : stop[-1]]], stop - n - low, axis=0)
+            out[a : a + AT_ONCE, EMBED:] = 2 * chars / n[:, None].astype(np.float32)
+        return out
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """Hidden states of one direction; x holds input projections (time, batch, 3 * HIDDEN)."""
