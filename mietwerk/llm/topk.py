@@ -104,7 +104,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shards: int | None =
         kinds = (np.int64, np.int64, np.int32)
         return pa.table({n: np.concatenate([np.zeros(0, t), *c]) for n, t, c in zip(("query_id", "vec_id", "distance"), kinds, out, strict=True)})
 
-    found = kept.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, FOUND)
+    # dealt by number, as codes are few bytes but long work: adaptive execution would put all shards into one task
+    dealt = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    found = dealt(kept).cogroup(dealt(asked)).applyInArrow(search, FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
