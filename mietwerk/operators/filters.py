@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mietwerk.functions import text as tx
 
 
-
 def intent_rules(a: Column) -> dict[str, Column]:
     """Condition of each intent code over a struct of extracted attributes."""
     return {
@@ -78,3 +77,19 @@ def extraction_problems(e: Column) -> Column:
         ("available_order", both & (F.substring(e["available_until"], F.lit(1), size) < F.substring(e["available_from"], F.lit(1), size))),
     )
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules]))
+
+
+def job_problems(job: Column) -> Column:
+    """What is wrong with a search (name, city, interval in minutes, start, end, min_rooms, min_size, max_price, blacklist), in a fixed order."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    rules = (
+        ("name", blank(job["name"])),
+        ("city", blank(job["city"])),
+        ("interval", F.coalesce(job["interval"] < 1, F.lit(True))),
+        ("working_hours", job["start"].isNull() != job["end"].isNull()),
+        ("min_rooms", job["min_rooms"] < 0),
+        ("min_size", job["min_size"] < 0),
+        ("max_price", job["max_price"] <= 0),
+        ("blacklist", F.exists(job["blacklist"], blank)),
+    )
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules]))

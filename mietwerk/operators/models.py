@@ -159,6 +159,36 @@ def huber_ridge(design: DataFrame, terms: list[str], target: str, lam: float, ro
     return beta, mean, std
 
 
+def ridge_cv(design: DataFrame, terms: list[str], target: str, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
+    """lambda, mean absolute error and rows of a ridge regression on folds left out (`design` has column fold).
+
+    One pass sums the normal equations of every fold (folds times terms squared numbers reach the driver); each
+    penalty's coefficients for a fold come from the other folds' sums. A second pass scores all rows under all
+    penalties at once. At least two folds are needed; an empty table gives no rows.
+    """
+    k = len(terms)
+    at = {t: i for i, t in enumerate([*terms, "y"])}
+    sums: dict[int, np.ndarray] = {}
+    for row in normal_equations(design, ["fold"], terms, target, F.lit(1.0)).collect():
+        m = sums.setdefault(row["fold"], np.zeros((k, k + 1)))
+        i, j = at[row["i"]], at[row["j"]]
+        m[i, j] = row["value"]
+        if j < k:
+            m[j, i] = row["value"]
+    total = sum(sums.values(), np.zeros((k, k + 1)))
+    errors = []
+    for lam in lambdas:
+        fit = F.lit(None).cast("double")
+        for fold, own in sums.items():
+            beta = solve_ridge((total - own)[:, :k], (total - own)[:, k], lam)
+            value = sum((F.col(t) * float(b) for t, b in zip(terms[1:], beta[1:], strict=True)), F.col(terms[0]) * float(beta[0]))
+            fit = F.when(F.col("fold") == fold, value).otherwise(fit)
+        errors.append(F.abs(F.col(target) - fit))
+    scored = design.agg(F.count("*").alias("n"), *[F.avg(e).alias(f"e{i}") for i, e in enumerate(errors)]).where("n > 0")
+    pairs = F.explode(F.array(*[F.struct(F.lit(float(lam)).alias("lambda"), F.col(f"e{i}").alias("error")) for i, lam in enumerate(lambdas)]))
+    return scored.select("n", pairs.alias("p")).select("p.*", "n")
+
+
 def predict_ridge(design: DataFrame, terms: list[str], beta: np.ndarray, mean: np.ndarray, std: np.ndarray) -> DataFrame:
     fit = F.lit(0.0)
     for t, b, m, s in zip(terms, beta, mean, std, strict=True):

@@ -161,3 +161,14 @@ def geocode_usable(cache: DataFrame, now: int) -> DataFrame:
     day = 86_400_000
     usable = F.when(F.col("status") == "failed", age <= 30 * day).when(F.col("accuracy").isin("house", "street"), True).otherwise(age <= 14 * day)
     return cache.withColumn("usable", usable)
+
+
+def compact_payloads(work: DataFrame) -> DataFrame:
+    """Payloads of ended items are emptied, others stay; an ended item is never read again."""
+    return work.withColumn("payload", F.when(F.col("status").isin("done", "dead", "cancelled"), F.lit("{}")).otherwise(F.col("payload")))
+
+
+def removable(listings: DataFrame, verdicts: DataFrame, before: int) -> DataFrame:
+    """Gone listings last seen before a moment that no search has accepted."""
+    accepted = verdicts.where("verdict = 'accepted'").select("listing_id")
+    return listings.where((F.col("state") == "gone") & (F.col("created_at") < before)).join(accepted, listings.id == accepted.listing_id, "left_anti")
