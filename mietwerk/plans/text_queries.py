@@ -65,7 +65,7 @@ def areas_inferred(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bots_detected(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.substring("html", 1, 400), F.when(F.col("page_id") % 7 == 0, "please solve the CAPTCHA").otherwise(""))
+    page = F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 7 == 0, "please solve the CAPTCHA").otherwise(""))
     status = F.when(F.col("page_id") % 5 == 0, 429).otherwise(200)
     return t.read(spark, d, "pages").select("page_id", tx.bot_detected(page, status).alias("bot"))
 

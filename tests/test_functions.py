@@ -125,3 +125,14 @@ def test_breaker_equals_a_sequential_fold(spark):
         score = 0.0 if signal == "ok" else score + {"error": 1, "timeout": 1, "empty": 0.5}[signal]
     found = state.breaker_scores(spark.createDataFrame(rows, "provider string, market string, moment long, seq long, signal string"), t).first()
     assert found["score"] == pytest.approx(score, abs=1e-6)
+
+
+def test_bot_signs_anywhere_in_a_page(spark, tmp_path):
+    """The query tests the whole source, whatever sign it holds and however far in."""
+    from mietwerk.plans import text_queries
+
+    signs = ["Verify you are human", "ACCESS DENIED", "x-amz-cf-id", "Bitte bestätigen Sie, dass Sie ein Mensch sind", "bestatigen, kein Roboter", "captcha", "challenge-platform", "cf-chl-x", "nothing"]
+    rows = [(35 * k + 1, "u", "<html>" + "x" * 5000 + s) for k, s in enumerate(signs)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["bot"] for r in text_queries.bots_detected(spark, str(tmp_path)).collect()}
+    assert got == {i: not h.endswith("nothing") for i, _, h in rows}
