@@ -322,30 +322,39 @@ def fit_quantile_trees(x: np.ndarray, y: np.ndarray, alpha: float, trees: int =
 
 
 def train_quantile_models(rows: DataFrame, features: list[str], target: str, alphas: tuple[float, ...] = (0.1, 0.5, 0.9), most: int = 20_000) -> DataFrame:
-    """market, alpha, model (JSON) of each market: one task a market and quantile, on a bounded sample of its rows.
+    """market, alpha, rows, sampled, model (JSON) of each market: one task a market and quantile.
 
-    Sampling by a hash keeps a market of any size within a task's memory; `most` is that bound.
+    `rows` counts all of the market's rows; the trees learn from `sampled` of them, a sample by hash of at
+    most `most`, so that a market of any size fits a task's memory.
     """
     import json
 
-    rank = F.row_number().over(W.partitionBy("market").orderBy(F.xxhash64("id")))
+    rank = F.row_number().over(W.partitionBy("market").orderBy(F.xxhash64("id"), "id", *features, target))
     bounded = rows.select("id", "market", *features, target).withColumn("_r", rank).where(F.col("_r") <= most)
     dealt = bounded.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         alpha = float(pdf["alpha"].iloc[0])
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values(["id", *features, target])
         trees = fit_quantile_trees(pdf[features].to_numpy(float), pdf[target].to_numpy(float), alpha)
-        return pd.DataFrame({"market": [pdf["market"].iloc[0]], "alpha": [alpha], "rows": [len(pdf)], "model": [json.dumps(trees)]})
+        return pd.DataFrame({"market": [pdf["market"].iloc[0]], "alpha": [alpha], "sampled": [len(pdf)], "model": [json.dumps(trees)]})
 
-    return dealt.groupBy("market", "alpha").applyInPandas(train, "market string, alpha double, rows long, model string")
+    models = dealt.groupBy("market", "alpha").applyInPandas(train, "market string, alpha double, sampled long, model string")
+    totals = rows.groupBy(F.col("market").alias("_market")).agg(F.count("*").alias("rows"))
+    return models.join(totals, F.col("market").eqNullSafe(F.col("_market"))).select("market", "alpha", "rows", "sampled", "model")
 
 
 def score_with_models(rows: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
-    """id, alpha, predicted: rows meet the models of their market; trees are walked batch by batch."""
+    """id, market, alpha, rows, sampled, predicted of every row and level of its market; trees are walked batch by batch.
+
+    The models pass the driver and are broadcast (one a market and level), so no row carries its trees.
+    """
     import json
 
-    joined = rows.select("id", "market", *features).join(models.select("market", "alpha", "model"), "market")
+    known: dict[str | None, list[tuple]] = {}
+    for r in models.collect():
+        known.setdefault(r["market"], []).append((r["alpha"], r["rows"], r["sampled"], r["model"]))
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def walk(node: dict, x: np.ndarray) -> np.ndarray:
         if "leaf_value" in node:
@@ -358,15 +367,18 @@ def score_with_models(rows: DataFrame, models: DataFrame, features: list[str]) -
         return out
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[dict]] = {}
+        parsed: dict[tuple, list[dict]] = {}
         for pdf in batches:
-            for (model, alpha), own in pdf.groupby(["model", "alpha"]):
-                if model not in known:
-                    known = {**known, model: json.loads(model)} if len(known) < 64 else {model: json.loads(model)}
+            for market, own in pdf.groupby("market", dropna=False):
+                market = market if isinstance(market, str) else None
                 x = own[features].to_numpy(float)
-                yield pd.DataFrame({"id": own["id"], "alpha": alpha, "predicted": sum((walk(t["tree_structure"], x) for t in known[model]), np.zeros(len(x)))})
+                for alpha, n, sampled, model in shared.value.get(market, []):
+                    if (market, alpha) not in parsed:
+                        parsed = {**(parsed if len(parsed) < 64 else {}), (market, alpha): json.loads(model)}
+                    predicted = sum((walk(t["tree_structure"], x) for t in parsed[market, alpha]), np.zeros(len(x)))
+                    yield pd.DataFrame({"id": own["id"], "market": own["market"], "alpha": alpha, "rows": n, "sampled": sampled, "predicted": predicted})
 
-    return joined.mapInPandas(score, "id long, alpha double, predicted double")
+    return rows.select("id", "market", *features).mapInPandas(score, "id long, market string, alpha double, rows long, sampled long, predicted double")
 
 
 def greedy_point_dedupe(rows: DataFrame, tolerance: float = 0.02) -> DataFrame:

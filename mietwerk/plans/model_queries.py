@@ -129,11 +129,18 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantile_models(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that the quantile trees of each market and level learned from."""
+    """Rows of the two markets that its SQL names; `quantile_predictions` has all markets and what the trees say."""
     rows = m.corpus_rows(t.listings(spark, d)).where(F.col("market").isin("NATION_1", "NATION_2"))
     return m.train_quantile_models(rows, ["size", "rooms"], "log_price").select("market", "alpha", "rows")
 
 
+def quantile_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted log price of every row of every market at each level, with the market's rows and those learned from."""
+    rows = m.corpus_rows(t.listings(spark, d))
+    found = m.score_with_models(rows, m.train_quantile_models(rows, ["size", "rooms"], "log_price"), ["size", "rooms"])
+    return found.select("id", "market", "alpha", "rows", "sampled", F.round("predicted", 9).alias("predicted"))
+
+
 def corpus_deduped(spark: SparkSession, d: str) -> DataFrame:
     """Listings left after near-equal prices at one address and size fold into the first."""
     rows = m.corpus_rows(t.listings(spark, d)).select("id", F.col("address").alias("point"), "size", "price", "created_at")
@@ -144,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         robust_stats, weighted_quantiles, effective_sample_sizes, error_stats, naive_baseline, pinball_by_quantile, corpus_outlier_filter, conformal_calibration, conformal_assessment, spatial_folds, neighbour_counts,
-        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, corpus_deduped,
+        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped,
     )
 }
 
