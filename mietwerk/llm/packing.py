@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mietwerk.llm.common import Scratch
-from mietwerk.llm.pieces import broadcast_ranks, chunks, encode_words, gather, with_pieces, word_encoder
+from mietwerk.llm.pieces import added_tokens, broadcast_ranks, chunks, encode_words, gather, with_pieces, word_encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Text bytes whose distinct words are encoded together; nothing of them is shuffled, so few suffice.
@@ -32,18 +32,20 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [first] * bool(first) + [capacity] * (n // capacity)
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, end: int = 0) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, end: int = 0, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document.
 
     A document is its ids and then `end`; only one of more than `capacity` ids is cut. A null text counts
     as empty and so is one id long. Repeated rows are packed as often as they stand; a null doc_id stays null.
+    With `added`, the tokens that the tokenizer's JSON adds get their own ids, else their texts are ordinary.
     """
+    own_ids = added_tokens(tokenizer) if added else {}
     ranks = broadcast_ranks(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(ranks)
-        for chunk in chunks(batches, pattern, CHUNK):
-            flat, lengths = encode_words(chunk.words, encode)
+        for chunk in chunks(batches, pattern, CHUNK, own_ids):
+            flat, lengths = encode_words(chunk.words, encode, own_ids)
             ids, n = gather(flat, lengths, chunk.codes)
             ends = np.cumsum(np.bincount(np.repeat(np.arange(len(chunk.counts)), chunk.counts), weights=n, minlength=len(chunk.counts)).astype(np.int64))
             ids = ids.astype("<u4")
@@ -61,7 +63,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: in
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return with_pieces(docs, pattern).mapInArrow(run, PIECE)
+    return with_pieces(docs, pattern, added=own_ids).mapInArrow(run, PIECE)
 
 
 @dataclass
@@ -219,6 +221,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
     return ranked.select(*columns, "_rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, added: bool = False) -> DataFrame:
     """Tokenise, cut and pack documents: PIECE columns, sequence_id and offset."""
-    return pack(tokenised_pieces(docs, tokenizer, pattern, capacity), capacity)
+    return pack(tokenised_pieces(docs, tokenizer, pattern, capacity, added=added), capacity)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,14 @@ CHUNK_BYTES = 8 << 20
 UNSURE = r"[\x00\p{Cn}]"
 
 
-def split_columns(text: str | Column, pattern: str) -> tuple[Column, Column]:
-    """The text with U+0000 after each pre-token, and the text itself where that can't be trusted, else null."""
+def split_columns(text: str | Column, pattern: str, added: Iterable[str] = ()) -> tuple[Column, Column]:
+    """The text with U+0000 after each pre-token, and the text itself where that can't be trusted, else null.
+
+    A text that holds one of the `added` tokens can't be trusted, as it is split at them first.
+    """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     marked = F.regexp_replace(text, F.lit(f"(?U){pattern}"), F.lit("$0\u0000"))
-    return marked.alias("marked"), F.when(text.rlike(UNSURE), text).alias("unsure")
+    return marked.alias("marked"), F.when(reduce(or_, [text.contains(a) for a in added], text.rlike(UNSURE)), text).alias("unsure")
 
 
 @dataclass
@@ -46,8 +52,11 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return array, counts
 
 
-def chunks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Chunks of (key, marked, unsure) batches. The same rows in the same order give the same chunks."""
+def chunks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int = CHUNK_BYTES, added: Iterable[str] = ()) -> Iterator[Chunk]:
+    """Chunks of (key, marked, unsure) batches. The same rows in the same order give the same chunks.
+
+    `added` tokens (as given to `split_columns`) are words of their own, and texts end before them.
+    """
     from mietwerk.llm.common import slices, text_buffer
 
     keys: list[pa.Array] = []
@@ -55,6 +64,8 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int = CHUNK_B
     counts: list[np.ndarray] = []
     size = 0
     finder: Callable[[str], list[str]] | None = None
+    whole = set(added)
+    apart = re.compile(f"({'|'.join(map(re.escape, sorted(whole, key=len, reverse=True)))})").split if whole else lambda t: [t]
 
     def done() -> Chunk:
         coded = pa.chunked_array(arrays, pa.large_binary()).combine_chunks()
@@ -71,7 +82,7 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int = CHUNK_B
 
             finder = finder or regex.compile(pattern).findall
             texts = unsure.filter(odd).to_pylist()
-            found = [finder(t) for t in texts]
+            found = [[p for part in apart(t) for p in ([part] if part in whole else finder(part))] for t in texts]
             arrays.append(pa.array([p.encode() + b"\0" for f in found for p in f], pa.large_binary()))
             counts.append(np.array([len(f) for f in found], np.int64))
             keys.append(key.filter(odd))
@@ -121,9 +132,10 @@ def word_encoder(ranks) -> Callable[[str], list[int]]:
     return _encoders[getattr(ranks, "id", 0)]
 
 
-def encode_words(words: list[bytes], encode: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and their number for each word."""
-    found = [encode(w.decode()) for w in words]
+def encode_words(words: list[bytes], encode: Callable[[str], list[int]], added: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and their number for each word; an added token is one id."""
+    one = {k.encode(): [i] for k, i in (added or {}).items()}
+    found = [one[w] if w in one else encode(w.decode()) for w in words]
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     return np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum())), lengths
 
@@ -141,5 +153,16 @@ def broadcast_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
-def with_pieces(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key), *split_columns(text, pattern))
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that a tokenizer's JSON adds to its model; they are found in a text before it is split."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).get_added_tokens_decoder()
+    odd = [t.content for t in found.values() if t.single_word or t.lstrip or t.rstrip]
+    if odd:
+        raise ValueError(f"added tokens that take in or ask for what stands around them: {odd}")
+    return {t.content: i for i, t in found.items()}
+
+
+def with_pieces(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", added: Iterable[str] = ()) -> DataFrame:
+    return docs.select(F.col(key), *split_columns(text, pattern, added))

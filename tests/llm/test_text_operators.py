@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mietwerk.llm import bpe, chat, packing, quality, queries, toxicity
 from mietwerk.llm.labels import fold
 from tests.conftest import SMALL
@@ -111,6 +112,21 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(docs.where("false"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    """The query's ids are those of an unmodified tokenizer."""
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b\n\n<|endoftext|>\n\ny", "<|endoftext|", "plain", "x\x00 <|endoftext|>", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    for got in (queries.op6_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in got.collect()) == want
+
+
 def test_packing_query(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
     sequences, tokens = check_packing(queries.op6_best_fit_packing(spark, MIDDLE).collect(), texts)
