@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mietwerk.llm import line_dedup, near_dup, packing, quality, toxicity
@@ -44,12 +43,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles), and one row of each doc_id."""
-    groups = near_dup.near_duplicates(docs)
-    ids = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
-    named = docs.join(ids, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates (five-word shingles), the first by doc_id and text hash.
+
+    Rows that share a doc_id are documents of their own: only equal or near texts fold. Without words, only
+    equal rows do; a row without doc_id always stays.
+    """
+    scratch = Scratch(spark)
+    text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
+    # written, so that the numbers stay
+    rows = scratch.write(docs.where("doc_id is not null").withColumns({"_hash": text_hash, "_node": F.monotonically_increasing_id()}))
+    groups = near_dup.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), scratch=scratch)
+    placed = rows.select("_node", "doc_id", "_hash").join(groups.select(F.col("doc_id").alias("_node"), "component_id"), "_node")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_node")).alias("m"))
+    ids = first.groupBy("m.doc_id", "m._hash").agg(F.min("m._node").alias("_node")).select("_node")
+    return rows.join(ids, "_node", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,3 +111,12 @@ def test_stages_take_odd_rows(spark, tmp_path):
         for n, df in enumerate((odd, odd.where("false"))):
             df.write.parquet(f"{tmp_path}/{k}-{n}")
             assert stage(spark, spark.read.parquet(f"{tmp_path}/{k}-{n}"), SMALL).count() >= 0
+
+
+def test_namesakes_are_documents_of_their_own(spark):
+    """Rows that share a doc_id fold only if their texts are equal or near."""
+    said = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, said("a")), (2, said("a") + " end"), (2, said("b")), (3, said("c")), (3, said("c")), (3, said("d")), (4, ""), (4, ""), (4, None), (5, ""), (None, said("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(1, said("a")), (2, said("b")), (3, said("c")), (3, said("d")), (4, ""), (5, ""), (None, said("a"))], key=str)
