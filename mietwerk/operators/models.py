@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -22,6 +24,14 @@ LEAST_POOLED, LEAST_TIER = 20, 30
 TERMS = ("one", "log_size", "log_size_2", "rooms_missing", "rooms_dev", "small", "large", "provider_a", "provider_n", "active")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The table written to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/mietwerk-checkpoints').rstrip('/')}/models-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def corpus_rows(listings: DataFrame) -> DataFrame:
     """Listings fit to learn a rent from: known price and a usual size, with log price a unit."""
     fit = (F.col("price") > 0) & F.col("size").between(10, 400)
@@ -125,12 +135,14 @@ def solve_ridge(gram: np.ndarray, right: np.ndarray, lam: float) -> np.ndarray:
     raise np.linalg.LinAlgError("normal equations stay singular")
 
 
-def huber_ridge(design: DataFrame, terms: list[str], target: str, lam: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def huber_ridge(design: DataFrame, terms: list[str], target: str, lam: float, rounds: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients, means and deviations of a robust ridge regression over all rows.
 
     Each round is one distributed pass: Spark sums the weighted normal equations (terms squared numbers) and
-    a percentile of residuals; only these reach the driver, whatever the number of rows.
+    a percentile of residuals; only these reach the driver, whatever the number of rows. It ends when no coefficient moves by TOLERANCE, or
+    with a warning after `rounds`.
     """
+    design = _written(design.select(*terms, target))
     first = design.agg(*[F.avg(t) for t in terms], *[F.stddev_samp(t) for t in terms], F.percentile_approx(target, 0.5, 100_000)).first()
     k = len(terms)
     mean, std = np.array(first[:k], float), np.array([s if s and s > 1e-12 else 1.0 for s in first[k : 2 * k]])
@@ -156,6 +168,8 @@ def huber_ridge(design: DataFrame, terms: list[str], target: str, lam: float, ro
         beta = new
         if moved < TOLERANCE:
             break
+    else:
+        logging.getLogger(__name__).warning("coefficients still moved by %g after %d rounds", moved, rounds)
     return beta, mean, std
 
 
@@ -202,14 +216,15 @@ def log_smear(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.log(F.greatest(F.lit(0.8), F.least(F.lit(1.25), mean))).alias("smear"))
 
 
-def neighbour_pairs(points: DataFrame, radius: float, own_cluster: bool = True) -> DataFrame:
+def neighbour_pairs(points: DataFrame, radius: float, own_cluster: bool = True, asking: DataFrame | None = None) -> DataFrame:
     """id, other, distance, and the other's value for points at most `radius` apart: an equi-join on grid cells.
 
-    Cells have the radius as side, so each point looks into nine; only one side is replicated.
+    Cells have the radius as side, so each point looks into nine; only one side is replicated. Only the
+    points of `asking` look, all if it is None.
     """
     cx, cy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
     around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = points.select("id", "x", "y", "cluster", F.explode(around).alias("c")).select("id", "x", "y", "cluster", "c.cx", "c.cy")
+    left = (points if asking is None else asking).select("id", "x", "y", "cluster", F.explode(around).alias("c")).select("id", "x", "y", "cluster", "c.cx", "c.cy")
     right = points.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("value"), F.col("cluster").alias("cluster2"), cx.alias("cx"), cy.alias("cy"))
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
     met = left.join(right, ["cx", "cy"]).where(F.col("id") != F.col("other")).withColumn("distance", d).where(F.col("distance") <= radius)
@@ -228,9 +243,29 @@ def kth_distance(points: DataFrame, k: int, radius: float) -> DataFrame:
     return neighbour_pairs(points, radius).withColumn("_r", rank).where(F.col("_r") == k).select("id", "distance")
 
 
-def bandwidth_clamps(points: DataFrame, k: int = 8, radius: float = 2000.0) -> DataFrame:
-    """Smallest and largest bandwidth of the residual field, from quantiles of the k-th distances."""
-    q = kth_distance(points, k, radius).agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.count("*").alias("n"))
+def nearest_kth(points: DataFrame, k: int, least: float = 500.0, most: float = 16_000.0) -> DataFrame:
+    """Distance to the k-th neighbour: points that lack k of them look again at twice the radius, up to `most`."""
+    points = _written(points)
+    asking, radius, out = points, least, None
+    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
+    while True:
+        found = _written(neighbour_pairs(points, radius, asking=asking).withColumn("_r", rank).where(F.col("_r") == k).select("id", "distance"))
+        out = found if out is None else out.unionByName(found)
+        radius *= 2
+        if radius > most:
+            return out
+        asking = _written(asking.join(found, "id", "left_anti"))
+        if asking.isEmpty():
+            return out
+
+
+def bandwidth_clamps(points: DataFrame, k: int = 8, radius: float | None = 2000.0) -> DataFrame:
+    """Smallest and largest bandwidth of the residual field, from quantiles of the k-th distances.
+
+    Without a radius, distances are those of `nearest_kth`.
+    """
+    distances = nearest_kth(points, k) if radius is None else kth_distance(points, k, radius)
+    q = distances.agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.count("*").alias("n"))
     low = F.when(F.col("n") < 9, 150.0).otherwise(F.greatest(F.lit(25.0), F.col("q")[0]))
     high = F.when(F.col("n") < 9, 1200.0).otherwise(F.greatest(2 * low, F.col("q")[1]))
     return q.select(low.alias("min_bandwidth"), high.alias("max_bandwidth"), "n")

@@ -84,6 +84,16 @@ def bandwidth_clamps(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.round("min_bandwidth", 3).alias("min_bandwidth"), F.round("max_bandwidth", 3).alias("max_bandwidth"), "n")
 
 
+def knn_distance_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As `knn_distance`, but points without eight neighbours within 2000 m look further, up to 16 km."""
+    return m.nearest_kth(t.points(spark, d), 8).select("id", F.round("distance", 4).alias("distance"))
+
+
+def bandwidth_clamps_whole(spark: SparkSession, d: str) -> DataFrame:
+    found = m.bandwidth_clamps(t.points(spark, d), radius=None)
+    return found.select(F.round("min_bandwidth", 3).alias("min_bandwidth"), F.round("max_bandwidth", 3).alias("max_bandwidth"), "n")
+
+
 def kernel_field(spark: SparkSession, d: str) -> DataFrame:
     found = m.kernel_field(t.points(spark, d), 300.0, 700.0)
     return found.select("id", F.round("residual", 6).alias("residual"), F.round("n_eff", 4).alias("n_eff"), F.round("confidence", 5).alias("confidence"))
@@ -113,7 +123,7 @@ def normal_equations(spark: SparkSession, d: str) -> DataFrame:
 def ridge_residuals(spark: SparkSession, d: str) -> DataFrame:
     """Error of a robust ridge fit over all rows, by market."""
     design = _design(spark, d)
-    beta, mean, std = m.huber_ridge(design, list(m.TERMS), "log_price", 3.0, rounds=4)
+    beta, mean, std = m.huber_ridge(design, list(m.TERMS), "log_price", 3.0)
     scored = m.predict_ridge(design, list(m.TERMS), beta, mean, std)
     found = stats.error_stats(scored.withColumns({"a": F.exp("log_price"), "p": F.exp("predicted")}), ["market"], "a", "p")
     return found.select("market", F.round("mdape", 2).alias("mdape"), "n")
@@ -151,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         robust_stats, weighted_quantiles, effective_sample_sizes, error_stats, naive_baseline, pinball_by_quantile, corpus_outlier_filter, conformal_calibration, conformal_assessment, spatial_folds, neighbour_counts,
-        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped,
+        knn_distance, bandwidth_clamps, knn_distance_whole, bandwidth_clamps_whole, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped,
     )
 }
 
@@ -193,6 +203,10 @@ ORACLES = {
     "bandwidth_clamps": _sql(f"""with {_KNN}, k as (select distance from n where distance <= 2000 qualify row_number() over (partition by id order by distance, other) = 8),
       q as (select count(*) as n, quantile_cont(distance, 0.05) as a, quantile_cont(distance, 0.95) as b from k), l as (select n, b, case when n < 9 then 150.0 else greatest(25.0, a) end as low from q)
       select round(low, 3) as min_bandwidth, round(case when n < 9 then 1200.0 else greatest(2 * low, b) end, 3) as max_bandwidth, n from l"""),
+    "knn_distance_whole": _sql(f"with {_KNN} select id, round(distance, 4) as distance from n where distance <= 16000 qualify row_number() over (partition by id order by distance, other) = 8"),
+    "bandwidth_clamps_whole": _sql(f"""with {_KNN}, k as (select distance from n where distance <= 16000 qualify row_number() over (partition by id order by distance, other) = 8),
+      q as (select count(*) as n, quantile_cont(distance, 0.05) as a, quantile_cont(distance, 0.95) as b from k), l as (select n, b, case when n < 9 then 150.0 else greatest(25.0, a) end as low from q)
+      select round(low, 3) as min_bandwidth, round(case when n < 9 then 1200.0 else greatest(2 * low, b) end, 3) as max_bandwidth, n from l"""),
     "kernel_field": _sql("""with n as (select a.id, b.id as other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as distance, b.value from v_point a join v_point b on a.id <> b.id and a.cluster <> b.cluster),
       r as (select *, row_number() over (partition by id order by distance, other) as k, count(*) over (partition by id) as c from n where distance <= 2100),
       h as (select *, greatest(300.0, least(700.0, max(case when k = least(8, c) then distance end) over (partition by id))) as h from r),

@@ -168,3 +168,28 @@ def test_market_larger_than_the_sample(spark):
     trained = models.train_quantile_models(rows, ["x"], "y", (0.5,), most=100)
     assert sorted((r["market"], r["rows"], r["sampled"]) for r in trained.collect()) == [("a", 250, 100), ("b", 50, 50)]
     assert models.score_with_models(rows, trained, ["x"]).count() == 300
+
+
+def test_far_neighbours_are_found(spark):
+    """Points whose k-th neighbour is 0.4, 3, 15 and over 16 km away, against a loop."""
+    from math import hypot
+
+    rows = [(i, x, y, 0.0, "c") for i, (x, y) in enumerate([(0, 0), (100, 0), (400, 0), (3300, 0), (3400, 100), (18000, 0), (60000, 0)])]
+    points = spark.createDataFrame([(i, float(x), float(y), v, c) for i, x, y, v, c in rows], "id long, x double, y double, value double, cluster string")
+    want = {i: sorted(hypot(x - a, y - b) for j, a, b, *_ in rows if j != i)[1] for i, x, y, *_ in rows}
+    got = {r["id"]: r["distance"] for r in models.nearest_kth(points, 2).collect()}
+    assert got == pytest.approx({i: v for i, v in want.items() if v <= 16000}) and len(got) == 6
+
+
+def test_ridge_runs_until_it_stands(spark):
+    """Heavy outliers: more rounds move nothing, four would have been too few."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=200)
+    y = 1 + 2 * x + r.standard_t(1.5, 200)
+    rows = spark.createDataFrame([(1.0, float(a), float(b)) for a, b in zip(x, y, strict=True)], "one double, x double, y double")
+    beta, mean, std = models.huber_ridge(rows, ["one", "x"], "y", 0.1)
+    again, *_ = models.huber_ridge(rows, ["one", "x"], "y", 0.1, rounds=models.ITERATIONS + 5)
+    four, *_ = models.huber_ridge(rows, ["one", "x"], "y", 0.1, rounds=4)
+    assert np.abs(beta - again).max() < 1e-6 < np.abs(four - again).max()
