@@ -160,6 +160,24 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
     return cl.absorb(own, rooted).select("root", "title", "price", "size", "members")
 
 
+def _exact(own: DataFrame) -> DataFrame:
+    return cl.judged_pairs(own, cl.exact_pairs(own, cl.claims(own)))
+
+
+def vetoed_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
+    """As `vetoed_pairs`, but adverts that a claim's owner refuses meet the claim's next owners too."""
+    return _exact(_adverts(spark, d)).select("earlier", "later", "kind", F.coalesce("veto", F.lit("")).alias("veto"))
+
+
+def best_matches_exact(spark: SparkSession, d: str) -> DataFrame:
+    return cl.best_match(_exact(_adverts(spark, d)))
+
+
+def entity_groups_exact(spark: SparkSession, d: str) -> DataFrame:
+    own = _adverts(spark, d)
+    return cl.absorb(own, cl.roots(cl.best_match(_exact(own)))).select("root", "title", "price", "size", "members")
+
+
 def html_cards(spark: SparkSession, d: str) -> DataFrame:
     """Fields of every page's article by the card selectors."""
     from mietwerk.sources.html_cards import scan_cards
@@ -171,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_numbers, canonical_urls, provider_ids, market_keys, address_keys, token_keys, blacklist_terms, blacklist_stems, social_housing_flags, areas_inferred, bots_detected, inactive_listings, cleaned_texts,
-        string_hashes, config_hashes, card_filter_reasons, canonical_filter_reasons, extraction_problems, points_inside, json_unnested, claims_by_kind, vetoed_pairs, best_matches, entity_groups, html_cards,
+        string_hashes, config_hashes, card_filter_reasons, canonical_filter_reasons, extraction_problems, points_inside, json_unnested, claims_by_kind, vetoed_pairs, best_matches, entity_groups, vetoed_pairs_exact, best_matches_exact, entity_groups_exact, html_cards,
     )
 }
 

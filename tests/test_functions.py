@@ -193,3 +193,30 @@ def test_ridge_runs_until_it_stands(spark):
     again, *_ = models.huber_ridge(rows, ["one", "x"], "y", 0.1, rounds=models.ITERATIONS + 5)
     four, *_ = models.huber_ridge(rows, ["one", "x"], "y", 0.1, rounds=4)
     assert np.abs(beta - again).max() < 1e-6 < np.abs(four - again).max()
+
+
+def test_refused_adverts_elect_the_next_owner(spark):
+    """Pairs of the exact mode against a loop over each claim's adverts in order of arrival."""
+    from mietwerk.operators import claims as cl
+
+    rows = [(i, i, None, "Nice flat", 1000.0 + 8 * (i % 3), 50.0, [2.0, 3.0, 4.0][i * i % 7 % 3], "Weg 7", "m") for i in range(1, 13)]
+    adverts = spark.createDataFrame(rows, "id long, seq long, link string, title string, price double, size double, rooms double, address string, market string")
+    claimed = cl.claims(adverts)
+    fact, want = {r[0]: (r[4], r[6]) for r in rows}, set()
+    held = {}
+    for r in claimed.collect():
+        held.setdefault(r["claim"], set()).add(r["id"])
+    for ids in held.values():
+        owners = []
+        for i in sorted(ids):
+            for o in owners:
+                want.add((o, i))
+                if fact[o][1] == fact[i][1] and abs(fact[o][0] - fact[i][0]) <= 0.02 * max(fact[o][0], fact[i][0]):
+                    break
+            else:
+                owners.append(i)
+    exact = cl.exact_pairs(adverts, claimed)
+    first = {(r["earlier"], r["later"]) for r in cl.candidate_pairs(claimed).collect()}
+    assert {(r["earlier"], r["later"]) for r in exact.collect()} == want and first < want
+    rooted = cl.roots(cl.best_match(cl.judged_pairs(adverts, exact)))
+    assert cl.absorb(adverts, rooted).count() == len({r[6] for r in rows})
