@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenised documents by a configuration linear program over the length histogram."""
+"""Best-fit packing of tokenised documents by patterns over the length histogram, after what a configuration program fills."""
 
 from __future__ import annotations
 
@@ -106,7 +106,7 @@ def _price(lengths: np.ndarray, values: np.ndarray, bound: np.ndarray, capacity:
 
 
 def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations that cover every length: multiplicative weights with knapsack pricing.
+    """Fractional configurations by multiplicative weights with knapsack pricing; they need not cover every length.
 
     A length's weight falls exponentially with the share of its demand already covered, so each round's best
     knapsack fills sequences with what lacks most. Stops when all is covered or after `rounds`.
