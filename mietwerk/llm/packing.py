@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenised documents by patterns over the length histogram, after what a configuration program fills."""
+"""Packing of tokenised documents by a configuration program over the length histogram, rounded; the rest best-fit."""
 
 from __future__ import annotations
 
@@ -18,12 +18,17 @@ from mietwerk.llm.pieces import added_tokens, broadcast_ranks, chunks, encode_wo
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Text bytes whose distinct words are encoded together; nothing of them is shuffled, so few suffice.
 CHUNK = 2 << 20
-#: Rounds of multiplicative weights (each prices one configuration).
-ROUNDS = 100
-#: Share of an item's demand that one round may add.
-STEP = 0.2
-#: Parts into which the rows of one length are split to be numbered.
-PARTS = 256
+#: Sweeps of multiplicative weights at most, and after how many the dual is looked at.
+ROUNDS, LOOK = 2000, 20
+#: Share of a length's count that one step may cover (in 4000ths of the number of lengths, so that few lengths are
+#: solved more closely in the same time), and its least and largest value.
+STEPS, STEP = 4000, (0.02, 0.5)
+#: How fast a length's weight falls with the share covered; how much more a token weighs in the longest length.
+FALL, LONG = 0.3, 0.05
+#: Lengths that a block of a sweep prices together, and what a configuration may lack under the dual to be rounded up.
+BLOCK, SLACK = 32, 0.005
+#: Rows of one length that are numbered in one window.
+PART_ROWS = 50_000
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -68,108 +73,188 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: in
 
 @dataclass
 class Plan:
-    """Patterns of (length, count) and how many sequences each has; bounded by the number of distinct lengths."""
+    """Patterns of (length, count) and how many sequences each has; bounded by the number of distinct lengths.
+
+    `configured` sequences are configurations of the program, the rest best-fit; `bound` is the program's best
+    dual value, below which no packing has fewer sequences.
+    """
 
     patterns: list[list[tuple[int, int]]]
     times: list[int]
+    configured: int = 0
+    bound: float = 0.0
 
     @property
     def sequences(self) -> int:
         return sum(self.times)
 
 
-def _price(lengths: np.ndarray, values: np.ndarray, bound: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over capacity: index of length -> count, of the largest total value."""
-    order = np.argsort(lengths)
-    sizes, worth = lengths[order], values[order]
+def _price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """Bounded knapsack by dynamic programming over capacity: its largest value, and index of length -> count.
+
+    A length of up to n copies is split into lots of 1, 2, 4, ... copies that make every number up to n.
+    """
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    for c in range(int(sizes[0]), capacity + 1):
-        k = np.searchsorted(sizes, c, side="right")
-        total = best[c - sizes[:k]] + worth[:k]
-        j = int(np.argmax(total))
-        if total[j] > best[c - 1]:
-            best[c], choice[c] = total[j], j
-        else:
-            best[c], choice[c] = best[c - 1], -1
+    lots: list[tuple[int, int, np.ndarray]] = []
+    for i, (size, value, copies) in enumerate(zip(lengths.tolist(), values.tolist(), np.minimum(most, capacity // lengths).tolist(), strict=True)):
+        lot = 1
+        while copies > 0:
+            lot = min(lot, copies)
+            taken = best[: capacity + 1 - lot * size] + lot * value
+            better = taken > best[lot * size :]
+            np.maximum(best[lot * size :], taken, out=best[lot * size :])
+            lots.append((i, lot, better))
+            copies, lot = copies - lot, 2 * lot
     found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        j = choice[c]
-        if j < 0:
-            c -= 1
-            continue
-        i = int(order[j])
-        found[i] = found.get(i, 0) + 1
-        c -= int(sizes[j])
-    return {i: min(n, int(bound[i])) for i, n in found.items()}
-
-
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations by multiplicative weights with knapsack pricing; they need not cover every length.
-
-    A length's weight falls exponentially with the share of its demand already covered, so each round's best
-    knapsack fills sequences with what lacks most. Stops when all is covered or after `rounds`.
+    at = capacity
+    for i, lot, better in reversed(lots):
+        size = lot * int(lengths[i])
+        if at >= size and better[at - size]:
+            found[i] = found.get(i, 0) + lot
+            at -= size
+    return float(best[capacity]), found
+
+
+class Program:
+    """The configuration program of a length histogram: the fewest configurations that cover every length's count.
+
+    Multiplicative weights: a length weighs its tokens (a little more if it is long, as long ones are harder to
+    place), times a factor that falls exponentially with the share of its count already covered. Each sweep
+    deals the lengths into blocks, every block a cut through all sizes, and prices one configuration a block
+    by a knapsack over it, so that a sweep costs no more than one knapsack over all lengths.
     """
-    covered = np.zeros(len(lengths))
-    found: dict[tuple, float] = {}
-    for _ in range(rounds):
-        share = covered / counts
-        if share.min() >= 1:
-            break
-        weight = lengths * np.exp(-8 * share)
-        weight[share >= 1] = 0
-        config = _price(lengths, weight, counts, capacity)
-        config = {i: n for i, n in config.items() if covered[i] < counts[i]}
-        key = tuple(sorted(config.items()))
-        times = min(max(step * counts[i], 1.0) / n for i, n in key)
-        for i, n in key:
-            covered[i] += n * times
-        found[key] = found.get(key, 0.0) + times
-    return [(dict(k), x) for k, x in found.items()]
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.lengths, self.counts, self.capacity = lengths, counts, capacity
+        self.covered = np.zeros(len(lengths))
+        # the volume of a length is a feasible dual
+        self.dual, self.bound = lengths / capacity, float((lengths * counts).sum() / capacity)
+        self.sweeps = 0
+        self.step = min(max(len(lengths) / STEPS, STEP[0]), STEP[1])
+
+    def weights(self) -> np.ndarray:
+        return self.lengths * np.exp(-FALL * self.covered / self.counts)
+
+    def look(self) -> None:
+        """One knapsack over all lengths makes the weights a feasible dual; the best one is kept."""
+        weight = self.weights()
+        top, _ = _price(self.lengths, weight, self.counts, self.capacity)
+        value = float((weight * self.counts).sum() / top)
+        if value > self.bound:
+            self.dual, self.bound = weight / top, value
+
+    def sweep(self, left: np.ndarray, block: int, dual: bool = False) -> Iterator[dict[int, int]]:
+        """A configuration for each block of lengths of which `left` at least one is left; blocks are disjoint.
+
+        It is priced by the weights, or by the best dual and, among equals, for long lengths.
+        """
+        open_ = np.flatnonzero(left >= 1)
+        blocks = -(-len(open_) // block)
+        self.sweeps += 1
+        # another start each time, so that other lengths meet
+        open_ = np.roll(open_, self.sweeps * 7919)
+        for b in range(blocks):
+            own = open_[b::blocks]
+            value = self.dual[own] * (1 + LONG * self.lengths[own] / self.capacity) if dual else self.weights()[own]
+            _, found = _price(self.lengths[own], value, left[own].astype(np.int64), self.capacity)
+            if found:
+                yield {int(own[i]): n for i, n in found.items()}
+
+    def solve(self) -> dict[tuple, float]:
+        """Fractional configurations that cover all counts, of which each step adds at most `step` of a length's count."""
+        found: dict[tuple, float] = {}
+        left = self.counts.astype(float)
+        for k in range(ROUNDS):
+            if k % LOOK == 0:
+                self.look()
+            any_ = False
+            for config in self.sweep(np.ceil(left - 1e-9), BLOCK):
+                any_ = True
+                times = min(min(left[i], self.step * self.counts[i]) / n for i, n in config.items())
+                for i, n in config.items():
+                    left[i] = max(left[i] - n * times, 0.0)
+                    self.covered[i] = self.counts[i] - left[i]
+                key = tuple(sorted(config.items()))
+                found[key] = found.get(key, 0.0) + times
+            if not any_:
+                break
+        return found
+
+    def worth(self, config: dict[int, int] | tuple) -> float:
+        """What a configuration is worth under the best dual: 1 where it is tight (complementary slackness)."""
+        return sum(self.dual[i] * n for i, n in (config.items() if isinstance(config, dict) else config))
+
+
+def _best_fit(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns that cover `rest`: the longest length left opens a sequence, the longest that still fits follows."""
+    rest, out = rest.copy(), []
+    while (rest > 0).any():
+        room, config = capacity, {}
+        for i in np.flatnonzero(rest)[::-1].tolist():
+            n = min(room // int(lengths[i]), int(rest[i]))
+            if n:
+                config[i] = n
+                room -= n * int(lengths[i])
+            if not room:
+                break
+        times = min(int(rest[i]) // n for i, n in config.items())
+        for i, n in config.items():
+            rest[i] -= n * times
+        out.append((config, times))
+    return out
+
+
+def _priced(program: Program, rest: np.ndarray, slack: float) -> Iterator[tuple[dict[int, int], int]]:
+    """Whole uses of priced configurations that lack at most `slack`; takes them off `rest`, ends when none is found."""
+    block = BLOCK
+    while (rest > 0).any():
+        taken = False
+        for config in program.sweep(rest, block, dual=True):
+            if program.worth(config) >= 1 - slack:
+                times = min(int(rest[i]) // n for i, n in config.items())
+                for i, n in config.items():
+                    rest[i] -= n * times
+                taken = True
+                yield config, times
+        if not taken:
+            if block >= np.count_nonzero(rest):
+                return
+            block *= 2
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
-    """Solve the configuration program on the histogram, round down, and pack the rest best-fit.
+    """Solve the configuration program on the histogram and round it.
 
-    The rest is packed by patterns too: the longest length left opens a sequence, the longest that still
-    fits follows, and the pattern is used as often as its counts allow, so the plan's size doesn't depend
-    on how many rows there are.
+    The whole parts of the tight fractional configurations come first. The counts that these leave are a smaller
+    program of the same kind: its configurations are priced under the best dual and taken a whole number of
+    times, first only those that lack at most SLACK, then twice that, and so on. Of this and best-fit, the way
+    that needs fewer sequences packs what tight configurations leave. Each use takes up some length, so the
+    number of patterns depends on the lengths and not on how many rows there are.
     """
-    left = {n: c for n, c in histogram.items() if c > 0}
-    plan = Plan([], [])
-
-    def use(pattern: list[tuple[int, int]], times: int) -> None:
-        plan.patterns.append(pattern)
-        plan.times.append(times)
-        for n, k in pattern:
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[int(n)] for n in lengths], float)
-        total = int((lengths * counts).sum())
-        for config, x in sorted(solve_configurations(lengths, counts, capacity), key=lambda c: -c[1]):
-            pattern = [(int(lengths[i]), n) for i, n in sorted(config.items(), reverse=True)]
-            times = min(int(x), *(left.get(n, 0) // k for n, k in pattern))
-            filled = sum(n * k for n, k in pattern)
-            if times and filled * 1000 >= capacity * 999 or total <= capacity:
-                if times:
-                    use(pattern, times)
-    while left:
-        room, pattern = capacity, []
-        sizes = sorted(left, reverse=True)
-        for n in sizes:
-            k = min(room // n, left[n])
-            if k:
-                pattern.append((n, k))
-                room -= k * n
-            if not room:
-                break
-        use(pattern, min(left[n] // k for n, k in pattern))
-    return plan
+    histogram = {n: c for n, c in histogram.items() if c > 0}
+    if not histogram:
+        return Plan([], [])
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(n)] for n in lengths], np.int64)
+    program = Program(lengths, counts, capacity)
+    fractional = program.solve()
+    rest, used = counts.copy(), []
+    for key, x in sorted(fractional.items(), key=lambda c: (-c[1], c[0])):
+        times = min(int(x), *(int(rest[i]) // n for i, n in key))
+        if times and program.worth(key) >= 1 - SLACK:
+            used.append((dict(key), times))
+            for i, n in key:
+                rest[i] -= n * times
+    used += _priced(program, rest, SLACK)
+    fitted, configured, slack = _best_fit(lengths, rest, capacity), [], SLACK
+    while (rest > 0).any():
+        slack *= 2
+        configured += _priced(program, rest, slack)
+    total = lambda patterns: sum(times for _, times in patterns)
+    whole = total(configured) <= total(fitted)
+    every = used + (configured if whole else fitted)
+    patterns = [[(int(lengths[i]), n) for i, n in sorted(config.items(), reverse=True)] for config, _ in every]
+    return Plan(patterns, [times for _, times in every], total(used) + total(configured) * whole, program.bound)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None) -> DataFrame:
@@ -180,10 +265,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
     places; an empty table gives an empty one.
     """
     scratch = scratch or Scratch(pieces.sparkSession)
-    kept = scratch.write(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(PARTS)).cast("int")))
-    counts = kept.groupBy("length", "_part").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    written = scratch.write(pieces)
+    histogram = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
+    parts = -(-max(histogram.values(), default=1) // PART_ROWS)
+    kept = written.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)).cast("int"))
+    counts = kept.groupBy("length", "_part").agg(F.count("*").alias("n"))
     # first slot, slots a sequence, first sequence, offset: of each pattern that holds the length
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -222,5 +309,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, added: bool = False) -> DataFrame:
-    """Tokenise, cut and pack documents: PIECE columns, sequence_id and offset."""
+    """Tokenise, cut and pack documents: PIECE columns, sequence_id and offset.
+
+    `docs` has doc_id and text; more columns are ignored. A null text counts as empty (one token, the end);
+    repeated rows are packed as often as they stand; a null doc_id stays null; a text of more than `capacity`
+    tokens is cut; an empty table gives an empty one.
+    """
     return pack(tokenised_pieces(docs, tokenizer, pattern, capacity, added=added), capacity)
