@@ -27,8 +27,8 @@ STEPS, STEP = 4000, (0.02, 0.5)
 FALL, LONG = 0.3, 0.05
 #: Lengths that a block of a sweep prices together, and what a configuration may lack under the dual to be rounded up.
 BLOCK, SLACK = 32, 0.005
-#: Rows of one length that are numbered in one window.
-PART_ROWS = 50_000
+#: Rows of one length that are numbered in one window, on average.
+PART_ROWS = 1000
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -268,8 +268,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
     written = scratch.write(pieces)
     histogram = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
-    parts = -(-max(histogram.values(), default=1) // PART_ROWS)
-    kept = written.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)).cast("int"))
+    parts = pieces.sparkSession.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in histogram.items()], "length long, _parts long")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_parts")).alias("_part")
+    kept = written.join(F.broadcast(parts), "length").select(*written.columns, part)  # at most `capacity` lengths
     counts = kept.groupBy("length", "_part").agg(F.count("*").alias("n"))
     # first slot, slots a sequence, first sequence, offset: of each pattern that holds the length
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
