@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ from mietwerk.llm.common import default_partitions
 from mietwerk.llm.pieces import Chunk, broadcast_ranks, chunks, encode_words, gather, with_pieces, word_encoder
 
 ENCODED = "doc_id long, ids array<int>"
-WORDS = "chunk long, bucket int, words binary, lengths binary, codes binary"
-TOKENS = "chunk long, n_words long, ids binary, lengths binary, codes binary"
-TEXTS = "chunk long, n_words long, keys binary, nulls binary, counts binary, codes binary"
+WORDS = "chunk long, print long, bucket int, words binary, lengths binary, codes binary"
+TOKENS = "chunk long, print long, n_words long, ids binary, lengths binary, codes binary"
+TEXTS = "chunk long, print long, n_words long, keys binary, nulls binary, counts binary, codes binary"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -38,6 +39,15 @@ def _numbered(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple
         yield (part << 24) + k, chunk
 
 
+def _print(chunk: Chunk) -> int:
+    """63 bits that tell whether two readings of a chunk gave the same words in the same order."""
+    digest = sha256()
+    for w in chunk.words:
+        digest.update(len(w).to_bytes(4, "little"))
+        digest.update(w)
+    return int.from_bytes(digest.digest()[:8], "little") >> 1
+
+
 def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
 
@@ -71,13 +81,13 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             order = np.argsort(place, kind="stable")
             lengths = np.fromiter(map(len, chunk.words), np.int64, len(chunk.words))
             cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-            rows = []
+            rows, seen = [], _print(chunk)
             for b in range(buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
                     own = np.sort(own)
                     data = b"".join([chunk.words[i] for i in own.tolist()])
-                    rows.append((number, b, zstandard.compress(data, 1), _squeeze(lengths[own]), _squeeze(own)))
+                    rows.append((number, seen, b, zstandard.compress(data, 1), _squeeze(lengths[own]), _squeeze(own)))
             if rows:
                 yield _batch(words_of, rows)
 
@@ -99,7 +109,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(new, (stops - n).tolist(), stops.tolist(), strict=True))
                 found = [known[w] for w in own]
                 n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-                rows.append((row["chunk"], len(own), _squeeze(np.frombuffer(b"".join(found), "<u4")), _squeeze(n), row["codes"]))
+                rows.append((row["chunk"], row["print"], len(own), _squeeze(np.frombuffer(b"".join(found), "<u4")), _squeeze(n), row["codes"]))
             if rows:
                 yield _batch(tokens_of, rows)
 
@@ -107,14 +117,15 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for number, chunk in _numbered(batches, pattern):
             keys = chunk.keys.fill_null(0).to_numpy().astype("<i8").tobytes()
             nulls = np.packbits(chunk.keys.is_null().to_numpy(zero_copy_only=False)).tobytes()
-            yield _batch(texts_of, [(number, len(chunk.words), keys, nulls, _squeeze(chunk.counts), _squeeze(chunk.codes))])
+            yield _batch(texts_of, [(number, _print(chunk), len(chunk.words), keys, nulls, _squeeze(chunk.counts), _squeeze(chunk.codes))])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, done = left.to_pylist(), []
-        parts = [(_spread(r["codes"]), _spread(r["lengths"]), _spread(r["ids"])) for r in right.to_pylist()]
+        coded = right.to_pylist()
+        parts, seen = [(_spread(r["codes"]), _spread(r["lengths"]), _spread(r["ids"])) for r in coded], {r["print"] for r in coded}
         for row in rows:
             n = row["n_words"]
-            if sum(len(p[0]) for p in parts) != n:
+            if sum(len(p[0]) for p in parts) != n or len(rows) > 1 or not seen <= {row["print"]}:
                 raise ValueError("a chunk was read in two orders; write the input to a table first")
             lengths = np.zeros(n, np.int64)
             for codes, own, _ in parts:
