@@ -17,16 +17,16 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, longest: int = LONGEST) -> pd.DataFrame:
-    """Text and label of at most `per_class` documents of each class, chosen by a hash of doc_id, without longer ones than `longest`.
+    """Text and label of at most `per_class` documents of each class, chosen by a hash of doc_id among those of at most `longest` characters.
 
     `keep` selects the rows that may be learned from. The sample's ids are bounded by 2 * per_class and so
-    may be broadcast; repeated ids count once, with their smallest label; rows without label are left out.
-    The sample comes back in a fixed order.
+    may be broadcast; of a repeated id the smallest label and the smallest text count, once; rows without label are
+    left out. A class all of whose texts are longer has no rows here. The sample comes back in a fixed order.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.min(label).alias("y"))
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
+    fit = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    chosen = [fit.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    found = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    return found.sample(frac=1, random_state=7).reset_index(drop=True)
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toPandas()
+    return found.sort_values("doc_id").sample(frac=1, random_state=7).reset_index(drop=True)
