@@ -20,11 +20,21 @@ SEPARATORS = (9, 10, 11, 12, 13, 32)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A session without one must run on this machine alone (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (place or "file:///tmp/mietwerk-checkpoints").rstrip("/")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` has it (whatever its case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Written tables that cut lineage, so that a lost executor costs a re-read and never a recomputation."""
 
@@ -225,3 +235,25 @@ def may_hold(members: DataFrame) -> Callable[[str], Column]:
         return pd.Series((((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) == 1).all(0))
 
     return hit
+
+
+#: Rows of one key beyond which `hot_join` spreads the key over tasks, at least.
+HOT_ROWS = 500
+
+
+def hot_join(rows: DataFrame, once: DataFrame, key: str, spread: str, count: str = "n") -> DataFrame:
+    """Inner join of `rows` with `once`, which has one row for each long `key` and in `count` how many of `rows` it meets.
+
+    Keys of more than HOT_ROWS rows (and four times the partitions, so that copies stay fewer than rows) are
+    dealt over all partitions by a hash of column `spread`, and their row of `once` is copied to each. Which keys
+    those are is told by a filter of fixed size, so a key that it mistakes for a hot one is joined all the same.
+    """
+    parts = default_partitions(rows.sparkSession)
+    hubs = once.where(F.col(count) > max(HOT_ROWS, 4 * parts if parts > HOT_ROWS else 0))
+    if hubs.isEmpty():
+        return rows.join(once.drop(count), key)
+    hot = may_hold(hubs.select(key))
+    dealt = rows.where(hot(key)).withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    copied = once.where(hot(key)).drop(count).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    cool = rows.where(~hot(key)).join(once.where(~hot(key)).drop(count), key)
+    return cool.unionByName(dealt.join(copied, [key, "_salt"]).drop("_salt"))

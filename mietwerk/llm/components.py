@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mietwerk.llm.common import Scratch, UnionFind
+from mietwerk.llm.common import Scratch, UnionFind, hot_join
 
 EDGE = "src long, dst long"
 #: Edges that a task folds into a forest at once.
@@ -49,21 +49,23 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Node and smallest node of its component, for every node of `edges` (src, dst long, not null).
 
     Alternates large-star and small-star rounds, each an aggregation with map-side partial minima and a
-    join that adaptive execution can split when a hub is hot. Every round's table is written to the shared
-    folder. Rounds stop when all edges form stars; only that answer reaches the driver.
-    Edges of equal ends and repeated edges change nothing; an empty table gives an empty one.
+    join that deals a hub's edges over all tasks. Every round's tables are written to the shared folder.
+    Rounds stop when all edges form stars; only that answer reaches the driver.
+    Edges of equal ends, repeated edges and edges with a null end change nothing; an empty table gives an empty one.
     """
-    now = scratch.write(fold(edges).where("src <> dst").distinct())
+    now = scratch.write(fold(edges.dropna(subset=["src", "dst"])).where("src <> dst").distinct())
     while _unfinished(now):
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        # every edge now points from the larger to the smaller end
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        low = scratch.write(both.groupBy("src").agg(F.least("src", F.min("dst")).alias("low"), F.count("*").alias("n")))
+        large = hot_join(both.where("dst > src"), low, "src", "dst").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        # every edge now points from the larger to the smaller end; one that is found twice counts once
+        pointed = scratch.write(large.distinct())
+        least = scratch.write(pointed.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")))
         ends = F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))
-        small = large.join(low, "src").select(F.explode(ends).alias("e")).select("e.*").where("src <> dst")
+        small = hot_join(pointed, least, "src", "dst").select(F.explode(ends).alias("e")).select("e.*").where("src <> dst")
         new = scratch.write(small.distinct())
-        scratch.drop(now)
+        for table in (now, low, pointed, least):
+            scratch.drop(table)
         now = new
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
