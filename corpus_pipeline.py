@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mietwerk.llm import line_dedup, near_dup, packing, quality, toxicity
-from mietwerk.llm.common import Scratch
+from mietwerk.llm.common import Scratch, free_name
 from mietwerk.llm.labels import fold
 
 TOXIC, GOOD, CAPACITY = 0.5, 0.7, 2048
@@ -22,19 +22,33 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refuse_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below TOXIC."""
+    """Documents whose toxicity is below TOXIC.
+
+    A null text counts as empty; equal rows have equal scores and stay or go together; extra columns stay,
+    whatever their names; an empty table gives an empty one.
+    """
     net = toxicity.fit(docs, _labels(spark, sf_dir), fold("doc_id", 5) != 0)
-    return toxicity.score_toxicity(docs, net, "_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+    score = free_name("_score", docs.columns)
+    return toxicity.score_toxicity(docs, net, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def refuse_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality is at least GOOD."""
+    """Documents whose quality is at least GOOD.
+
+    A null text counts as empty; equal rows have equal scores and stay or go together; extra columns stay,
+    whatever their names; an empty table gives an empty one.
+    """
     model = quality.fit(docs, _labels(spark, sf_dir), fold("doc_id", 4) != 2)
-    return quality.score_quality(docs, model, "_score").where(F.col("_score") >= GOOD).select(*docs.columns)
+    score = free_name("_score", docs.columns)
+    return quality.score_quality(docs, model, score).where(F.col(score) >= GOOD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; those that lose all their text go. n_chars follows the text."""
+    """Documents without lines that repeat earlier ones; those that lose all their text go. n_chars follows the text.
+
+    Of equal lines the first by (doc_id, text hash, line number) stays, a null doc_id before all others; equal
+    rows lose the same lines; a null or empty text stays as it is; an empty table gives an empty one.
+    """
     kept = line_dedup.dedup_lines(docs)
     kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -46,21 +60,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates (five-word shingles), the first by doc_id and text hash.
 
     Rows that share a doc_id are documents of their own: only equal or near texts fold. Without words, only
-    equal rows do; a row without doc_id always stays.
+    equal rows do; a row without doc_id always stays. An empty table gives an empty one.
     """
     scratch = Scratch(spark)
+    hash_, node = (free_name(n, docs.columns) for n in ("_hash", "_node"))
     text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
     # written, so that the numbers stay
-    rows = scratch.write(docs.where("doc_id is not null").withColumns({"_hash": text_hash, "_node": F.monotonically_increasing_id()}))
-    groups = near_dup.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), scratch=scratch)
-    placed = rows.select("_node", "doc_id", "_hash").join(groups.select(F.col("doc_id").alias("_node"), "component_id"), "_node")
-    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_node")).alias("m"))
-    ids = first.groupBy("m.doc_id", "m._hash").agg(F.min("m._node").alias("_node")).select("_node")
-    return rows.join(ids, "_node", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = scratch.write(docs.where("doc_id is not null").withColumns({hash_: text_hash, node: F.monotonically_increasing_id()}))
+    groups = near_dup.near_duplicates(rows.select(F.col(node).alias("doc_id"), "text"), scratch=scratch)
+    own = rows.select(F.col(node).alias("node"), "doc_id", F.col(hash_).alias("hash"))
+    placed = own.join(groups.select(F.col("doc_id").alias("node"), "component_id"), "node")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", "node")).alias("m"))
+    ids = first.groupBy("m.doc_id", "m.hash").agg(F.min("m.node").alias(node)).select(node)
+    return rows.join(ids, node, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in sequences."""
+    """Pieces of the remaining documents and their places in sequences.
+
+    A null text counts as empty, one token long; repeated rows are packed as often as they stand; a null
+    doc_id stays null; an empty table gives an empty one.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, CAPACITY, added=True)
 
 
@@ -77,9 +97,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents."""
+    """Apply all stages to documents. A stage's table is deleted once the next one is written."""
     scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
