@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ LANDLORDS = r"gewobag|howoge|degewo|gesobau|stadt und land|berlinovo|(?<![a-z0-9
 CERTIFICATE = r"wbs|wohnberechtigungsschein"
 DEMAND = r"erforderlich|pflicht|zwingend|ben(ö|oe)tigt|notwendig|required|voraussetzung|vorausgesetzt|vorliegen|g(ü|ue)ltig|nur mit|nur ver|nur an"
 DENIED = r"(?<![a-z0-9_])(kein|keine|keinen|keinem|keiner|ohne|nicht)(?![a-z0-9_])[^.;!?]{0,24}$"
+#: Compounds of the stem tausch that speak of no swap.
+SWAP_COMPOUNDS = ("austausch", "getausch", "zutausch", "umtausch", "vertausch")
 #: Words before a stem that deny it.
 DENIALS = ("kein", "keine", "keinen", "keinem", "keiner", "nicht", "ohne")
 _ACCENTED = "àáâãåāçčèéêëēìíîïīñńòóôõøōùúûūýÿžšś"
@@ -93,18 +99,42 @@ def house_numbers(address: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(address), F.lit(r"(?<![a-z0-9_])(\d{1,4}\s?[a-z]?)(?![a-z0-9_])"), 1))
 
 
+def compatible(text: Column) -> Column:
+    """A text in the normal form NFKC; only rows with other characters than ASCII take the value made in Python."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), form(text)).otherwise(text)
+
+
+def normal_text(text: Column) -> Column:
+    """NFKC, lower case, on one line, trimmed; null becomes empty."""
+    return one_line(F.lower(compatible(F.coalesce(text, F.lit("")))))
+
+
 def title_key(title: Column) -> Column:
-    text = F.lower(one_line(F.replace(title, F.lit("|"), F.lit(" "))))
-    return F.nullif(F.regexp_replace(text, r"[.,;]+$", ""), F.lit(""))
+    text = F.regexp_replace(one_line(F.lower(F.coalesce(title, F.lit("")))), r"[.,;]+$", "")
+    return F.nullif(trim_all(F.replace(text, F.lit("|"), F.lit(" "))), F.lit(""))
 
 
 def canonical_url(url: Column) -> Column:
-    """A URL without fragment, tracking parameters and closing slash, its parameters sorted by name."""
-    bare = F.regexp_replace(trim_all(url), "#.*$", "")
+    """A URL without fragment, tracking parameters and closing slash, its parameters sorted by name.
+
+    Scheme and host are in lower case. Of an immowelt advert no parameter stays, of wg-gesucht only asset_id.
+    What is no URL with a host is only trimmed.
+    """
+    text = trim_all(url)
+    bare = F.regexp_replace(text, "#.*$", "")
     path, query = F.substring_index(bare, "?", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
+    root = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    path = F.concat(F.lower(root), F.when(F.length(root) == F.length(path), "/").otherwise(F.substr(path, F.length(root) + 1)))
+    host, asset = F.regexp_extract(F.lower(root), "//(.*)$", 1), F.regexp_extract(query, r"(?:^|&)asset_id=([^&]*)", 1)
     named = F.transform(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(TRACKING)), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), p.alias("p")))
     kept = F.array_join(F.transform(F.array_sort(named), lambda x: x["p"]), "&")
-    return F.regexp_replace(F.when(kept == "", path).otherwise(F.concat(path, F.lit("?"), kept)), "/$", "")
+    kept = F.when(host.rlike(r"^(www\.)?immowelt\.de$") & path.rlike(r"(?i)/expose/[a-z0-9-]{8,}(?:/|$)"), "").when(host.rlike(r"^(www\.)?wg-gesucht\.de$") & query.rlike("(^|&)asset_id="), F.concat(F.lit("asset_id="), asset)).otherwise(kept)
+    return F.when(root == "", text).otherwise(F.regexp_replace(F.when(kept == "", path).otherwise(F.concat(path, F.lit("?"), kept)), "/$", ""))
 
 
 def provider_identity(url: Column) -> Column:
@@ -136,8 +166,6 @@ def hash_parts(*parts: Column) -> Column:
 
 def matches_phrase(text: Column, phrase: str) -> Column:
     """Whether the words of `phrase` stand in `text` in a row, whatever separates them."""
-    import re
-
     words = [re.escape(w) for w in re.findall(r"\w+", phrase.lower())]
     return F.lower(text).rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(words) + r"(?![\p{L}\p{N}])")
 
@@ -159,14 +187,43 @@ def matches_stem(text: Column, stem: str, negatable: bool = True, exceptions: tu
 
 
 def has_shared_flat(text: Column) -> Column:
-    """Whether `wg` stands as a word that neither names mere suitability nor is denied."""
-    plain = F.regexp_replace(F.lower(text), r"wg[- ]?(geeignet|tauglich|fähig)", " ")
-    return plain.rlike(r"(?<![\p{L}\p{N}])wg(?![\p{L}\p{N}])") & ~plain.rlike(r"(?<![\p{L}\p{N}])(kein|keine|keinen|keinem|keiner|nicht|ohne)\s+wg(?![\p{L}\p{N}])")
+    """Whether `wg` or `wohngemeinschaft` stands as a word that neither names mere suitability nor is denied."""
+    plain = F.regexp_replace(F.lower(text), r"(?U)(?<![a-z0-9_])wg[-\s]?(tauglich|geeignet|f(ä|ae)hig)[a-z0-9_]*", " ")
+    stands = plain.rlike(r"(?<![\p{L}\p{N}])(wg|wohngemeinschaft)(?![\p{L}\p{N}])")
+    return stands & ~plain.rlike(r"(?U)(?<![\p{L}\p{N}])(kein|keine|keinen|nicht)\s+(wg|wohngemeinschaft)(?![\p{L}\p{N}])")
+
+
+def stem_rule(term: str) -> tuple[str, bool, tuple[str, ...]] | None:
+    """Stem, whether it can be denied, and compounds that don't count, of a term that is looked up by stem; else null."""
+    if term.startswith("befristet"):
+        return "befristet", True, ()
+    if re.search("m[öo]b|furnish", term):
+        return re.sub("e[rns]?$", "", re.sub(r"^(voll|teil|partly)\s*", "", term)), True, ()
+    if "tausch" in term:
+        return "tausch", False, SWAP_COMPOUNDS
+    if term in ("untermiete", "zwischenmiete"):
+        return term[:-1], False, ()
+    if term.startswith("sublet"):
+        return "sublet", False, ()
+    if term.startswith("temporar"):
+        return "temporar", False, ("contemporar",)
+    return None
+
+
+def matches_term(text: Column, term: str) -> Column:
+    """Whether a text holds a blacklist's term: by the rule of shared flats, by stem, or as a phrase."""
+    own = term.strip().lower()
+    if own == "wg":
+        return has_shared_flat(text)
+    rule = stem_rule(own)
+    if rule:
+        return matches_stem(text, *rule) if rule[0] else F.lit(False)
+    return matches_phrase(text, own) if re.search(r"\w", own) else F.lit(False)
 
 
 def first_match(text: Column, terms: list[str]) -> Column:
     """The first term of the blacklist that the text matches, else null."""
-    return F.coalesce(*[F.when(has_shared_flat(text) if t == "wg" else matches_phrase(text, t), F.lit(t)) for t in terms], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(matches_term(text, t), F.lit(t)) for t in terms], F.lit(None).cast("string"))
 
 
 def infer_area(address: Column) -> Column:

@@ -48,6 +48,35 @@ def primary_reason(reasons: Column) -> Column:
     return F.get(reasons, F.lit(0))["code"]
 
 
+def primary_term(reasons: Column) -> Column:
+    """Term, intent or field of the first reason."""
+    return F.get(reasons, F.lit(0))["term"]
+
+
+def staged(reasons: Column, stage: str) -> Column:
+    """code, stage and term of the first reason, null without any."""
+    first = F.get(reasons, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["code"].alias("code"), F.lit(stage).alias("stage"), first["term"].alias("term")))
+
+
+#: Intents, and the blacklist terms that once stood for them.
+IMPLIED = (
+    ("swap", "tausch|swap"),
+    ("wg_room", "^wg$|wohngemeinschaft"),
+    ("sublet", "untermiete|zwischenmiete|sublet"),
+    ("furnished", "m(ö|o)b|furnish"),
+    ("relisting_platform", "housinganywhere|spotahome|wunderflats|homelike|nestpick"),
+    ("non_private", "makler|agentur|hausverwaltung|gewerblich|property.?management"),
+    ("fixed_term", "befristet|auf zeit|temporary|short.?term|kurzzeit"),
+)
+
+
+def implied_intents(terms: Column) -> Column:
+    """Intents that a blacklist's terms imply, in the rules' order."""
+    lower = F.transform(F.coalesce(terms, F.array().cast("array<string>")), F.lower)
+    return F.array_compact(F.array(*[F.when(F.exists(lower, lambda t, p=p: F.coalesce(t.rlike(p), F.lit(False))), F.lit(name)) for name, p in IMPLIED]))
+
+
 def config_hash(blacklist: Column, intents: Column, min_rooms: Column, min_size: Column, max_price: Column) -> Column:
     """Digest of a search's filters in a fixed order of fields; lists are sorted."""
     show = lambda c: F.coalesce(c.cast("string"), F.lit("null"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -15,23 +14,16 @@ from pyspark.sql import Window as W
 
 from mietwerk.functions import geo, stats
 from mietwerk.functions.text import string_hash
+from mietwerk.session import written
 
 #: Fixed values of the models.
 FOLDS, HUBER, ITERATIONS, TOLERANCE = 5, 1.345, 50, 1e-8
-LAMBDAS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
+LAMBDAS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 LEAST_POOLED, LEAST_TIER = 20, 30
 #: Names of design_columns(), which needs a running session.
 TERMS = ("one", "log_size", "log_size_2", "rooms_missing", "rooms_dev", "small", "large", "provider_a", "provider_n", "active")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The table written to the folder that all executors share, and read again."""
-    spark = df.sparkSession
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/mietwerk-checkpoints').rstrip('/')}/models-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def corpus_rows(listings: DataFrame) -> DataFrame:
     """Listings fit to learn a rent from: known price and a usual size, with log price a unit."""
     fit = (F.col("price") > 0) & F.col("size").between(10, 400)
@@ -51,13 +43,37 @@ def conformal_quantile(values: Column, p: float) -> Column:
     return F.when(at <= F.size(values), F.get(values, at - 1))
 
 
-def _rank_value(df: DataFrame, keys: list[str], column: str, p: float, name: str) -> DataFrame:
-    """Conformal quantile of each group by rank, without gathering a group: ranks come from counts of values."""
-    values = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = F.sum("_n").over(own.orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = values.withColumns({"_run": run, "_all": F.sum("_n").over(own)})
-    return ranked.where(F.col("_run") >= F.ceil((F.col("_all") + 1) * F.lit(p))).groupBy(*keys).agg(F.min(column).alias(name))
+def _rank_value(df: DataFrame, keys: list[str], column: str, p: float, name: str, buckets: int = 1000) -> DataFrame:
+    """Conformal quantile of each group by rank, without gathering or sorting a group in one task.
+
+    Values are counted in `buckets` equal parts of their group's range; only the part that holds the rank is
+    ranked value by value, each distinct value once.
+    """
+    ends = df.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.count("*").alias("_all"))
+    share = F.coalesce(F.try_divide(F.col(column) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    placed = df.join(F.broadcast(ends), keys).withColumn("_part", F.least(F.lit(buckets - 1), F.floor(share * buckets)))  # one row a tier
+    run = lambda own, by: F.sum("_n").over(own.orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = W.partitionBy(*keys)
+    parts = placed.groupBy(*keys, "_part", "_all").agg(F.count("*").alias("_n")).withColumn("_run", run(own, "_part"))
+    rank = F.ceil((F.col("_all") + 1) * F.lit(p))
+    hit = parts.where(F.col("_run") >= rank).groupBy(*keys).agg(F.min_by(F.struct("_part", (rank - F.col("_run") + F.col("_n")).alias("rank")), "_part").alias("_h"))
+    inside = placed.join(F.broadcast(hit.select(*keys, F.col("_h._part").alias("_part"), F.col("_h.rank").alias("_rank"))), [*keys, "_part"])
+    values = inside.groupBy(*keys, "_rank", column).agg(F.count("*").alias("_n")).withColumn("_run", run(own, column))
+    return values.where(F.col("_run") >= F.col("_rank")).groupBy(*keys).agg(F.min(column).alias(name))
+
+
+def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows` with their position from 0 in a total order; sorted by ranges, only a count for each range meets the driver."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(sorted_.withColumn("_id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in kept.groupBy(part.alias("p")).count().withColumnRenamed("count", "n").collect()}
+    starts, total = [], 0
+    for p in sorted(counts):
+        starts.append((p, total))
+        total += counts[p]
+    before = rows.sparkSession.createDataFrame(starts, "_p long, _before long")
+    return kept.join(F.broadcast(before), part == F.col("_p")).select(*rows.columns, (at + F.col("_before")).alias(name))
 
 
 def calibrate(rows: DataFrame, level: float = 0.8, digits: int = 9) -> DataFrame:
@@ -83,13 +99,12 @@ def with_intervals(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     return joined.withColumns({"lo": F.coalesce("_lo", "_plo"), "hi": F.coalesce("_hi", "_phi")}).drop("_lo", "_hi", "_plo", "_phi")
 
 
-def assess(rows: DataFrame, order: list[str], level: float = 0.8) -> DataFrame:
-    """Even rows calibrate, odd ones assess: coverage and median width in percent, by tier."""
-    parity = F.pmod(F.xxhash64(*order), F.lit(2)) if not order else F.col(order[0]) % 2
-    marked = rows.withColumn("_odd", parity)
-    held = with_intervals(marked.where("_odd = 1"), calibrate(marked.where("_odd = 0"), level))
+def assess(rows: DataFrame, order: list[str], level: float = 0.8, digits: int = 9) -> DataFrame:
+    """Rows at even positions of `order` calibrate, those at odd ones assess: coverage and median width in percent, by tier."""
+    marked = written(row_numbers(rows.where("residual is not null"), order, "_at"))
+    held = with_intervals(marked.where("_at % 2 = 1"), calibrate(marked.where("_at % 2 = 0"), level, digits))
     covered = F.col("residual").between(F.col("lo"), F.col("hi"))
-    return held.groupBy("tier").agg(F.count("*").alias("n"), F.avg(F.when(covered, 1.0).otherwise(0.0)).alias("coverage"), F.median(100 * (F.exp("hi") - F.exp("lo"))).alias("width"))
+    return held.groupBy("tier").agg(F.count("*").alias("n"), F.avg(F.when(covered, 1.0).otherwise(0.0)).alias("coverage"), F.median(100 * (F.exp(F.col("hi") - F.col("lo")) - 1)).alias("width"))
 
 
 def design_columns() -> dict[str, Column]:
@@ -142,7 +157,7 @@ def huber_ridge(design: DataFrame, terms: list[str], target: str, lam: float, ro
     a percentile of residuals; only these reach the driver, whatever the number of rows. It ends when no coefficient moves by TOLERANCE, or
     with a warning after `rounds`.
     """
-    design = _written(design.select(*terms, target))
+    design = written(design.select(*terms, target))
     first = design.agg(*[F.avg(t) for t in terms], *[F.stddev_samp(t) for t in terms], F.percentile_approx(target, 0.5, 100_000)).first()
     k = len(terms)
     mean, std = np.array(first[:k], float), np.array([s if s and s > 1e-12 else 1.0 for s in first[k : 2 * k]])
@@ -237,35 +252,25 @@ def neighbour_counts(points: DataFrame, radii: tuple[int, ...] = (250, 500, 1000
     return points.select("id").join(met, "id", "left").select("id", *[F.coalesce(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in radii])
 
 
-def kth_distance(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """Distance to the k-th neighbour, of points that have one within the radius."""
-    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
-    return neighbour_pairs(points, radius).withColumn("_r", rank).where(F.col("_r") == k).select("id", "distance")
-
-
 def nearest_kth(points: DataFrame, k: int, least: float = 500.0, most: float = 16_000.0) -> DataFrame:
     """Distance to the k-th neighbour: points that lack k of them look again at twice the radius, up to `most`."""
-    points = _written(points)
+    points = written(points)
     asking, radius, out = points, least, None
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
     while True:
-        found = _written(neighbour_pairs(points, radius, asking=asking).withColumn("_r", rank).where(F.col("_r") == k).select("id", "distance"))
+        found = written(neighbour_pairs(points, radius, asking=asking).withColumn("_r", rank).where(F.col("_r") == k).select("id", "distance"))
         out = found if out is None else out.unionByName(found)
         radius *= 2
         if radius > most:
             return out
-        asking = _written(asking.join(found, "id", "left_anti"))
+        asking = written(asking.join(found, "id", "left_anti"))
         if asking.isEmpty():
             return out
 
 
-def bandwidth_clamps(points: DataFrame, k: int = 8, radius: float | None = 2000.0) -> DataFrame:
-    """Smallest and largest bandwidth of the residual field, from quantiles of the k-th distances.
-
-    Without a radius, distances are those of `nearest_kth`.
-    """
-    distances = nearest_kth(points, k) if radius is None else kth_distance(points, k, radius)
-    q = distances.agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.count("*").alias("n"))
+def bandwidth_clamps(points: DataFrame, k: int = 8) -> DataFrame:
+    """Smallest and largest bandwidth of the residual field, from quantiles of the distances of `nearest_kth`."""
+    q = nearest_kth(points, k).agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.count("*").alias("n"))
     low = F.when(F.col("n") < 9, 150.0).otherwise(F.greatest(F.lit(25.0), F.col("q")[0]))
     high = F.when(F.col("n") < 9, 1200.0).otherwise(F.greatest(2 * low, F.col("q")[1]))
     return q.select(low.alias("min_bandwidth"), high.alias("max_bandwidth"), "n")
@@ -416,26 +421,40 @@ def score_with_models(rows: DataFrame, models: DataFrame, features: list[str]) -
     return rows.select("id", "market", *features).mapInPandas(score, "id long, market string, alpha double, rows long, sampled long, predicted double")
 
 
-def greedy_point_dedupe(rows: DataFrame, tolerance: float = 0.02) -> DataFrame:
+def greedy_point_dedupe(rows: DataFrame, tolerance: float = 0.02, filled: tuple[str, ...] = ()) -> DataFrame:
     """Rows left when, of those at one point and size, each within `tolerance` of an earlier kept price goes.
 
-    Order: created_at, id. Points stream through their task one after the other, and only a point's kept
-    prices are held: these lie further than `tolerance` apart, so few are kept however many rows a point has.
-    Rows without a price have to be filtered first.
+    Order: created_at, id. A row that goes takes the kept one's place if more of its `filled` columns are known.
+    Points stream through their task one after the other, and only a point's kept rows are held: their first
+    prices lie further than `tolerance` apart, so few are kept however many rows a point has. Rows without a price
+    have to be filtered first.
     """
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, prices = None, []
+        group, prices, kept = None, [], []
+
+        def close() -> pd.DataFrame:
+            return pd.concat([k for _, k in kept]) if kept else pd.DataFrame()
+
         for pdf in batches:
-            kept = np.zeros(len(pdf), bool)
+            rich = pdf[list(filled)].notna().sum(axis=1).to_numpy() if filled else np.zeros(len(pdf), int)
+            out = []
             for i, (point, size, price) in enumerate(zip(pdf["point"], pdf["size"], pdf["price"], strict=True)):
                 if (point, size) != group:
-                    group, prices = (point, size), []
+                    out.append(close())
+                    group, prices, kept = (point, size), [], []
                 at = bisect_left(prices, price)
-                if not any(abs(price - q) <= tolerance * max(price, q) for q in prices[max(at - 1, 0) : at + 1]):
-                    kept[i] = True
+                near = [j for j in (at - 1, at) if 0 <= j < len(prices) and abs(price - prices[j]) <= tolerance * max(price, prices[j])]
+                if not near:
                     prices.insert(at, price)
-            yield pdf[kept]
+                    kept.insert(at, (rich[i], pdf.iloc[i : i + 1]))
+                elif rich[i] > kept[near[0]][0]:
+                    kept[near[0]] = (rich[i], pdf.iloc[i : i + 1])
+            out = [o for o in out if len(o)]
+            if out:
+                yield pd.concat(out)
+        if kept:
+            yield close()
 
     ordered = rows.repartition("point", "size").sortWithinPartitions("point", "size", "created_at", "id")
     return ordered.mapInPandas(keep, rows.schema)

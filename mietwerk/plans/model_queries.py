@@ -63,7 +63,7 @@ def conformal_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conformal_assessment(spark: SparkSession, d: str) -> DataFrame:
-    found = m.assess(_residuals(spark, d), ["listing_id"])
+    found = m.assess(_residuals(spark, d), ["listing_id", "tier", "residual"])
     return found.select("tier", "n", F.round("coverage", 6).alias("coverage"), F.round("width", 3).alias("width"))
 
 
@@ -76,7 +76,8 @@ def neighbour_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_distance(spark: SparkSession, d: str) -> DataFrame:
-    return m.kth_distance(t.points(spark, d), 8, 2000.0).select("id", F.round("distance", 4).alias("distance"))
+    """Distance to the eighth neighbour; points that lack eight look again twice as far, up to 16 km."""
+    return m.nearest_kth(t.points(spark, d), 8).select("id", F.round("distance", 4).alias("distance"))
 
 
 def bandwidth_clamps(spark: SparkSession, d: str) -> DataFrame:
@@ -84,16 +85,6 @@ def bandwidth_clamps(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.round("min_bandwidth", 3).alias("min_bandwidth"), F.round("max_bandwidth", 3).alias("max_bandwidth"), "n")
 
 
-def knn_distance_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As `knn_distance`, but points without eight neighbours within 2000 m look further, up to 16 km."""
-    return m.nearest_kth(t.points(spark, d), 8).select("id", F.round("distance", 4).alias("distance"))
-
-
-def bandwidth_clamps_whole(spark: SparkSession, d: str) -> DataFrame:
-    found = m.bandwidth_clamps(t.points(spark, d), radius=None)
-    return found.select(F.round("min_bandwidth", 3).alias("min_bandwidth"), F.round("max_bandwidth", 3).alias("max_bandwidth"), "n")
-
-
 def kernel_field(spark: SparkSession, d: str) -> DataFrame:
     found = m.kernel_field(t.points(spark, d), 300.0, 700.0)
     return found.select("id", F.round("residual", 6).alias("residual"), F.round("n_eff", 4).alias("n_eff"), F.round("confidence", 5).alias("confidence"))
@@ -139,9 +130,9 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantile_models(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the two markets that its SQL names; `quantile_predictions` has all markets and what the trees say."""
-    rows = m.corpus_rows(t.listings(spark, d)).where(F.col("market").isin("NATION_1", "NATION_2"))
-    return m.train_quantile_models(rows, ["size", "rooms"], "log_price").select("market", "alpha", "rows")
+    """Rows of every market and those that its trees learned from, by level; `quantile_predictions` has what the trees say."""
+    rows = m.corpus_rows(t.listings(spark, d))
+    return m.train_quantile_models(rows, ["size", "rooms"], "log_price").select("market", "alpha", "rows", "sampled")
 
 
 def quantile_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         robust_stats, weighted_quantiles, effective_sample_sizes, error_stats, naive_baseline, pinball_by_quantile, corpus_outlier_filter, conformal_calibration, conformal_assessment, spatial_folds, neighbour_counts,
-        knn_distance, bandwidth_clamps, knn_distance_whole, bandwidth_clamps_whole, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped,
+        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped,
     )
 }
 
@@ -192,19 +183,15 @@ ORACLES = {
     "corpus_outlier_filter": _sql(f"""with {_CORPUS}, s as (select market, median(log_price) as md, mad(log_price) as d from c group by market)
       select market, count(*) as n, round(min(log_price), 6) as low, round(max(log_price), 6) as high from c join s using (market) where d = 0 or abs(log_price - md) <= 1.4826 * d group by market"""),
     "conformal_calibration": _sql(f"with {_RESIDUALS}, {_CALIBRATE.format(source='r')} select tier, n, round(lo, 6) as lo, round(hi, 6) as hi from q"),
-    "conformal_assessment": _sql(f"""with r as (select listing_id, tier, round(ln(actual / fair), 9) as x, ln(actual / fair) as y from v_score), even as (select tier, x from r where listing_id % 2 = 0), {_CALIBRATE.format(source='even')}
-      select r.tier, count(*) as n, round(avg(case when y between coalesce(q.lo, p.lo) and coalesce(q.hi, p.hi) then 1 else 0 end), 6) as coverage, round(median(100 * (exp(coalesce(q.hi, p.hi)) - exp(coalesce(q.lo, p.lo)))), 3) as width
-      from r left join q on q.tier = r.tier join q p on p.tier = '*' where listing_id % 2 = 1 group by r.tier"""),
+    "conformal_assessment": _sql(f"""with r as (select listing_id, tier, round(ln(actual / fair), 9) as x, ln(actual / fair) as y from v_score), o as (select *, row_number() over (order by listing_id, tier, y) - 1 as k from r), even as (select tier, x from o where k % 2 = 0), {_CALIBRATE.format(source='even')}
+      select r.tier, count(*) as n, round(avg(case when y between coalesce(q.lo, p.lo) and coalesce(q.hi, p.hi) then 1 else 0 end), 6) as coverage, round(median(100 * (exp(coalesce(q.hi, p.hi) - coalesce(q.lo, p.lo)) - 1)), 3) as width
+      from o r left join q on q.tier = r.tier join q p on p.tier = '*' where k % 2 = 1 group by r.tier"""),
     "spatial_folds": _sql("""with k as (select id, floor(x / 500)::bigint || ':' || floor(y / 500)::bigint || '|ridge-params' as k from v_point)
       select id, (abs(list_reduce(list_prepend(0::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)), lambda h, c: (((h * 31 + c) & 4294967295) + 2147483648) % 4294967296 - 2147483648)) % 5)::int as fold from k"""),
     "neighbour_counts": _sql(f"""with {_KNN} select p.id, count(*) filter (where distance <= 250) as n_250, count(*) filter (where distance <= 500) as n_500, count(*) filter (where distance <= 1000) as n_1000
       from v_point p left join n on n.id = p.id group by p.id"""),
-    "knn_distance": _sql(f"with {_KNN} select id, round(distance, 4) as distance from n where distance <= 2000 qualify row_number() over (partition by id order by distance, other) = 8"),
-    "bandwidth_clamps": _sql(f"""with {_KNN}, k as (select distance from n where distance <= 2000 qualify row_number() over (partition by id order by distance, other) = 8),
-      q as (select count(*) as n, quantile_cont(distance, 0.05) as a, quantile_cont(distance, 0.95) as b from k), l as (select n, b, case when n < 9 then 150.0 else greatest(25.0, a) end as low from q)
-      select round(low, 3) as min_bandwidth, round(case when n < 9 then 1200.0 else greatest(2 * low, b) end, 3) as max_bandwidth, n from l"""),
-    "knn_distance_whole": _sql(f"with {_KNN} select id, round(distance, 4) as distance from n where distance <= 16000 qualify row_number() over (partition by id order by distance, other) = 8"),
-    "bandwidth_clamps_whole": _sql(f"""with {_KNN}, k as (select distance from n where distance <= 16000 qualify row_number() over (partition by id order by distance, other) = 8),
+    "knn_distance": _sql(f"with {_KNN} select id, round(distance, 4) as distance from n where distance <= 16000 qualify row_number() over (partition by id order by distance, other) = 8"),
+    "bandwidth_clamps": _sql(f"""with {_KNN}, k as (select distance from n where distance <= 16000 qualify row_number() over (partition by id order by distance, other) = 8),
       q as (select count(*) as n, quantile_cont(distance, 0.05) as a, quantile_cont(distance, 0.95) as b from k), l as (select n, b, case when n < 9 then 150.0 else greatest(25.0, a) end as low from q)
       select round(low, 3) as min_bandwidth, round(case when n < 9 then 1200.0 else greatest(2 * low, b) end, 3) as max_bandwidth, n from l"""),
     "kernel_field": _sql("""with n as (select a.id, b.id as other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as distance, b.value from v_point a join v_point b on a.id <> b.id and a.cluster <> b.cluster),
@@ -225,5 +212,5 @@ ORACLES = {
     "log_smear": _sql("select tier, round(ln(greatest(0.8, least(1.25, avg(exp(ln(actual / fair) / 20))))), 6) as smear from v_score group by tier"),
     "tree_scores": _sql("""with r as (select id, case when size <> 13 then size end as s, case when rooms::int % 10 <> 0 then rooms when rooms > 20 then 0.0 end as r from v_listing)
       select id, round(sum((case when s is null or s <= 20.5 then 1.5 when coalesce(r, 0) <= 25 then -0.5 else 2.0 end) + (case when r is null or r = 0 then 0.75 when r <= 10 then 0.25 else 0.75 end)), 6) as score from r group by id"""),
-    "quantile_models": _sql(f"with {_CORPUS} select market, alpha, count(*) as rows from c, unnest([0.1::double, 0.5::double, 0.9::double]) a(alpha) where market in ('NATION_1', 'NATION_2') group by all".replace("as rows", 'as "rows"')),
+    "quantile_models": _sql(f"""with {_CORPUS} select market, alpha, count(*) as "rows", least(count(*), 20000) as sampled from c, unnest([0.1::double, 0.5::double, 0.9::double]) a(alpha) group by all"""),
 }

@@ -11,7 +11,7 @@ from mietwerk.operators import claims as cl
 from mietwerk.operators import filters as fl
 from mietwerk.sources import tables as t
 
-TERMS = ["auf zeit", "the and", "wg", "eth in"]
+TERMS = ["auf zeit", "the and", "wg", "eth in", "Tauschwohnung", "temporary"]
 RING = [(-3000.0, -3000.0), (2500.0, -2000.0), (3500.0, 1500.0), (0.0, 3200.0), (-2500.0, 1000.0)]
 
 
@@ -136,7 +136,11 @@ def _adverts(spark: SparkSession, d: str) -> DataFrame:
     rest = F.struct("created_at", "price", "size", "title", "rooms", "address", "market")
     own = t.listings(spark, d).groupBy("id").agg(F.min(rest).alias("r")).select("id", "r.*")
     site = F.concat(F.lit("https://portal.example/"), F.col("id"), F.lit("?utm_source=x"))
-    return own.select("id", F.struct("created_at", "id").alias("seq"), site.alias("link"), "title", "price", "size", "rooms", F.col("address"), "market")
+    # round prices and sizes, streets of two houses and two markets, so that some adverts match
+    price, size = (F.floor("price") - F.pmod(F.floor("price"), F.lit(20000)) + 500.0).alias("price"), (F.floor("size") - F.pmod(F.floor("size"), F.lit(10)) + 10.0).alias("size")
+    address = F.concat(F.regexp_replace("address", r"\d+$", ""), (F.col("id") % 2 + 1).cast("string")).alias("address")
+    market = F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("market")
+    return cl.keyed(own.select("id", F.struct("created_at", "id").alias("seq"), site.alias("link"), "title", price, size, "rooms", address, market))
 
 
 def claims_by_kind(spark: SparkSession, d: str) -> DataFrame:
@@ -205,10 +209,13 @@ def _crossing() -> str:
     return " + ".join(f"case when ({y1} > y) <> ({y2} > y) and x < (y - {y1}) * {(x2 - x1) / (y2 - y1)!r} + {x1} then 1 else 0 end" for (x1, y1), (x2, y2) in pairs if y1 != y2)
 
 
-_ADVERTS = """with a as (
+_ADVERTS = """with f as (
+  select id, created_at, title, floor(price) - floor(price)::bigint % 20000 + 500.0::double as price, floor(size) - floor(size)::bigint % 10 + 10.0::double as size, rooms, regexp_replace(address, '\\d+$', '') || (id % 2 + 1) as address, case when id % 5 = 0 then 'b' else 'a' end as market from v_listing
+  qualify row_number() over (partition by id order by created_at, v_listing.price, v_listing.size, title, rooms, v_listing.address, v_listing.market) = 1
+), a as (
   select id, created_at, title, lower(title) as tkey, price, size, rooms, address, market, floor(ln(price) / ln(1.03))::bigint as pb, floor(size / 0.5)::bigint as sb,
     list_aggregate(list_sort(list_distinct(list_filter(string_split_regex(lower(address), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1 or regexp_matches(w, '^\\p{N}$')))), 'string_agg', ' ') as tokens
-  from v_listing qualify row_number() over (partition by id order by created_at, price, size, title, rooms, address, market) = 1
+  from f
 ), c as (
   select id, created_at, 'url' as kind, 'url:https://portal.example/' || id as claim from a
   union all select id, created_at, 'sem', 'sem:' || sha256(tkey || '|' || tokens)[1:16] || '|' || (pb - i) from a, range(2) r(i) where regexp_matches(tokens, '\\d')
@@ -222,7 +229,7 @@ j as (select m.earlier, m.later, case rank when 4 then 'url' when 5 then 'sem' e
     when rank = 4 then '' when x.market <> y.market then 'market'
     when regexp_extract(x.address, '(\\d+)$', 1) <> regexp_extract(y.address, '(\\d+)$', 1) and length(regexp_extract(x.address, '(\\d+)$', 1)) <= 4 and length(regexp_extract(y.address, '(\\d+)$', 1)) <= 4 then 'house_number'
     when abs(x.rooms - y.rooms) > 0.01 then 'rooms' when x.tkey <> y.tkey then 'title' when rank = 5 and x.tokens <> y.tokens then 'address'
-    when not abs(x.price - y.price) <= 0.02 * greatest(x.price, y.price) then 'price' when rank = 8 and not abs(x.size - y.size) < 0.01 then 'size' else '' end as veto
+    when not abs(x.price - y.price) < 0.01 then 'price' when not abs(x.size - y.size) < 0.01 then 'size' else '' end as veto
   from m join a x on x.id = m.earlier join a y on y.id = m.later)"""
 )
 
@@ -242,12 +249,15 @@ ORACLES = {
     "market_keys": "select n_nationkey, 'muen_' || lower(n_name) || '_strasse_e' as key from nation",
     "address_keys": "select s_suppkey, lower(s_name) || ' weg 3b::' || lower(n_name) as key from supplier join nation on s_nationkey = n_nationkey",
     "token_keys": "select s_suppkey, array_to_string(list_sort(['7', 'allee', 'grosse', 'supplier', split_part(s_name, '#', 2)]), ' ') as key from supplier",
-    "blacklist_terms": "select doc_id, case " + " ".join(f"when {_phrase(term)} then '{term}'" for term in TERMS) + " else '' end as term from documents",
+    "blacklist_terms": """with w as (select doc_id, text, list_zip(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), list_prepend('', string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'))) as z, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') as ws from documents)
+      select doc_id, case """ + " ".join(f"when {_phrase(term)} then '{term}'" for term in TERMS[:2]) + f""" when ({_phrase("wg")} or {_phrase("wohngemeinschaft")}) and not regexp_matches(lower(text), '(kein|keine|keinen|nicht)\\s+(wg|wohngemeinschaft)([^\\p{{L}}\\p{{N}}]|$)') then 'wg'
+      when {_phrase(TERMS[3])} then '{TERMS[3]}' when len(list_filter(ws, lambda w: contains(w, 'tausch') and not regexp_matches(w, 'austausch|getausch|zutausch|umtausch|vertausch'))) > 0 then 'Tauschwohnung'
+      when len(list_filter(ws, lambda w: contains(w, 'temporar') and not contains(w, 'contemporar'))) > 0 then 'temporary' else '' end as term from w""",
     "blacklist_stems": """with w as (select doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') as ws from documents)
       select doc_id, len(list_filter(ws, lambda w: contains(w, 'eron'))) > 0 as stem, len(list_filter(ws, lambda w: contains(w, 'eron') and not contains(w, 'oneron'))) > 0 as stem_but from w""",
     "social_housing_flags": "select doc_id, doc_id % 5 = 0 as certificate, doc_id % 5 = 2 as landlord from documents",
     "areas_inferred": "select s_suppkey, ['mitte', 'neukoelln', 'alt_treptow', 'unknown', 'pankow_prenzlauer_berg', 'schoeneberg_tempelhof'][s_suppkey % 6 + 1] as area from supplier",
-    "bots_detected": "select page_id, page_id % 7 = 0 or page_id % 5 = 0 or regexp_matches(html[1:400], '(?i)captcha|access denied') as bot from pages",
+    "bots_detected": "select page_id, page_id % 7 = 0 or page_id % 5 = 0 or coalesce(regexp_matches(html, '(?i)verify you are human|access denied|x-amz-cf-id|bitte best[aä]tigen sie,? dass sie ein mensch sind|best[aä]tigen.{0,80}(mensch|kein roboter)|captcha|challenge-platform|cf-chl-'), false) as bot from pages",
     "inactive_listings": """select doc_id, case when doc_id % 2 = 0 and (doc_id % 3 = 0 or regexp_matches(text[1:790], '(?i)gelöscht')) then 'Provider marks listing deleted'
       when doc_id % 2 = 0 and (doc_id % 3 = 1 or regexp_matches(text[1:790], '(?i)reserviert')) then 'Provider marks listing reserved' else '' end as reason from documents""",
     "cleaned_texts": """with l as (select doc_id, unnest(string_split_regex(text, '\\r?\\n')) as raw, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) as i from documents),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +17,18 @@ SETTINGS = {
 
 def build_session(app: str = "mietwerk", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; only a session on this machine alone may lack it."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(place or 'file:///tmp/mietwerk-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written to a shared folder and read again, so that what follows doesn't compute it once more."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
