@@ -74,7 +74,8 @@ IMPLIED = (
 def implied_intents(terms: Column) -> Column:
     """Intents that a blacklist's terms imply, in the rules' order."""
     lower = F.transform(F.coalesce(terms, F.array().cast("array<string>")), F.lower)
-    return F.array_compact(F.array(*[F.when(F.exists(lower, lambda t, p=p: F.coalesce(t.rlike(p), F.lit(False))), F.lit(name)) for name, p in IMPLIED]))
+    said = lambda pattern: F.exists(lower, lambda t: F.coalesce(t.rlike(pattern), F.lit(False)))
+    return F.array_compact(F.array(*[F.when(said(pattern), F.lit(name)) for name, pattern in IMPLIED]))
 
 
 def config_hash(blacklist: Column, intents: Column, min_rooms: Column, min_size: Column, max_price: Column) -> Column:

@@ -141,7 +141,45 @@ POINTS = """v_point as (
   select vec_id as id, embedding[1]::double * 20000 as x, embedding[2]::double * 20000 as y, embedding[3]::double as value, label as cluster from embeddings
 )"""
 
-VIEWS = {"v_listing": LISTINGS, "v_verdict": VERDICTS, "v_run": RUNS, "v_score": SCORES, "v_work": WORKS, "v_point": POINTS}
+AMENITY_NAMES = ("balcony", "garden_use", "elevator", "fitted_kitchen", "cellar", "garage", "parquet", "wheelchair_accessible", "old_building", "underground_parking")
+CONDITIONS = ("needs_renovation", "well_maintained", "refurbished", "renovated", "first_occupancy_after_renovation", "like_new", "first_occupancy", "unknown")
+
+
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted attributes of adverts, one a part, some of each unknown."""
+    k = F.col("p_partkey")
+    unless = lambda n, value: F.when(k % n != 0, value)
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    bits = [F.when(F.shiftright(k, i) % 2 == 1, n) for i, n in enumerate(AMENITY_NAMES)]
+    return read(spark, sf_dir, "part").select(
+        k.alias("id"), F.col("p_retailprice").alias("price"), (F.col("p_size") * 3.0).alias("size"), unless(7, (k % 12) / 2.0).alias("rooms"), unless(5, (k % 8).cast("double")).alias("bedrooms"), unless(4, (k % 6).cast("double")).alias("bathrooms"),
+        unless(6, (k % 13 - 2).cast("double")).alias("floor"), unless(9, (k % 25).cast("double")).alias("total_floors"), unless(8, (1850 + k % 190).cast("double")).alias("building_year"),
+        pick(("apartment", "penthouse", "loft", "maisonette"), k % 4).alias("property_type"), pick(CONDITIONS, k % 8).alias("condition"), pick(("A+", "A", "B", "C", "D", "E", "F", "G", "H", "none"), k % 10).alias("energy_class"),
+        F.array_compact(F.array(*bits)).alias("amenities"), F.array_compact(F.array(F.when(k % 3 == 0, "balcony"), F.when(k % 11 == 0, "elevator"))).alias("absent"),
+        pick(("full", "partial", "none", "unknown"), k % 4).alias("furnishing_status"), F.when(k % 10 == 0, "Ein WBS ist erforderlich.").when(k % 10 == 1, "Die GEWOBAG vermietet.").alias("comments"),
+        unless(3, (300 + k % 900).cast("double")).alias("cold_rent"), unless(4, (400 + k % 900).cast("double")).alias("warm_rent"), pick(("cold", "warm", "unknown"), k % 3).alias("price_type"), unless(2, (k % 3000).cast("double")).alias("deposit"),
+        pick(("immediate", "flexible", "unknown", "2024-05-01"), k % 4).alias("available_from"), unless(3, F.lit("2024-12")).alias("available_until"), pick(("allowed", "conditional", "preferred_no", "prohibited", "unknown"), k % 5).alias("pets_policy"),
+        unless(5, 50 + k % 100 / 50.0).alias("latitude"), unless(5, 10 + k % 70 / 40.0).alias("longitude"), pick(("house", "street", "postcode", "city"), k % 4).alias("accuracy"),
+        F.concat(F.lit("Hauptstr. "), k, F.when(k % 3 == 0, F.concat(F.lit(", "), F.lpad(k.cast("string"), 5, "1"))).otherwise("")).alias("address"), "p_name", "p_brand", "p_type",
+    )
+
+
+ATTRIBUTES = f"""v_attribute as (
+  select k as id, p_retailprice as price, p_size * 3.0::double as size, case when k % 7 <> 0 then (k % 12) / 2.0::double end as rooms, case when k % 5 <> 0 then (k % 8)::double end as bedrooms, case when k % 4 <> 0 then (k % 6)::double end as bathrooms,
+    case when k % 6 <> 0 then (k % 13 - 2)::double end as floor, case when k % 9 <> 0 then (k % 25)::double end as total_floors, case when k % 8 <> 0 then (1850 + k % 190)::double end as building_year,
+    ['apartment', 'penthouse', 'loft', 'maisonette'][k % 4 + 1] as property_type, {list(CONDITIONS)}[k % 8 + 1] as condition, ['A+', 'A', 'B', 'C', 'D', 'E', 'F', 'G', 'H', 'none'][k % 10 + 1] as energy_class,
+    list_filter(list_transform(range(10), lambda i: case when (k >> i) % 2 = 1 then {list(AMENITY_NAMES)}[i + 1] end), lambda x: x is not null) as amenities,
+    list_filter([case when k % 3 = 0 then 'balcony' end, case when k % 11 = 0 then 'elevator' end], lambda x: x is not null) as absent,
+    ['full', 'partial', 'none', 'unknown'][k % 4 + 1] as furnishing_status, case k % 10 when 0 then 'Ein WBS ist erforderlich.' when 1 then 'Die GEWOBAG vermietet.' end as comments,
+    case when k % 3 <> 0 then (300 + k % 900)::double end as cold_rent, case when k % 4 <> 0 then (400 + k % 900)::double end as warm_rent, ['cold', 'warm', 'unknown'][k % 3 + 1] as price_type, case when k % 2 <> 0 then (k % 3000)::double end as deposit,
+    ['immediate', 'flexible', 'unknown', '2024-05-01'][k % 4 + 1] as available_from, case when k % 3 <> 0 then '2024-12' end as available_until, ['allowed', 'conditional', 'preferred_no', 'prohibited', 'unknown'][k % 5 + 1] as pets_policy,
+    case when k % 5 <> 0 then 50 + k % 100 / 50.0::double end as latitude, case when k % 5 <> 0 then 10 + k % 70 / 40.0::double end as longitude, ['house', 'street', 'postcode', 'city'][k % 4 + 1] as accuracy,
+    'Hauptstr. ' || k || case when k % 3 = 0 then ', ' || lpad(k::varchar, 5, '1') else '' end as address, p_name, p_brand, p_type
+  from (select *, p_partkey::bigint as k from part)
+)"""
+
+
+VIEWS = {"v_listing": LISTINGS, "v_verdict": VERDICTS, "v_run": RUNS, "v_score": SCORES, "v_work": WORKS, "v_point": POINTS, "v_attribute": ATTRIBUTES}
 
 
 def with_views(sql: str) -> str:
