@@ -106,7 +106,7 @@ def _extraction() -> Column:
 def canonical_listings(spark: SparkSession, d: str) -> DataFrame:
     a = t.attributes(spark, d).withColumn("e", _extraction())
     shown = {k: F.array_join(v, ",") if k.startswith("amenities") else v for k, v in ad.canonical_listing(F.col("e")).items()}
-    shown["furnished"] = shown["furnished"].cast("int")
+    shown["furnished"] = F.when(shown["furnished"], "yes").when(~shown["furnished"], "no").otherwise("")
     return a.select("id", *[v.alias(k) for k, v in shown.items()])
 
 
@@ -293,7 +293,7 @@ ORACLES = {
     "complete_cards": _sql(f"with {_CARD} select provider, count(*) as n from q where length(external_id) % 2 = 0 group by provider"),
     "canonical_listings": _sql("""with w as (select *, case when id % 5 = 0 then cold_rent else warm_rent end as warm from v_attribute), c as (select *, case when cold_rent is distinct from warm then cold_rent end as cold from w)
       select id, coalesce(cold, warm) as price, cold as cold_rent, warm as warm_rent, case when cold is not null then 'cold' when warm is not null then 'warm' else 'unknown' end as price_type, p_name as title, available_from, id % 6 = 0 as swap,
-        case id % 6 when 0 then 'swap' when 1 then 'unknown' else 'rental' end as listing_type, furnishing_status, case furnishing_status when 'full' then 1 when 'none' then 0 end as furnished, 'unknown' as pets_policy,
+        case id % 6 when 0 then 'swap' when 1 then 'unknown' else 'rental' end as listing_type, furnishing_status, case furnishing_status when 'full' then 'yes' when 'none' then 'no' else '' end as furnished, 'unknown' as pets_policy,
         array_to_string(amenities, ',') as amenities, array_to_string(absent, ',') as amenities_absent from c"""),
     # a name that is both present and lacking is repeated too
     "repaired_outputs": _sql("""with a as (select id, list_concat(amenities, absent) as x from v_attribute), b as (select id, list_concat(x, x[1:3]) as x from a),

@@ -179,7 +179,31 @@ ATTRIBUTES = f"""v_attribute as (
 )"""
 
 
-VIEWS = {"v_listing": LISTINGS, "v_verdict": VERDICTS, "v_run": RUNS, "v_score": SCORES, "v_work": WORKS, "v_point": POINTS, "v_attribute": ATTRIBUTES}
+#: The clock of the work items: 2024-01-31 in epoch milliseconds.
+CLOCK = 1_706_659_200_000
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work items, one an order: kind, key, payload map, status, attempts, leases, deferrals."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    payload = F.create_map(F.lit("listingId"), (k % 50).cast("string"), F.lit("jobId"), (c % 5).cast("string"), F.lit("mark"), (k % 3).cast("string"), F.lit("discovery"), F.lit("bulk"))
+    return read(spark, sf_dir, "orders").select(
+        pick(("detail", "parse", "rate", "notify"), c % 4).alias("kind"), k.alias("key"), payload.alias("payload"), pick(("pending", "processing", "retry", "deferred", "done", "dead", "cancelled"), k % 7).alias("status"), (k % 5).alias("attempts"),
+        F.when(k % 7 == 1, F.lit(CLOCK) + (k % 9 - 4) * 60_000).alias("lease_until"), F.when(k % 3 == 0, F.lit(CLOCK) + (k % 11 - 5) * 1000).otherwise(F.lit(0).cast("long")).alias("next_attempt_at"), (k % 30).alias("deferrals"),
+        (F.lit(CLOCK) - (k % 40) * 3_600_000).alias("created_at"), (F.lit(CLOCK) - (k % 10) * 3_600_000).alias("updated_at"),
+    )
+
+
+ITEMS = f"""v_item as (
+  select ['detail', 'parse', 'rate', 'notify'][c % 4 + 1] as kind, k as key, k % 50 as listing_id, c % 5 as job_id, k % 3 as mark, ['pending', 'processing', 'retry', 'deferred', 'done', 'dead', 'cancelled'][k % 7 + 1] as status, k % 5 as attempts,
+    case when k % 7 = 1 then {CLOCK} + (k % 9 - 4) * 60000 end as lease_until, case when k % 3 = 0 then {CLOCK} + (k % 11 - 5) * 1000 else 0 end as next_attempt_at, k % 30 as deferrals,
+    {CLOCK} - (k % 40) * 3600000 as created_at, {CLOCK} - (k % 10) * 3600000 as updated_at
+  from (select o_orderkey::bigint as k, o_custkey::bigint as c from orders)
+)"""
+
+
+VIEWS = {"v_listing": LISTINGS, "v_verdict": VERDICTS, "v_run": RUNS, "v_score": SCORES, "v_work": WORKS, "v_point": POINTS, "v_attribute": ATTRIBUTES, "v_item": ITEMS}
 
 
 def with_views(sql: str) -> str:
