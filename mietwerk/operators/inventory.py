@@ -51,21 +51,15 @@ def market_counts(corpus: DataFrame, least: int = 40) -> DataFrame:
 
 
 def funnel(sources: DataFrame, listings: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows a stage: one aggregate a table, united."""
-    stage = lambda df, name, n: df.agg(n.alias("n")).select(F.lit(name).alias("stage"), "n")
+    """Rows a stage: one aggregate a table, unpivoted and united."""
     one = F.count("*")
-    parts = [
-        stage(sources, "sources", one),
-        stage(sources, "links", F.countDistinct("link")),
-        stage(listings, "listings", one),
-        stage(listings, "active", F.count_if(F.col("state") == "active")),
-        stage(verdicts, "accepted", F.count_if(F.col("verdict") == "accepted")),
-        stage(verdicts, "rejected", F.count_if(F.col("verdict") == "rejected")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = (
+        (sources, {"sources": one, "links": F.countDistinct("link")}),
+        (listings, {"listings": one, "active": F.count_if(F.col("state") == "active")}),
+        (verdicts, {"accepted": F.count_if(F.col("verdict") == "accepted"), "rejected": F.count_if(F.col("verdict") == "rejected")}),
+    )
+    counted = [df.agg(*[n.alias(k) for k, n in stages.items()]).unpivot([], list(stages), "stage", "n") for df, stages in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 def is_clean(price: Column, size: Column, address: Column) -> Column:
