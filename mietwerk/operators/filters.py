@@ -84,29 +84,67 @@ def config_hash(blacklist: Column, intents: Column, min_rooms: Column, min_size:
     return F.sha2(F.concat_ws("|", F.array_join(F.array_sort(blacklist), ","), F.array_join(F.array_sort(intents), ","), show(min_rooms), show(min_size), show(max_price)), 256)
 
 
-#: Closed sets of extracted fields.
-LISTING_TYPES = ("apartment", "house", "wg_room", "sublet", "swap", "commercial", "other", "unknown")
+#: Closed sets of an extraction's fields (with null allowed where a second set says so), and bounds of numbers.
+ENUMS = {
+    "listing_type": ("rental", "wg_room", "sublet", "swap", "unknown"), "furnishing_status": ("full", "partial", "none", "unknown"), "pets_policy": ("allowed", "prohibited", "conditional", "preferred_no", "unknown"),
+    "lease_type": ("unlimited", "fixed", "sublet", "swap", "unknown"), "offered_by": ("private", "agency", "property_management", "relisting_platform", "unknown"),
+    "property_type": ("apartment", "ground_floor_apartment", "attic_apartment", "penthouse", "maisonette", "loft", "studio", "souterrain", "house", "shared_room", "other", "unknown"),
+    "condition": ("first_occupancy", "like_new", "renovated", "refurbished", "first_occupancy_after_renovation", "well_maintained", "needs_renovation", "unknown"), "energy_class": ("A+", "A", "B", "C", "D", "E", "F", "G", "H"),
+}
+NEVER_NULL = ("listing_type", "furnishing_status", "pets_policy", "available_from")
+BOUNDS = {
+    "size_sqm": (1, 2000), "rooms": (0.5, 20), "bedrooms": (0, 15), "bathrooms": (0, 10), "floor": (-2, 60), "total_floors": (1, 80), "building_year": (1200, 2031), "rent_cold": (0, 50_000), "rent_warm": (0, 50_000), "deposit": (0, 200_000),
+}
+REQUIRED = (
+    "title", "listing_type", "address", "available_from", "available_until", "size_sqm", "rooms", "bedrooms", "bathrooms", "floor", "total_floors", "building_year", "property_type", "condition", "furnishing_status", "lease_type", "offered_by",
+    "rent", "energy_class", "pets_policy", "amenities", "comments", "summary",
+)
+
+
+def key_problems(json: Column) -> Column:
+    """What is wrong with the keys of an extraction's JSON: required ones that are missing, others that are not known."""
+    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    known = F.array(*[F.lit(k) for k in REQUIRED])
+    missing = F.transform(F.array_except(known, keys), lambda k: F.concat(k, F.lit(" is required")))
+    odd = F.transform(F.array_except(keys, known), lambda k: F.concat(k, F.lit(" is not allowed")))
+    return F.concat(missing, odd)
+
+
+def _month(c: Column) -> Column:
+    return c.rlike(r"^\d{4}-(0[1-9]|1[0-2])$")
+
+
+def _day(c: Column) -> Column:
+    """Whether a text is a day that the calendar has."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.date_format(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").eqNullSafe(c)).otherwise(False)
 
 
 def extraction_problems(e: Column) -> Column:
-    """Rule violations of an extracted listing, in a fixed order; an empty array is a valid one."""
-    date = lambda c: c.isin("immediate", "flexible", "unknown") | c.rlike(r"^\d{4}-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?$")
-    size = F.least(F.length(e["available_from"]), F.length(e["available_until"]))
-    both = e["available_from"].rlike(r"^\d{4}") & e["available_until"].rlike(r"^\d{4}")
-    rules = (
-        ("listing_type", ~e["listing_type"].isin(*LISTING_TYPES)),
-        ("size_range", ~e["size_sqm"].between(5, 2000)),
-        ("rooms_range", ~e["rooms"].between(0.5, 30)),
+    """Rule violations of an extracted listing (struct), in a fixed order; an empty array is a valid one.
+
+    Fields are checked first; only where all are well-formed do the rules across fields apply.
+    """
+    shape = [(f"{k}_null", e[k].isNull()) for k in NEVER_NULL]
+    shape += [(f"{k}_value", e[k].isNotNull() & ~e[k].isin(*values)) for k, values in ENUMS.items()]
+    shape += [(f"{k}_range", (e[k] < low) | (e[k] > high)) for k, (low, high) in BOUNDS.items()]
+    token = e["available_from"].isin("immediate", "flexible", "unknown")
+    dated = lambda c: _day(c) | _month(c)
+    start, end = e["available_from"], e["available_until"]
+    size = F.when(_month(start) | _month(end), 7).otherwise(10)
+    names = F.transform(e["amenities"], lambda a: a["name"])
+    across = [
+        ("available_from_format", ~(token | dated(start))),
+        ("available_until_format", end.isNotNull() & ~dated(end)),
+        ("available_order", dated(start) & dated(end) & (F.substring(end, F.lit(1), size) < F.substring(start, F.lit(1), size))),
+        ("warm_below_cold", e["rent_warm"] < e["rent_cold"]),
+        ("amenities_twice", F.size(F.array_distinct(names)) < F.size(names)),
         ("bedrooms_exceed_rooms", e["bedrooms"] > e["rooms"]),
         ("floor_exceeds_total", e["floor"] > e["total_floors"]),
-        ("building_year_range", ~e["building_year"].between(1400, 2100)),
-        ("warm_below_cold", e["rent_warm"] < e["rent_cold"]),
-        ("deposit_negative", e["deposit"] < 0),
-        ("available_from_format", ~date(e["available_from"])),
-        ("available_until_format", ~date(e["available_until"])),
-        ("available_order", both & (F.substring(e["available_until"], F.lit(1), size) < F.substring(e["available_from"], F.lit(1), size))),
-    )
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules]))
+        ("building_year_integer", e["building_year"] % 1 != 0),
+        ("total_floors_integer", e["total_floors"] % 1 != 0),
+    ]
+    told = lambda rules: F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules]))
+    return F.when(F.size(told(shape)) > 0, told(shape)).otherwise(told(across))
 
 
 def job_problems(job: Column) -> Column:

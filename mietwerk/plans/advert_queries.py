@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from mietwerk.functions import facts as fc
 from mietwerk.functions import text as tx
 from mietwerk.operators import adverts as ad
+from mietwerk.operators import details as dt
 from mietwerk.operators import filters as fl
 from mietwerk.sources import tables as t
+from mietwerk.sources.details import scan_details
 
 
 def _features(a: DataFrame) -> dict[str, Column]:
@@ -195,10 +197,43 @@ def jobs_redacted(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "customer").select("c_custkey", F.to_json(safe).alias("notify"))
 
 
+def _embedded() -> Column:
+    """Embedded data of made-up detail pages: a portal's own, another's, JSON-LD at several depths, or none."""
+    k, price, size = F.col("id"), F.col("price").cast("int").cast("string"), F.col("size").cast("int").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    scout = text('{"sections":[{"type":"TOP_ATTRIBUTES","attributes":[{"label":"Kaltmiete","text":"', price, ' €"},{"label":"Zimmer","text":"3,5"},{"label":"Wohnfläche ca.","text":"', size, ',5 m²"}]},{"type":"MAP","addressLine1":"Weg ', k.cast("string"), '","addressLine2":"10115 Berlin"}]}')
+    welt = text('{"app_cldp":{"data":{"classified":{"advertising":{"tracking_config":{"Vermarktungsart":"MIETE","preisbereich":"1","Preis":"', price, '","Wohnflaeche":"', size, '.5"}},"sections":{"hardFacts":{"facts":[{"type":"numberOfRooms","splitValue":"4"}]},"location":{"address":{"street":"Allee","houseNumber":"', k.cast("string"), '","zipCode":"10115","city":"Berlin"}}}}}}}')
+    home = text('{"@type":["Product","Apartment"],"offers":{"@type":"Offer","price":', price, '},"floorSize":{"value":"', size, '"},"numberOfRooms":2,"address":{"streetAddress":"Gasse ', k.cast("string"), '","postalCode":"1","addressLocality":"Bonn"}}')
+    linked = F.when(k % 3 == 0, home).when(k % 3 == 1, text('[{"@type":"WebPage"},{"@graph":[', home, "]}]")).otherwise(text('{"@graph":[{"@graph":[', home, "]}]}"))
+    one = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    return F.when(k % 4 == 0, one("immoscout-expose", scout)).when(k % 4 == 1, one("#__UFRN_LIFECYCLE_SERVERREQUEST__", welt)).when(k % 4 == 2, one("json-ld", linked)).otherwise(none)
+
+
+def deterministic_detail(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    text = F.concat(F.lit("Kaltmiete: 1.2"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" € und "), F.col("size").cast("int").cast("string"), F.lit(" m², 2,5 Zimmer"), F.when(k % 8 == 3, ", dazu 7 Zi.").otherwise(""))
+    facts = dt.deterministic_detail(F.col("embedded"), F.col("full_text"))
+    a = t.attributes(spark, d).select("id", "price", "size", _embedded().alias("embedded"), text.alias("full_text"))
+    shown = lambda c: F.coalesce(F.concat_ws(" ", F.regexp_replace(c["value"].cast("string"), r"\.0$", ""), c["source"], c["confidence"]), F.lit(""))
+    return a.select("id", *[shown(v).alias(n) for n, v in facts.items()])
+
+
+def html_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Text, embedded JSON and images of made-up detail pages with a wrapped script."""
+    k, n = F.col("id"), F.col("id").cast("string")
+    body = F.concat(
+        F.lit("<html><head><title>t</title></head><body><nav>menu</nav><main><h1>"), "p_name", F.lit("</h1><p>Nr.  "), n, F.lit(" &amp; more</p>"), F.when(k % 3 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 300), F.lit("</p>"))).otherwise(""), F.lit("<script>var x = '<p>no</p>'</script></main><img src='https://i/"), n, F.lit(".jpg' srcset='a 1x, https://i/2.jpg 2x'><img data-src='https://i/2.jpg'>"),
+        F.lit('<script type="application/ld+json">{"@type": "House", "n": '), n, F.lit("}</script>"), F.when(k % 2 == 0, F.concat(F.lit("<script id='state'>window.s = JSON.parse('{\"a\":\"it\\'s "), n, F.lit("\"}');</script>"))).otherwise("<script id='state'>nothing</script>"), F.lit("</body></html>"),
+    )
+    found = scan_details(t.attributes(spark, d).select(k.alias("page_id"), body.alias("html")), scripts=("#state",))
+    return found.select("page_id", "full_text", F.array_join(F.transform("embedded", lambda e: F.concat_ws(" ", e["kind"], e["value"])), ";").alias("embedded"), F.array_join(F.transform("images", lambda i: i["url"]), " ").alias("images"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        feature_flags, hedonic_vectors, boosted_vectors, advert_facts, numbers_read, normal_texts, image_urls, shown_texts, captions, cards_normalised, complete_cards, canonical_listings, repaired_outputs, distinct_images, german_facts,
+        deterministic_detail, html_detail, feature_flags, hedonic_vectors, boosted_vectors, advert_facts, numbers_read, normal_texts, image_urls, shown_texts, captions, cards_normalised, complete_cards, canonical_listings, repaired_outputs, distinct_images, german_facts,
         score_lines, training_band, implied_intents, primary_reasons, error_kinds, source_keys, page_urls, expose_details, settings_merged, jobs_redacted,
     )
 }
@@ -270,6 +305,13 @@ _CARD = """c as (select *, ['immoscout', 'kleinanzeigen', 'wgGesucht', 'immowelt
   q as (select provider, sha256(external_id || ',' || case provider when 'kleinanzeigen' then rent::varchar else raw_price end) as id, external_id, link, title, price, size, rooms, address, image, description from k)"""
 
 ORACLES = {
+    "deterministic_detail": _sql("""with f as (select id, trunc(price)::int as p, size::int as s, 1200 + id % 100 as told from v_attribute)
+      select id, case id % 4 when 0 then p || ' immoscout-expose high' when 1 then p || ' immowelt high' when 2 then p || ' json-ld medium' else told || ' fulltext low' end as price,
+        case id % 4 when 0 then s || '.5 immoscout-expose high' when 1 then s || '.5 immowelt high' when 2 then s || ' json-ld medium' else s || ' fulltext low' end as size,
+        case id % 4 when 0 then '3.5 immoscout-expose high' when 1 then '4 immowelt high' when 2 then '2 json-ld medium' else case when id % 8 = 3 then '' else '2.5 fulltext low' end end as rooms,
+        case id % 4 when 0 then 'Weg ' || id || ', 10115 Berlin immoscout-expose high' when 1 then 'Allee ' || id || ', 10115 Berlin immowelt high' when 2 then 'Gasse ' || id || ', 1 Bonn json-ld medium' else '' end as address from f"""),
+    "html_detail": _sql("""select id as page_id, case when id % 3 = 0 then '' else 'menu' || chr(10) end || p_name || chr(10) || 'Nr. ' || id || ' & more' || case when id % 3 = 0 then chr(10) || repeat('x', 300) else '' end as full_text, 'json-ld {"@type":"House","n":' || id || '}' || case when id % 2 = 0 then ';#state {"a":"it''s ' || id || '"}' else '' end as embedded,
+      'https://i/' || id || '.jpg https://i/2.jpg' as images from v_attribute"""),
     "feature_flags": _sql(f"select id, {_columns(_FLAGS, 'coalesce({}, false)')} from v_attribute"),
     "hedonic_vectors": _sql(f"select id, {_columns(_HEDONIC, 'round({}, 9)')} from v_attribute"),
     "boosted_vectors": _sql(f"select id, {_columns(_BOOSTED)} from v_attribute"),

@@ -110,15 +110,27 @@ def canonical_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extraction_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of made-up extractions, one a part."""
     k = F.col("p_partkey")
+    number = lambda c: c.cast("double")
+    named = lambda *names: F.array(*[F.struct(F.lit(n).alias("name")) for n in names])
     e = F.struct(
-        F.when(k % 11 == 0, "castle").otherwise("apartment").alias("listing_type"), (F.col("p_size") * 3.0).alias("size_sqm"), (F.col("p_size") % 40).cast("double").alias("rooms"), (k % 9).cast("double").alias("bedrooms"),
-        (k % 7).cast("double").alias("floor"), (k % 5).cast("double").alias("total_floors"), (1300 + k % 900).cast("double").alias("building_year"), (k % 1000).cast("double").alias("rent_cold"),
-        (k % 800).cast("double").alias("rent_warm"), (k % 13 - 1).cast("double").alias("deposit"), F.when(k % 6 == 0, "soon").otherwise("2024-05").alias("available_from"), F.when(k % 4 == 0, "2024-04-30").otherwise("unknown").alias("available_until"),
+        F.when(k % 11 == 0, "castle").otherwise("rental").alias("listing_type"), F.when(k % 17 != 0, "full").alias("furnishing_status"), F.lit("allowed").alias("pets_policy"), F.when(k % 2 == 0, "unlimited").alias("lease_type"), F.lit("private").alias("offered_by"),
+        F.lit("loft").alias("property_type"), F.lit(None).cast("string").alias("condition"), F.when(k % 19 == 0, "Z").alias("energy_class"), number(F.col("p_size") * 3).alias("size_sqm"), number(k % 22).alias("rooms"), number(k % 9).alias("bedrooms"),
+        number(k % 3).alias("bathrooms"), number(k % 7).alias("floor"), (k % 5 + 1 + F.when(k % 10 == 0, 0.5).otherwise(0.0)).alias("total_floors"), number(1150 + k % 850).alias("building_year"), number(k % 1000).alias("rent_cold"), number(k % 800).alias("rent_warm"),
+        number(k % 13).alias("deposit"), F.when(k % 6 == 0, "soon").when(k % 6 == 1, "2024-02-31").when(k % 6 == 2, "2024-05-10").otherwise("2024-05").alias("available_from"), F.when(k % 4 == 0, "2024-05-01").when(k % 4 == 1, "2024-13").alias("available_until"),
+        F.when(k % 8 == 0, named("cellar", "cellar")).otherwise(named("cellar")).alias("amenities"),
     )
     return t.read(spark, d, "part").select("p_partkey", F.array_join(fl.extraction_problems(e), ",").alias("problems"))
 
 
+def extraction_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Missing and unknown keys of extractions in JSON."""
+    k = F.col("p_partkey")
+    json = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[F.when(k % (i + 2) != 0, F.lit(f'"{name}":1')) for i, name in enumerate(fl.REQUIRED)], F.when(k % 3 == 0, '"extra":2'))), ","), F.lit("}"))
+    return t.read(spark, d, "part").select("p_partkey", F.array_join(fl.key_problems(json), ",").alias("problems"))
+
+
 def points_inside(spark: SparkSession, d: str) -> DataFrame:
     return t.points(spark, d).select("id", geo.inside(F.col("x"), F.col("y"), RING).alias("inside"))
 
@@ -193,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_numbers, canonical_urls, provider_ids, market_keys, address_keys, token_keys, blacklist_terms, blacklist_stems, social_housing_flags, areas_inferred, bots_detected, inactive_listings, cleaned_texts,
-        string_hashes, config_hashes, card_filter_reasons, canonical_filter_reasons, extraction_problems, points_inside, json_unnested, claims_by_kind, vetoed_pairs, best_matches, entity_groups, vetoed_pairs_exact, best_matches_exact, entity_groups_exact, html_cards,
+        string_hashes, config_hashes, card_filter_reasons, canonical_filter_reasons, extraction_problems, extraction_keys, points_inside, json_unnested, claims_by_kind, vetoed_pairs, best_matches, entity_groups, vetoed_pairs_exact, best_matches_exact, entity_groups_exact, html_cards,
     )
 }
 
@@ -277,10 +289,14 @@ ORACLES = {
     "canonical_filter_reasons": _sql("""select id, array_to_string(list_filter([case when rooms < 5 then 'intent:swap' end, case when provider = 'A' then 'intent:furnished' end, case when provider <> 'N' then 'intent:non_private' end,
       case when size < 5 then 'intent:fixed_term' end, case when rooms < 3 then 'rooms' end, case when size < 4 then 'size' end, case when price > 90000 then 'price' end, case when size = 50 then 'no_price' end,
       case when rooms % 9 = 0 then 'no_coordinates' when size % 7 = 0 then 'area' end], lambda x: x is not null), ',') as codes from v_listing"""),
-    "extraction_problems": """select p_partkey, array_to_string(list_filter([case when p_partkey % 11 = 0 then 'listing_type' end, case when p_size * 3 not between 5 and 2000 then 'size_range' end,
-      case when p_size % 40 not between 0.5 and 30 then 'rooms_range' end, case when p_partkey % 9 > p_size % 40 then 'bedrooms_exceed_rooms' end, case when p_partkey % 7 > p_partkey % 5 then 'floor_exceeds_total' end,
-      case when 1300 + p_partkey % 900 not between 1400 and 2100 then 'building_year_range' end, case when p_partkey % 800 < p_partkey % 1000 then 'warm_below_cold' end, case when p_partkey % 13 = 0 then 'deposit_negative' end,
-      case when p_partkey % 6 = 0 then 'available_from_format' end, case when p_partkey % 4 = 0 and p_partkey % 6 <> 0 then 'available_order' end], lambda x: x is not null), ',') as problems from part""",
+    "extraction_problems": """with s as (select p_partkey as k, p_size, list_filter([case when p_partkey % 17 = 0 then 'furnishing_status_null' end, case when p_partkey % 11 = 0 then 'listing_type_value' end, case when p_partkey % 19 = 0 then 'energy_class_value' end,
+        case when p_size * 3 not between 1 and 2000 then 'size_sqm_range' end, case when p_partkey % 22 not between 0.5 and 20 then 'rooms_range' end, case when 1150 + p_partkey % 850 < 1200 then 'building_year_range' end], lambda x: x is not null) as shape from part),
+      a as (select *, k % 6 in (0, 1) as bad_from, k % 4 = 1 as bad_until, k % 5 + 1 + case when k % 10 = 0 then 0.5 else 0 end as floors from s)
+      select k as p_partkey, case when len(shape) > 0 then array_to_string(shape, ',') else array_to_string(list_filter([case when bad_from then 'available_from_format' end, case when bad_until then 'available_until_format' end,
+        case when k % 4 = 0 and k % 6 = 2 then 'available_order' end, case when k % 800 < k % 1000 then 'warm_below_cold' end, case when k % 8 = 0 then 'amenities_twice' end, case when k % 9 > k % 22 then 'bedrooms_exceed_rooms' end,
+        case when k % 7 > floors then 'floor_exceeds_total' end, case when k % 10 = 0 then 'total_floors_integer' end], lambda x: x is not null), ',') end as problems from a""",
+    "extraction_keys": f"""with n as (select p_partkey, list_filter(list_transform(list_zip({list(fl.REQUIRED)}, range({len(fl.REQUIRED)})), lambda z: case when p_partkey % (z[2] + 2) = 0 then z[1] || ' is required' end), lambda x: x is not null) as m from part)
+      select p_partkey, array_to_string(list_concat(m, case when p_partkey % 3 = 0 then ['extra is not allowed'] else [] end), ',') as problems from n""",
     "points_inside": _sql(f"select id, ({_crossing()}) % 2 = 1 as inside from v_point"),
     "json_unnested": "select event_id as id, value as price, 7.0::double as size from events",
     "claims_by_kind": _sql(_ADVERTS + " select kind, count(*) as n, count(distinct claim) as claims from d group by kind"),
