@@ -223,7 +223,7 @@ def html_detail(spark: SparkSession, d: str) -> DataFrame:
     """Text, embedded JSON and images of made-up detail pages with a wrapped script."""
     k, n = F.col("id"), F.col("id").cast("string")
     body = F.concat(
-        F.lit("<html><head><title>t</title></head><body><nav>menu</nav><main><h1>"), "p_name", F.lit("</h1><p>Nr.  "), n, F.lit(" &amp; more</p>"), F.when(k % 3 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 300), F.lit("</p>"))).otherwise(""), F.lit("<script>var x = '<p>no</p>'</script></main><img src='https://i/"), n, F.lit(".jpg' srcset='a 1x, https://i/2.jpg 2x'><img data-src='https://i/2.jpg'>"),
+        F.lit("<html><head><title>t</title></head><body><nav>menu</nav><main><h1>"), "p_name", F.lit("</h1><p>Nr.  "), n, F.lit(" &amp; more</p>"), F.when(k % 3 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 300), F.lit("</p>"))).otherwise(""), F.lit("<script>var x = '<p>no</p>'</script></main><img src='https://i/"), n, F.lit(".jpg' srcset='a 1x, https://i/z.jpg 2x'><img data-src='https://i/z.jpg'>"),
         F.lit('<script type="application/ld+json">{"@type": "House", "n": '), n, F.lit("}</script>"), F.when(k % 2 == 0, F.concat(F.lit("<script id='state'>window.s = JSON.parse('{\"a\":\"it\\'s "), n, F.lit("\"}');</script>"))).otherwise("<script id='state'>nothing</script>"), F.lit("</body></html>"),
     )
     found = scan_details(t.attributes(spark, d).select(k.alias("page_id"), body.alias("html")), scripts=("#state",))
@@ -311,7 +311,7 @@ ORACLES = {
         case id % 4 when 0 then '3.5 immoscout-expose high' when 1 then '4 immowelt high' when 2 then '2 json-ld medium' else case when id % 8 = 3 then '' else '2.5 fulltext low' end end as rooms,
         case id % 4 when 0 then 'Weg ' || id || ', 10115 Berlin immoscout-expose high' when 1 then 'Allee ' || id || ', 10115 Berlin immowelt high' when 2 then 'Gasse ' || id || ', 1 Bonn json-ld medium' else '' end as address from f"""),
     "html_detail": _sql("""select id as page_id, case when id % 3 = 0 then '' else 'menu' || chr(10) end || p_name || chr(10) || 'Nr. ' || id || ' & more' || case when id % 3 = 0 then chr(10) || repeat('x', 300) else '' end as full_text, 'json-ld {"@type":"House","n":' || id || '}' || case when id % 2 = 0 then ';#state {"a":"it''s ' || id || '"}' else '' end as embedded,
-      'https://i/' || id || '.jpg https://i/2.jpg' as images from v_attribute"""),
+      'https://i/' || id || '.jpg https://i/z.jpg' as images from v_attribute"""),
     "feature_flags": _sql(f"select id, {_columns(_FLAGS, 'coalesce({}, false)')} from v_attribute"),
     "hedonic_vectors": _sql(f"select id, {_columns(_HEDONIC, 'round({}, 9)')} from v_attribute"),
     "boosted_vectors": _sql(f"select id, {_columns(_BOOSTED)} from v_attribute"),
