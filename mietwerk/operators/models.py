@@ -91,6 +91,19 @@ def calibrate(rows: DataFrame, level: float = 0.8, digits: int = 9) -> DataFrame
     return counts.where(enough).join(hi, "tier", "left").join(lo, "tier", "left").select("tier", "n", (-F.col("neg")).alias("lo"), "hi")
 
 
+def calibrate_quantiles(rows: DataFrame, level: float = 0.8, digits: int = 9) -> DataFrame:
+    """tier, n, adjustment: how far predicted intervals (y, lo, hi, all logarithms) must widen, for each tier of enough rows and pooled.
+
+    A row's score is how far it lies outside its interval, negative inside.
+    """
+    score = F.round(F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")), digits)
+    own = rows.where("y is not null and not isnan(y)").select(F.coalesce("tier", F.lit("coarse")).alias("tier"), score.alias("r")).where("r is not null")
+    every = own.unionByName(own.select(F.lit("*").alias("tier"), "r"))
+    enough = F.col("n") >= F.when(F.col("tier") == "*", LEAST_POOLED).otherwise(LEAST_TIER)
+    counts = every.groupBy("tier").agg(F.count("*").alias("n")).where(enough)
+    return counts.join(_rank_value(every, ["tier"], "r", level, "adjustment"), "tier").select("tier", "n", "adjustment")
+
+
 def with_intervals(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     """Adds lo and hi of the row's tier, of the pooled calibration where its tier has none (a handful of tiers)."""
     tiers = F.broadcast(calibration.where("tier <> '*'").select("tier", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
@@ -218,6 +231,93 @@ def ridge_cv(design: DataFrame, terms: list[str], target: str, lambdas: tuple[fl
     return scored.select("n", pairs.alias("p")).select("p.*", "n")
 
 
+def _market_fits(sums: DataFrame, keys: list[str], terms: list[str], lambdas: tuple[float, ...] = ()) -> DataFrame:
+    """Coefficients of each group's normal equations (terms squared rows a group) under each penalty, or under its own (column lambda)."""
+    at = {t: i for i, t in enumerate([*terms, "y"])}
+    k = len(terms)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((k, k + 1))
+        for i, j, v in zip(pdf["i"].map(at), pdf["j"].map(at), pdf["value"], strict=True):
+            m[i, j] = v
+            if j < k:
+                m[j, i] = v
+        head = {c: pdf[c].iloc[0] for c in keys}
+        return pd.DataFrame([{**head, "lambda": lam, "beta": solve_ridge(m[:, :k], m[:, k], lam).tolist()} for lam in lambdas or (float(pdf["lambda"].iloc[0]),)])
+
+    kinds = dict(sums.dtypes)
+    return sums.groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", lambda double, beta array<double>")
+
+
+def _fitted(terms: list[str]) -> Column:
+    return sum((F.col(t) * F.get("beta", F.lit(i)) for i, t in enumerate(terms[1:], 1)), F.col(terms[0]) * F.get("beta", F.lit(0)))
+
+
+def standardised(design: DataFrame, terms: list[str]) -> DataFrame:
+    """The design (market, terms and more) with each term but the first in deviations from its market's mean."""
+    own = design.groupBy("market").agg(*[F.avg(t).alias(f"_m{i}") for i, t in enumerate(terms)], *[F.stddev_samp(t).alias(f"_s{i}") for i, t in enumerate(terms)])
+    scaled = {t: (F.col(t) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 1e-12, F.col(f"_s{i}")).otherwise(1.0) for i, t in enumerate(terms) if i}
+    return design.join(own, "market").withColumns(scaled).select(*design.columns)
+
+
+def choose_penalties(design: DataFrame, terms: list[str], target: str, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
+    """market, lambda, mdape: of each market the penalty whose predictions of folds left out err least; of equal ones the larger.
+
+    `design` has market, fold and standardised terms. The search fits by least squares from sums of the normal
+    equations of each market and fold, one pass; a fold's coefficients come from the other folds' sums. Medians are
+    approximate to one in 100,000. Needs at least two folds with rows in a market.
+    """
+    sums = written(normal_equations(design, ["market", "fold"], terms, target, F.lit(1.0)), "sums")
+    total = sums.groupBy("market", "i", "j").agg(F.sum("value").alias("total"))
+    others = sums.join(total, ["market", "i", "j"]).select("market", "fold", "i", "j", (F.col("total") - F.col("value")).alias("value"))
+    fits = written(_market_fits(others, ["market", "fold"], terms, lambdas), "fits")
+    scored = design.join(fits, ["market", "fold"]).withColumn("_e", F.abs(F.exp(_fitted(terms) - F.col(target)) - 1))
+    errors = scored.groupBy("market", "lambda").agg(F.percentile_approx("_e", 0.5, 100_000).alias("mdape"))
+    best = errors.groupBy("market").agg(F.min_by(F.struct("lambda", "mdape"), F.struct(F.round("mdape", 9), -F.col("lambda"))).alias("b"))
+    return best.select("market", "b.lambda", "b.mdape")
+
+
+def huber_by_market(design: DataFrame, terms: list[str], target: str, penalties: DataFrame, rounds: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """market, lambda, beta, moved, rounds: a robust ridge regression of each market under its penalty (market, lambda).
+
+    All markets take a round together: one pass for the spread of residuals, one for the weighted normal equations,
+    whose sums (terms squared a market) are solved group by group. It ends when no market's coefficients move by
+    `tolerance`, or after `rounds`; `moved` tells how far they still did.
+    """
+    middle = design.groupBy("market").agg(F.percentile_approx(target, 0.5, 100_000).alias("_y"))
+    zeros = [F.lit(0.0)] * (len(terms) - 1)
+    now = written(penalties.select("market", "lambda").join(middle, "market").select("market", "lambda", F.array("_y", *zeros).alias("beta")), "beta")
+    for k in range(1, rounds + 1):
+        residual = design.join(now, "market").withColumn("_r", F.col(target) - _fitted(terms))
+        spread = residual.groupBy("market").agg(F.greatest(F.lit(1e-3), 1.4826 * F.percentile_approx(F.abs("_r"), 0.5, 100_000)).alias("_s"))
+        weight = F.least(F.lit(1.0), HUBER * F.col("_s") / F.greatest(F.abs("_r"), F.lit(1e-9)))
+        weighted = residual.join(spread, "market").withColumn("_w", weight)
+        sums = normal_equations(weighted, ["market", "lambda"], terms, target, F.col("_w"))
+        fits = _market_fits(sums, ["market"], terms)
+        step = F.array_max(F.zip_with("beta", "_old", lambda a, b: F.abs(a - b)))
+        now = written(fits.join(now.select("market", F.col("beta").alias("_old")), "market").select("market", "lambda", "beta", step.alias("moved")), "beta")
+        if now.where(F.col("moved") >= tolerance).isEmpty():
+            break
+    return now.select("market", "lambda", "beta", "moved", F.lit(k).alias("rounds"))
+
+
+def live_scores(rows: DataFrame, calibration: DataFrame, level: float = 0.8) -> DataFrame:
+    """Fair price, interval, difference, confidence and z of adverts (id, market, tier, actual, predicted, field_residual, field_spread, field_confidence, smear, low_band, high_band).
+
+    Logarithms throughout. An advert whose price lies outside its model's band has no score; a tier without
+    calibration takes the pooled one (a row a tier, so it may be broadcast).
+    """
+    fits = rows.where((F.col("actual") > 0) & (F.col("low_band").isNull() | F.log("actual").between(F.col("low_band"), F.col("high_band"))))
+    log = F.col("predicted") + F.col("field_residual") + F.coalesce("smear", F.lit(0.0))
+    held = with_intervals(fits.withColumn("_log", log), calibration)
+    fair = F.greatest(F.lit(1.0), F.exp("_log"))
+    confidence = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("field_confidence") * F.when(F.col("tier") == "trusted", 1.0).otherwise(0.75)))
+    return held.select(
+        "id", "market", fair.alias("fair"), F.exp(F.col("_log") + F.col("lo")).alias("fair_lo"), F.exp(F.col("_log") + F.col("hi")).alias("fair_hi"), F.lit(level).alias("coverage_level"), (100 * (F.col("actual") - fair) / fair).alias("delta"),
+        confidence.alias("confidence"), F.when(F.col("field_spread") > 0, (F.col("_log") - F.log("actual")) / F.col("field_spread")).alias("z"),
+    )
+
+
 def predict_ridge(design: DataFrame, terms: list[str], beta: np.ndarray, mean: np.ndarray, std: np.ndarray) -> DataFrame:
     fit = F.lit(0.0)
     for t, b, m, s in zip(terms, beta, mean, std, strict=True):

@@ -148,11 +148,47 @@ def corpus_deduped(spark: SparkSession, d: str) -> DataFrame:
     return m.greedy_point_dedupe(rows).groupBy("size").agg(F.count("*").alias("n"))
 
 
+def quantile_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """How far the intervals of a quantile model must widen, by tier."""
+    rows = t.scores(spark, d).select("tier", F.log("actual").alias("y"), (F.log("fair") - 2.0).alias("lo"), (F.log("fair") + 2.0).alias("hi"))
+    return m.calibrate_quantiles(rows, 0.8, 6).select("tier", "n", F.round("adjustment", 6).alias("adjustment"))
+
+
+def _market_design(spark: SparkSession, d: str) -> DataFrame:
+    """Standardised design of every market, whole suppliers in one fold."""
+    rows = m.corpus_rows(t.listings(spark, d)).withColumn("fold", (m.string_hash(F.col("address")) % m.FOLDS).cast("int"))
+    design = rows.select("id", "market", "fold", "log_price", *[c.cast("double").alias(n) for n, c in m.design_columns().items()])
+    return m.written(m.standardised(design, list(m.TERMS)), "design")
+
+
+def market_penalties(spark: SparkSession, d: str) -> DataFrame:
+    found = m.choose_penalties(_market_design(spark, d), list(m.TERMS), "log_price")
+    return found.select("market", "lambda", F.round("mdape", 6).alias("mdape"))
+
+
+def market_ridges(spark: SparkSession, d: str) -> DataFrame:
+    """Robust coefficients of every market under the penalty that errs least."""
+    design = _market_design(spark, d)
+    found = m.huber_by_market(design, list(m.TERMS), "log_price", m.choose_penalties(design, list(m.TERMS), "log_price"), tolerance=1e-5)
+    return found.select("market", "lambda", "rounds", F.posexplode("beta").alias("at", "value")).select("market", "lambda", "rounds", F.get(F.array(*[F.lit(x) for x in m.TERMS]), F.col("at")).alias("term"), F.round("value", 4).alias("value"))
+
+
+def live_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of listings by a made-up model and the calibration of all residuals."""
+    k = F.col("id")
+    rows = t.attributes(spark, d).select(
+        "id", F.col("p_brand").alias("market"), F.when(k % 3 == 0, "trusted").when(k % 3 == 1, "A").otherwise("missing").alias("tier"), (F.col("price") / F.col("size")).alias("actual"), (F.log("size") / 2 + 1.5).alias("predicted"),
+        (k % 7 / 70.0).alias("field_residual"), F.when(k % 4 != 0, 0.25).otherwise(0.0).alias("field_spread"), (k % 11 / 10.0).alias("field_confidence"), F.lit(0.01).alias("smear"), F.when(k % 5 != 0, 2.0).alias("low_band"), F.lit(4.0).alias("high_band"),
+    )
+    found = m.live_scores(rows, m.calibrate(_residuals(spark, d), 0.8, 6))
+    return found.select("id", "market", *[F.round(c, 4).alias(c) for c in ("fair", "fair_lo", "fair_hi", "coverage_level", "delta", "confidence", "z")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         robust_stats, weighted_quantiles, effective_sample_sizes, error_stats, naive_baseline, pinball_by_quantile, corpus_outlier_filter, conformal_calibration, conformal_assessment, spatial_folds, neighbour_counts,
-        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped,
+        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped, quantile_calibration, market_penalties, market_ridges, live_scores,
     )
 }
 
@@ -209,6 +245,13 @@ ORACLES = {
     "normal_equations": _sql(f"""with {_CORPUS}, d as (select market, case when size > 40 then 0.5::double else 1 end as w, [1.0::double, ln(size), case when state = 'active' then 1.0::double else 0 end, log_price] as v from c),
       p as (select market, w, v, i, j from d, range(1, 4) a(i), range(1, 5) b(j) where j >= i)
       select market, ['one', 'log_size', 'active'][i] as i, ['one', 'log_size', 'active', 'y'][j] as j, round(sum(w * v[p.i] * v[p.j]), 3) as value from p group by market, p.i, p.j"""),
+    "quantile_calibration": _sql("""with r as (select tier, round(greatest(ln(fair) - 2 - ln(actual), ln(actual) - ln(fair) - 2), 6) as x from v_score), e as (select tier, x from r union all select '*', x from r),
+        s as (select tier, list_sort(list(x)) as xs, count(*) as n from e group by tier)
+      select tier, n, round(xs[ceil((n + 1) * 0.8::double)::int], 6) as adjustment from s where n >= case when tier = '*' then 20 else 30 end"""),
+    "live_scores": _sql(f"""with {_RESIDUALS}, {_CALIBRATE.format(source='r')}, w as (select *, price / size as actual, case id % 3 when 0 then 'trusted' when 1 then 'A' else 'missing' end as tier, ln(size) / 2 + 1.5 + id % 7 / 70.0::double + 0.01 as l from v_attribute),
+        f as (select w.*, greatest(1.0, exp(l)) as f, coalesce(q.lo, p.lo) as lo, coalesce(q.hi, p.hi) as hi from w left join q on q.tier = w.tier and q.tier <> '*' join q p on p.tier = '*' where id % 5 = 0 or ln(price / size) between 2 and 4)
+      select id, p_brand as market, round(f, 4) as fair, round(exp(l + lo), 4) as fair_lo, round(exp(l + hi), 4) as fair_hi, 0.8::double as coverage_level, round(100 * (actual - f) / f, 4) as delta,
+        round(greatest(0.05, least(1.0, id % 11 / 10.0::double * case when tier = 'trusted' then 1 else 0.75::double end)), 4) as confidence, case when id % 4 <> 0 then round((l - ln(actual)) / 0.25, 4) end as z from f"""),
     "log_smear": _sql("select tier, round(ln(greatest(0.8, least(1.25, avg(exp(ln(actual / fair) / 20))))), 6) as smear from v_score group by tier"),
     "tree_scores": _sql("""with r as (select id, case when size <> 13 then size end as s, case when rooms::int % 10 <> 0 then rooms when rooms > 20 then 0.0 end as r from v_listing)
       select id, round(sum((case when s is null or s <= 20.5 then 1.5 when coalesce(r, 0) <= 25 then -0.5 else 2.0 end) + (case when r is null or r = 0 then 0.75 when r <= 10 then 0.25 else 0.75 end)), 6) as score from r group by id"""),

@@ -220,3 +220,45 @@ def test_refused_adverts_elect_the_next_owner(spark):
     assert {(r["earlier"], r["later"]) for r in exact.collect()} == want and first < want
     rooted = cl.roots(cl.best_match(cl.judged_pairs(adverts, exact)))
     assert cl.absorb(adverts, rooted).count() == len({r[6] for r in rows})
+
+
+def test_market_ridges_against_numpy(spark):
+    """Penalty by the median error of folds left out, then Huber's weights until nothing moves, market by market."""
+    import numpy as np
+
+    from mietwerk.operators import models as m
+
+    r, rows = np.random.default_rng(8), []
+    for market in ("a", "b"):
+        x = r.normal(size=(60, 2)) * [1, 3] + 5
+        y = 0.4 * x[:, 0] - 0.1 * x[:, 1] + r.normal(size=60) * 0.05 + (r.random(60) < 0.1) * 2
+        rows += [(market, i % 5, 1.0, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    terms = ["one", "p", "q"]
+    design = m.written(m.standardised(spark.createDataFrame(rows, "market string, fold int, one double, p double, q double, y double"), terms))
+    lambdas = (0.1, 10.0, 1000.0)
+    chosen = {x["market"]: x for x in m.choose_penalties(design, terms, "y", lambdas).collect()}
+    fits = {x["market"]: x for x in m.huber_by_market(design, terms, "y", m.choose_penalties(design, terms, "y", lambdas), tolerance=1e-6).collect()}
+    low = lambda v: np.sort(v)[(len(v) - 1) // 2]  # noqa: E731 -- the lower middle value, as Spark's approximate median
+    for market in ("a", "b"):
+        own = [x for x in rows if x[0] == market]
+        x, y, fold = np.array([v[2:5] for v in own]), np.array([v[5] for v in own]), np.array([v[1] for v in own])
+        x[:, 1:] = (x[:, 1:] - x[:, 1:].mean(0)) / x[:, 1:].std(0, ddof=1)
+
+        def solve(x, y, w, lam):
+            return np.linalg.solve((x * w[:, None]).T @ x + np.diag([1e-9, lam, lam]), (x * w[:, None]).T @ y)
+
+        errors = []
+        for lam in lambdas:
+            fit = np.empty(len(y))
+            for f in range(5):
+                fit[fold == f] = x[fold == f] @ solve(x[fold != f], y[fold != f], np.ones((fold != f).sum()), lam)
+            errors.append(low(np.abs(np.exp(fit - y) - 1)))
+        assert chosen[market]["lambda"] == lambdas[int(np.argmin(errors))] and abs(chosen[market]["mdape"] - min(errors)) < 1e-6
+        beta = np.array([low(y), 0, 0])
+        for _ in range(50):
+            res = np.abs(y - x @ beta)
+            new = solve(x, y, np.minimum(1, 1.345 * max(1.4826 * low(res), 1e-3) / np.maximum(res, 1e-9)), chosen[market]["lambda"])
+            beta, moved = new, np.abs(new - beta).max()
+            if moved < 1e-7:
+                break
+        assert np.allclose(fits[market]["beta"], beta, atol=1e-4)
