@@ -13,6 +13,7 @@ from mietwerk.llm.common import (
     Scratch,
     UnionFind,
     default_partitions,
+    hot_join,
     interval_hash,
     lower_ascii,
     maybe,
@@ -331,9 +332,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     postings = heads.select("id", "n_shingles", "signature").mapInArrow(_posting_rows, "key long, id long, size int, short binary")
     merged = postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(candidate_edges(percent), "src long, dst long")
     clouds = scratch.write(connected_components(merged, scratch).withColumnRenamed("component", "cloud"))
-    sizes = clouds.groupBy("cloud").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = clouds.join(sizes, "cloud").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = scratch.write(clouds.groupBy("cloud").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    placed = hot_join(clouds, sizes, "cloud", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # of more than one block, each pair of different blocks holds all pairs within them too
     other = F.when(F.col("blocks") == 1, F.array("block")).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
     dealt = placed.withColumn("other", F.explode(other)).select("cloud", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("_row"))
