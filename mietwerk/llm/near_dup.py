@@ -30,8 +30,10 @@ from mietwerk.llm.components import connected_components
 COORDINATES = 64
 MATCHES = 38
 PREFIX = COORDINATES - MATCHES + 1
-#: Documents of a cloud that one task compares; larger clouds are compared block by block.
-BLOCK = 4096
+#: Documents of a cloud, and rows of a posting list, that one task compares; larger ones are compared block by block.
+BLOCK, LIST = 4096, 16384
+#: Share of all postings above whose double a posting list never meets in one task.
+SHARE = 1 / 8000
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,17 +113,62 @@ def sketch_documents(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document and prefix coordinate: key, document, set size, one byte of each coordinate."""
+def _keys(full: np.ndarray) -> np.ndarray:
+    """Keys of the prefix coordinates of signatures, a row for each coordinate."""
+    return np.stack([mix(full[:, j].astype(np.uint64) | np.uint64(j + 1) << np.uint64(32)) for j in range(PREFIX)]).view(np.int64)
+
+
+def _signature_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
+def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of at least SHARE of a batch's postings with their number, and under a null key the number of all."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        sizes = batch.column(1).to_numpy().astype(np.int32)
-        full = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-        short = (full & np.uint32(255)).astype(np.uint8)
-        data = pa.array([r.tobytes() for r in short], pa.binary())
-        for j in range(PREFIX):
-            key = mix(full[:, j].astype(np.uint64) | np.uint64(j + 1) << np.uint64(32)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(sizes), data], names=["key", "id", "size", "short"])
+        keys, counts = np.unique(_keys(_signature_rows(batch.column(0))), return_counts=True)
+        total = int(counts.sum())
+        often = (counts >= SHARE * total) & (counts > 1)
+        yield pa.RecordBatch.from_pydict({"key": pa.array([None, *keys[often].tolist()], pa.int64()), "n": pa.array([total, *counts[often].tolist()], pa.int64())})
+
+
+def hot_keys(heads: DataFrame) -> np.ndarray:
+    """Sorted keys of very long posting lists: at most 1 / SHARE of them, whatever the size of the table.
+
+    A list of twice SHARE of all postings has at least half its rows in batches where it reaches SHARE, so
+    the sum of these tells it, if it is longer than LIST too.
+    """
+    often = heads.select("signature").mapInArrow(_frequent_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # no more keys than this can reach that share; the number of all comes first
+    most = often.orderBy(F.desc("n"), F.asc_nulls_first("key")).limit(int(1 / SHARE) + 1).collect()
+    least = max(SHARE * most[0]["n"], LIST / 2) if most else 0
+    return np.array(sorted(r["key"] for r in most[1:] if r["n"] >= least), np.int64)
+
+
+def posting_rows(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each document and prefix coordinate: key, document, set size, one byte of each coordinate.
+
+    If there are `hot` keys, their rows are marked and dealt by a hash of key and document, others by their key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            sizes = batch.column(1).to_numpy().astype(np.int32)
+            full = _signature_rows(batch.column(2))
+            short = (full & np.uint32(255)).astype(np.uint8)
+            data = pa.array([r.tobytes() for r in short], pa.binary())
+            for key in _keys(full):
+                if not len(hot):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(sizes), data], names=["key", "id", "size", "short"])
+                    continue
+                marked = np.isin(key, hot)
+                deal = np.where(marked, mix(key.view(np.uint64) ^ mix(ids.view(np.uint64))).view(np.int64), key)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(sizes), data, pa.array(marked), pa.array(deal)], names=["key", "id", "size", "short", "hot", "deal"])
+
+    return run
+
+
+POSTING = "key long, id long, size int, short binary"
 
 
 def _linkable(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
@@ -170,11 +217,12 @@ def _run_edges(ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, percent: i
             ids, sizes, short, free, first = ids[keep], sizes[keep], short[keep], np.ones(left, bool), 0
 
 
-def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCHES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A forest of candidate edges from postings sorted by key: key, id, size, short (`width` bytes, or a long).
+def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCHES, most: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A forest of candidate edges from postings sorted by key: key, id, size, short (`width` bytes, or a long), maybe hot.
 
     A pair of one posting list is a candidate if at least `matches` of its `width` bytes agree and the sizes
-    don't rule a link out. Each task folds what it finds into a forest.
+    don't rule a link out. Each task folds what it finds into a forest. Rows marked hot, and lists of more
+    than `most` different rows, are not compared here but handed on as they stand, with a null dst.
     """
 
     def lists(key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, uf: UnionFind) -> None:
@@ -200,31 +248,99 @@ def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uf = UnionFind()
         held: list[np.ndarray] | None = None
+        leaving: int | None = None
+        kinds: list[pa.DataType] = []
+
+        def edges() -> pa.RecordBatch:
+            a, b = uf.edges()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), k) for k in kinds)], names=NAMES)
+
+        def handed(rows: list[np.ndarray]) -> pa.RecordBatch:
+            key, ids, sizes, short = rows
+            packed = pa.array(short.view(np.int64).ravel()) if pa.types.is_integer(kinds[2]) else pa.array([r.tobytes() for r in short], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(key), pa.array(sizes), packed], names=NAMES)
+
         for batch in batches:
             packed = batch.column(3)
+            kinds = [batch.column(i).type for i in (0, 2, 3)]
             data = np.ascontiguousarray(packed.to_numpy()).view(np.uint64) if pa.types.is_integer(packed.type) else np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
-            short = data.reshape(-1, width // 8)
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), short]
-            if not len(short):
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), data.reshape(-1, width // 8)]
+            if batch.num_columns > 4:
+                hot = batch.column(4).to_numpy(zero_copy_only=False)
+                if hot.any():
+                    yield handed([a[hot] for a in now])
+                    now = [a[~hot] for a in now]
+            if leaving is not None:
+                rest = int(np.searchsorted(now[0], leaving, side="right"))
+                if rest:
+                    yield handed([a[:rest] for a in now])
+                    now = [a[rest:] for a in now]
+            if not len(now[0]):
                 continue
+            leaving = None
             if held is not None:
                 now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if now[0][0] != now[0][-1] else 0
             if cut:
                 lists(*(a[:cut] for a in now), uf)
             held = [a[cut:] for a in now]
+            if most is not None and len(held[0]) > most:
+                _, pick = np.unique(held[1], return_index=True)
+                held = [a[pick] for a in held]
+                if len(pick) > most:
+                    leaving = int(held[0][0])
+                    yield handed(held)
+                    held = None
             if len(uf.parent) > 2_000_000:
-                a, b = uf.edges()
-                yield pa.RecordBatch.from_pydict({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+                yield edges()
                 uf = UnionFind()
         if held is not None:
             lists(*held, uf)
-        a, b = uf.edges()
-        yield pa.RecordBatch.from_pydict({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+        if kinds:
+            yield edges()
 
     return run
 
 
+#: Columns of edges, and of postings that are handed on.
+NAMES = ["src", "dst", "key", "size", "short"]
+
+
+def in_block_pairs(rows: DataFrame) -> DataFrame:
+    """`rows` with columns low and high: each row once for every pair of blocks that its own block is part of.
+
+    `rows` has `blocks` of its group and its own `block`. Of more than one block, each pair of different
+    blocks holds all pairs within them too.
+    """
+    other = F.when(F.col("blocks") == 1, F.array("block")).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    return rows.withColumn("other", F.explode(other)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+
+
+def in_blocks(rows: DataFrame, group: str, member: str, most: int, scratch: Scratch) -> DataFrame:
+    """`rows` in the pairs of blocks of about `most` rows that each `group` is cut into; large groups are dealt over all tasks."""
+    sizes = scratch.write(rows.groupBy(group).agg(F.count("*").alias("n"), F.ceil(F.count("*") / most).cast("int").alias("blocks")))
+    return in_block_pairs(hot_join(rows, sizes, group, member).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")))
+
+
+def candidates(postings: DataFrame, percent: int, scratch: Scratch, width: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """src, dst: candidate edges of postings (key, id, size, short; maybe hot and deal, by which they are then dealt).
+
+    A list of more than LIST rows is never held by one task: its rows, each once, are dealt out by pairs of blocks.
+    """
+    parts = default_partitions(postings.sparkSession)
+    kinds = dict(postings.dtypes)
+    out = f"src long, dst long, key long, size {kinds['size']}, short {kinds['short']}"
+    dealt = postings.repartition(parts, "deal" if "deal" in kinds else "key").sortWithinPartitions("key").drop("deal")
+    found = scratch.write(dealt.mapInArrow(candidate_edges(percent, width, matches, LIST), out))
+    edges, long = found.where("dst is not null").select("src", "dst"), found.where("dst is null")
+    if long.isEmpty():
+        return edges
+    rows = scratch.write(long.groupBy("key", F.col("src").alias("id")).agg(F.first("size").alias("size"), F.first("short").alias("short")))
+    again = in_blocks(rows, "key", "id", LIST, scratch).select(F.xxhash64("key", "low", "high").alias("key"), "id", "size", "short")
+    more = again.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(candidate_edges(percent, width, matches), out)
+    return edges.unionByName(more.select("src", "dst"))
+
+
 def exact_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Components of rows linked at 100 * intersection >= percent * union; labels are smallest positions.
 
@@ -313,8 +429,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     Steps: equal sets fold into their smallest doc_id. Each remaining document is posted under its first
     PREFIX coordinate-value pairs with a byte of every coordinate; posting lists are merged by counting
     agreements, skipping pairs already joined and pairs whose sizes rule a link out, which leaves a forest of
-    candidates and never a list of pairs. Candidate components ("clouds") are then confirmed on full sets;
-    a cloud of more than BLOCK documents is dealt out by pairs of blocks. MinHash may miss a pair that
+    candidates and never a list of pairs. Lists of more than LIST documents are dealt out by pairs of blocks,
+    the longest before they meet in a task. Candidate components ("clouds") are then confirmed on full sets;
+    a cloud of more than BLOCK documents is dealt out by pairs of blocks too. MinHash may miss a pair that
     agrees on fewer than MATCHES coordinates (3e-5 at similarity 0.8, less above).
 
     A null text counts as empty: no shingles, linked with nothing. Repeated rows come back as often as they
@@ -329,14 +446,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     sketched = table.where("n_shingles > 0 and _row is not null")
     sets = sketched.groupBy("print_a", "print_b", "n_shingles").agg(F.min("_row").alias("id"), F.first("signature").alias("signature"))
     heads = scratch.write(sets)
-    postings = heads.select("id", "n_shingles", "signature").mapInArrow(_posting_rows, "key long, id long, size int, short binary")
-    merged = postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(candidate_edges(percent), "src long, dst long")
-    clouds = scratch.write(connected_components(merged, scratch).withColumnRenamed("component", "cloud"))
-    sizes = scratch.write(clouds.groupBy("cloud").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    placed = hot_join(clouds, sizes, "cloud", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # of more than one block, each pair of different blocks holds all pairs within them too
-    other = F.when(F.col("blocks") == 1, F.array("block")).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    dealt = placed.withColumn("other", F.explode(other)).select("cloud", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("_row"))
+    hot = hot_keys(heads)
+    postings = heads.select("id", "n_shingles", "signature").mapInArrow(posting_rows(hot), f"{POSTING}, hot boolean, deal long" if len(hot) else POSTING)
+    clouds = scratch.write(connected_components(candidates(postings, percent, scratch), scratch).withColumnRenamed("component", "cloud"))
+    dealt = in_blocks(clouds, "cloud", "node", BLOCK, scratch).select("cloud", "low", "high", F.col("node").alias("_row"))
     texts = dealt.join(maybe(rows, "_row", clouds.select("node")), "_row")
     ordered = texts.select("cloud", "low", "high", "_row", "text").repartition(parts, "cloud", "low", "high").sortWithinPartitions("cloud", "low", "high", "_row")
     links = scratch.write(ordered.mapInArrow(_confirm(size, percent), "src long, dst long"))

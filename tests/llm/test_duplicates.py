@@ -84,6 +84,44 @@ def test_large_clouds_are_confirmed_in_blocks(spark, monkeypatch):
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == brute_documents(rows, 2)
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_long_posting_lists_are_compared_in_blocks(spark, monkeypatch, hot):
+    """Lists beyond LIST, told beforehand (and then dealt by document) or in the task that reads them."""
+    monkeypatch.setattr(near_dup, "LIST", 16)
+    if not hot:
+        monkeypatch.setattr(near_dup, "hot_keys", lambda heads: np.zeros(0, np.int64))
+    r = random.Random(5)
+    base = [f"x{i}" for i in range(60)]
+    # a shared passage, own words of different lengths: long lists of which few members link
+    rows = [(i, " ".join(base + [f"o{i % 90}w{k}" for k in range(r.randint(0, 60))])) for i in range(250)]
+    rows += [(1000 + i, f"w{i} of its own {i * i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    if hot:
+        heads = spark.createDataFrame([(bytearray(256),)] * 40 + [(bytearray(range(256)),)], "signature binary")
+        assert len(near_dup.hot_keys(heads)) == near_dup.PREFIX and len(near_dup.hot_keys(heads.where("false"))) == 0
+    got = near_dup.near_duplicates(df, 2).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == brute_documents(rows, 2)
+
+
+def test_long_lists_hand_on_every_row_once():
+    """Rows leave a list as it grows too long, over any cut into batches; other lists stay."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    key = np.sort(np.concatenate([np.arange(50), np.full(70, 20), np.full(30, 33), np.full(9, 60)]))
+    ids, short = np.arange(len(key)), r.integers(0, 255, (len(key), 8)).astype(np.uint8)
+    short[:] = short[0]
+    table = pa.table({"key": key, "id": ids, "size": np.ones(len(key), np.int32), "short": [x.tobytes() for x in short]})
+    for step in (1, 7, 64, 1000):
+        out = pa.Table.from_batches(list(near_dup.candidate_edges(0, 8, 3, 10)(iter(table.to_batches(step))))).to_pandas()
+        left = out[out.dst.isna()]
+        assert sorted(zip(left.key, left.src, strict=True)) == [(k, i) for k, i in zip(key.tolist(), ids.tolist(), strict=True) if k in (20, 33)] or step > 10
+        assert set(left.key) <= {20, 33} and left.src.is_unique
+        edges = out[out.dst.notna()]
+        nodes = set(edges.src) | set(edges.dst)
+        assert nodes | set(left.src) >= {i for k, i in zip(key, ids, strict=True) if k in (20, 33, 60)} and not nodes & set(left.src)
+
+
 def test_document_query(spark):
     rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = queries.op4_minhash_near_dedup(spark, SMALL).collect()
