@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mietwerk.operators import inventory as inv
 from mietwerk.sources import tables as t
@@ -133,6 +134,14 @@ def gone_listings(spark: SparkSession, d: str) -> DataFrame:
     return own.where("state = 'gone'").join(active, "link", "left_anti").groupBy("link").agg(F.count("*").alias("versions"), F.max("created_at").alias("last_seen"))
 
 
+def gone_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Providers of a link of whose versions all are gone, and whether another provider still lists it."""
+    active = F.sum((F.col("state") == "active").cast("long"))
+    own = t.listings(spark, d).groupBy("link", "provider").agg(active.alias("active"), F.count("*").alias("versions"), F.max("created_at").alias("last_seen"))
+    listed = F.sum("active").over(Window.partitionBy("link")) > 0
+    return own.withColumn("elsewhere", listed).where("active = 0").select("link", "provider", "versions", "last_seen", "elsewhere")
+
+
 def liveness_due(spark: SparkSession, d: str) -> DataFrame:
     """The 200 active listings unseen for longest (a limit by design)."""
     return t.listings(spark, d).where((F.col("state") == "active") & (F.col("created_at") < NOW - 7 * DAY)).select("id", "created_at").orderBy("created_at", "id").limit(200)
@@ -161,7 +170,7 @@ QUERIES = {
     for f in (
         price_cuts, listings_latest, accepted_listings, undecided_listings, market_counts, pipeline_funnel, rejections_by_stage_reason, rejections_by_term,
         inventory_cleaned_scopes, new_listings_windows, latest_run_per_family_market, model_age, runs_retained, delta_histogram, score_pivot, listings_per_job,
-        best_image_per_listing, orphan_checks, jobs_all_markets_fresh, representative_sources, source_links, gone_listings, liveness_due, prometheus_lines, verdict_audit,
+        best_image_per_listing, orphan_checks, jobs_all_markets_fresh, representative_sources, source_links, gone_listings, gone_sources, liveness_due, prometheus_lines, verdict_audit,
     )
 }
 
@@ -211,6 +220,9 @@ ORACLES = {
       select market, provider, min((created_at, id)) as m, m[1] as seen, m[2] as id from v_listing group by market, provider) group by market"""),
     "gone_listings": _sql("""select link, count(*) as versions, max(created_at) as last_seen from v_listing where state = 'gone'
       and link not in (select link from v_listing where state = 'active') group by link"""),
+    "gone_sources": _sql("""select link, provider, count(*) as versions, max(created_at) as last_seen,
+      link in (select link from v_listing where state = 'active') as elsewhere from v_listing l
+      where not exists (select 1 from v_listing a where a.link = l.link and a.provider = l.provider and a.state = 'active') group by link, provider"""),
     "liveness_due": _sql(f"select id, created_at from v_listing where state = 'active' and created_at < {NOW} - 7 * {DAY}::bigint order by created_at, id limit 200"),
     "prometheus_lines": _sql(f"""with {_CORPUS} select 'corpus_rows{{market="' || market || '"}} ' || n as line from counted"""),
     "verdict_audit": _sql("""with c as (select job_id, reason, min(listing_id) as listing_id from v_verdict where stage = 'card' and verdict = 'rejected' group by all),
