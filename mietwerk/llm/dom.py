@@ -56,12 +56,18 @@ def parse(source: str) -> list[Node]:
     """Nodes in page order; node 0 is the root. Unclosed and misplaced tags are mended as browsers do, roughly."""
     nodes = [Node("#root", -1, 0, {})]
     stack = [0]
+    open_: dict[str, int] = {}  # tags of the stack, so that it is searched only for what it holds
     at, size = 0, len(source)
 
     def text(raw: str, decode: bool = True) -> None:
         if raw:
             nodes[stack[-1]].parts.append(html.unescape(raw) if decode and "&" in raw else raw)
 
+    def close(k: int) -> None:
+        for i in stack[k:]:
+            open_[nodes[i].tag] -= 1
+        del stack[k:]
+
     while at < size:
         m = TOKEN.search(source, at)
         if m is None:
@@ -76,29 +82,29 @@ def parse(source: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if open_.get(tag) else 0, 0, -1):
                 if nodes[stack[k]].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCKS and nodes[stack[k]].tag in BLOCKS and tag not in ("a", "b", "i", "em", "strong", "span", "u", "s", "font", "small", "big", "code", "tt", "nobr", "strike"):
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[k]].tag
                 if t == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if t in BLOCKS:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(map(open_.get, ENDS[tag][0])):
             ends, bounds = ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[k]].tag
                 if t in bounds:
                     break
                 if t in ends:
-                    del stack[k:]
+                    close(k)
                     if tag in ("li", "dt", "dd", "option"):
                         break
                     if tag in ("td", "th"):
@@ -119,4 +125,5 @@ def parse(source: str) -> list[Node]:
             at = max(end.end(), at)
             continue
         stack.append(own)
+        open_[tag] = open_.get(tag, 0) + 1
     return nodes

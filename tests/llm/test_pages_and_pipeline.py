@@ -159,3 +159,16 @@ def test_namesakes_are_documents_of_their_own(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
     assert sorted(got, key=str) == sorted([(1, said("a")), (2, said("b")), (3, said("c")), (3, said("d")), (4, ""), (5, ""), (None, said("a"))], key=str)
+
+
+def test_unmatched_tags_are_read_in_linear_time():
+    """End tags and list items without a partner in deep nesting: no search of the whole stack for each."""
+    from time import process_time
+
+    from mietwerk.llm import dom
+
+    start = process_time()
+    nodes = dom.parse("<div>" * 20_000 + "</section><li>" * 20_000 + "end")
+    assert len(nodes) == 40_001 and process_time() - start < 20
+    nodes = dom.parse("<div><p>one</section><b>two</p></b>three</div>")
+    assert [(n.tag, n.parent) for n in nodes] == [("#root", -1), ("div", 0), ("p", 1), ("b", 2)] and nodes[1].parts == [2, "three"]
