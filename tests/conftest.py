@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -34,7 +35,7 @@ def duck():
 
 
 def _show(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "~"
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
