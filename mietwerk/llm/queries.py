@@ -138,6 +138,146 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.trie import grafted, prefix_trie
+
+    return prefix_trie(grafted(_read(spark, sf_dir, "conversations")))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, bit by bit."""
+    step = "lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda c: ord(c)::bigint), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})), 4294967295)"
+
+
+OP11_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null
+), k as (
+  select conv_id, g, b, row_number() over (partition by conv_id order by turn nulls first, g) as k
+  from (select conv_id, turn, substr(sha256(strlen(r)::varchar || ':' || r || x), 1, 32) as g, strlen(x) as b from t)
+), c as (
+  select conv_id, {_crc32("conv_id::varchar")} % 9 as h from (select distinct conv_id from t)
+), rebuilt as (
+  select c.conv_id, 0 as own, k.k, k.g, k.b from c join k on k.conv_id = c.conv_id - c.conv_id % 5 and k.k <= c.h
+  union all select c.conv_id, 1, k.k, k.g, k.b from c join k on k.conv_id = c.conv_id and k.k > c.h
+), m as (
+  select conv_id, g, b, row_number() over (partition by conv_id order by own, k) as d from rebuilt
+), p as (
+  select conv_id, d, b, string_agg(g, '') over (partition by conv_id order by d rows between unbounded preceding and current row) as p from m
+  union all select conv_id, 0, 0, '' from c
+), whole as (
+  select conv_id, max(d) as d from p group by conv_id
+), n as (
+  select d, p, min(conv_id) as conv_id, count(*) as n_convs, max(b) as b from p group by d, p
+), ends as (
+  select p.p, string_agg(p.conv_id::varchar, ',' order by p.conv_id) as ids from p join whole w on w.conv_id = p.conv_id and w.d = p.d group by p.p
+), born as (
+  select substr(p, 1, 32 * (d - 1)::int) as p, count(*) as n from n where d > 0 group by 1
+), spread as (
+  select substr(n.p, 1, 32 * i::int) as p, case when born.n is null then 1 else 0 end as leaf, (n.n_convs - 1) * n.b as saved
+  from (select *, unnest(range(0, d + 1)) as i from n) n left join born on born.p = n.p
+), below as (
+  select p, sum(leaf) as n_leaves, sum(saved) as saved_tokens from spread group by p
+)
+select n.conv_id, n.d::bigint as depth, up.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, coalesce(born.n, 0)::bigint as n_children,
+  below.n_leaves::bigint as n_leaves, below.saved_tokens::bigint as saved_tokens, sha256(coalesce(ends.ids, '')) as ends_sha256
+from n left join n up on n.d > 0 and up.d = n.d - 1 and up.p = substr(n.p, 1, 32 * (n.d - 1)::int)
+  left join born on born.p = n.p left join ends on ends.p = n.p join below on below.p = n.p
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.merkle import merkle_proofs
+
+    return merkle_proofs(_read(spark, sf_dir, "documents"))
+
+
+def _told(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar)::varchar || ':' || {value}::varchar, '-')"
+
+
+def _record(text: str) -> str:
+    return f"sha256({' || '.join(_told(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+OP12_SQL = f"""
+with recursive d as (
+  select doc_id, coalesce('+' || source, '') as tree, {_record("text")} as leaf,
+    case when coalesce({_crc32("doc_id::varchar")} % 2 = 0, false) then {_record("replace(text, chr(10), '')")} else {_record("text")} end as forged from documents
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from d
+), lower as (
+  select tree, 0 as lvl, pos, leaf as h, n from placed
+  union all
+  select tree, lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (max(n) + 2) // 3 from lower where n > 1 group by tree, lvl, pos // 3
+), subroots as (
+  select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from lower where n = 1
+), upper as (
+  select 0 as lvl, pos, subroot as h, n from subroots
+  union all
+  select lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (max(n) + 2) // 3 from upper where n > 1 group by lvl, pos // 3
+), runs as (
+  select tree, lvl, pos // 3 as up, max(case when pos % 3 = 0 then h end) as h0, max(case when pos % 3 = 1 then h end) as h1, max(case when pos % 3 = 2 then h end) as h2 from lower where n > 1 group by tree, lvl, pos // 3
+  union all
+  select null, lvl, pos // 3, max(case when pos % 3 = 0 then h end), max(case when pos % 3 = 1 then h end), max(case when pos % 3 = 2 then h end) from upper where n > 1 group by lvl, pos // 3
+), climb as (
+  select tree, pos as leaf_pos, 0 as lvl, pos, n, forged as h, '' as said from placed
+  union all
+  select c.tree, c.leaf_pos, c.lvl + 1, c.pos // 3, (c.n + 2) // 3,
+    sha256(case when c.pos % 3 = 0 then c.h else r.h0 end || case when c.pos % 3 = 1 then c.h else coalesce(r.h1, '') end || case when c.pos % 3 = 2 then c.h else coalesce(r.h2, '') end),
+    c.said || case when c.pos % 3 = 0 then '' else r.h0 end || case when c.pos % 3 = 1 then '' else coalesce(r.h1, '') end || case when c.pos % 3 = 2 then '' else coalesce(r.h2, '') end
+  from climb c join runs r on r.tree = c.tree and r.lvl = c.lvl and r.up = c.pos // 3 where c.n > 1
+), climb2 as (
+  select c.tree, c.leaf_pos, 0 as lvl, s.pos, s.n, c.h, c.said from climb c join subroots s on s.tree = c.tree where c.n = 1
+  union all
+  select c.tree, c.leaf_pos, c.lvl + 1, c.pos // 3, (c.n + 2) // 3,
+    sha256(case when c.pos % 3 = 0 then c.h else r.h0 end || case when c.pos % 3 = 1 then c.h else coalesce(r.h1, '') end || case when c.pos % 3 = 2 then c.h else coalesce(r.h2, '') end),
+    c.said || case when c.pos % 3 = 0 then '' else r.h0 end || case when c.pos % 3 = 1 then '' else coalesce(r.h1, '') end || case when c.pos % 3 = 2 then '' else coalesce(r.h2, '') end
+  from climb2 c join runs r on r.tree is null and r.lvl = c.lvl and r.up = c.pos // 3 where c.n > 1
+)
+select p.doc_id, p.leaf, s.subroot, u.h as root, sha256(c.said) as proof_sha256, c.h as folded_root, c.h = u.h as verified
+from placed p join subroots s on s.tree = p.tree join climb2 c on c.tree = p.tree and c.leaf_pos = p.pos and c.n = 1, (select h from upper where n = 1) u
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mietwerk.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(_read(spark, sf_dir, "documents"))
+
+
+def _sketch(text: str) -> str:
+    """DuckDB SQL for the ascending hashes of five-word shingles below one sixteenth, at least the 16 smallest."""
+    words = f"list_filter(regexp_split_to_array({text}, '[ \t\n\v\f\r]+'), lambda w: w <> '')"
+    each = "lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16)"
+    hashes = f"(select case when len(w) = 0 then []::varchar[] else list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), {each}))) end from (select {words} as w))"
+    return f"(select case when len(list_filter(h, lambda x: x <= '0fffffffffffffff')) >= 16 then list_filter(h, lambda x: x <= '0fffffffffffffff') else h[1:16] end from (select {hashes} as h))"
+
+
+def _likeness(a: str, b: str) -> str:
+    top = lambda s: f"case when len({s}) < 16 then 'g' else greatest('0fffffffffffffff', {s}[-1]) end"
+    low = f"least({top(a)}, {top(b)})"
+    part = lambda s: f"list_filter({s}, lambda x: x <= t)"
+    some = f"(select coalesce(len(list_intersect({part(a)}, {part(b)}))::double / nullif(least(len({part(a)}), len({part(b)})), 0), 0) from (select {low} as t))"
+    return f"case when len({a}) = 0 and len({b}) = 0 then 1.0::double when len({a}) = 0 or len({b}) = 0 then 0.0::double else {some} end"
+
+
+OP13_SQL = f"""
+with d as (
+  select doc_id, coalesce(text, '') as text from documents
+), n as (
+  select doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as next from d window w as (order by doc_id nulls first, sha256(text))
+), e as (
+  select doc_id, text, next, left(text, (length(text) - length(text) // 2)::int) || left(next, (length(text) // 2)::int) as edited from n
+), f as (
+  select doc_id, text, edited, {_sketch("text")} as a, {_sketch("edited")} as b, {_sketch("next")} as c from e
+)
+select doc_id, length(text)::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(a, ' ') as fingerprint, array_to_string(b, ' ') as edited_fingerprint,
+  {_likeness("a", "b")} as near_edited, {_likeness("a", "c")} as near_next from f
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -149,6 +289,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_html_extract": op10_html_extract,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fingerprints": op13_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+    "op8_exact_top_k": OP8_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_fingerprints": OP13_SQL,
+}
