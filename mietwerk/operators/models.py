@@ -33,7 +33,7 @@ def corpus_rows(listings: DataFrame) -> DataFrame:
 
 def spatial_folds(points: DataFrame, salt: str, size: float = 500.0) -> DataFrame:
     """Fold of each point by its grid cell, so that neighbours are held out together; by cluster without coordinates."""
-    key = F.coalesce(geo.cell(F.col("x"), F.col("y"), size), F.concat(F.lit("c"), F.col("cluster")))
+    key = F.coalesce(F.concat(F.lit("c:"), geo.cell(F.col("x"), F.col("y"), size)), F.concat(F.lit("s:"), F.col("cluster")))
     return points.withColumn("fold", (string_hash(F.concat(key, F.lit(f"|{salt}"))) % FOLDS).cast("int"))
 
 
@@ -331,19 +331,19 @@ def log_smear(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.log(F.greatest(F.lit(0.8), F.least(F.lit(1.25), mean))).alias("smear"))
 
 
-def neighbour_pairs(points: DataFrame, radius: float, own_cluster: bool = True, asking: DataFrame | None = None) -> DataFrame:
+def neighbour_pairs(points: DataFrame, radius: float, own_cluster: bool = True, asking: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """id, other, distance, and the other's value for points at most `radius` apart: an equi-join on grid cells.
 
     Cells have the radius as side, so each point looks into nine; only one side is replicated. Only the
-    points of `asking` look, all if it is None.
+    points of `asking` look, all if it is None; they see points with equal `by` only.
     """
     cx, cy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
     around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = (points if asking is None else asking).select("id", "x", "y", "cluster", F.explode(around).alias("c")).select("id", "x", "y", "cluster", "c.cx", "c.cy")
-    right = points.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("value"), F.col("cluster").alias("cluster2"), cx.alias("cx"), cy.alias("cy"))
+    left = (points if asking is None else asking).select("id", *by, "x", "y", "cluster", F.explode(around).alias("c")).select("id", *by, "x", "y", "cluster", "c.cx", "c.cy")
+    right = points.select(F.col("id").alias("other"), *by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("value"), F.col("cluster").alias("cluster2"), cx.alias("cx"), cy.alias("cy"))
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    met = left.join(right, ["cx", "cy"]).where(F.col("id") != F.col("other")).withColumn("distance", d).where(F.col("distance") <= radius)
-    return (met if own_cluster else met.where(F.col("cluster") != F.col("cluster2"))).select("id", "other", "distance", "value")
+    met = left.join(right, [*by, "cx", "cy"]).where(F.col("id") != F.col("other")).withColumn("distance", d).where(F.col("distance") <= radius)
+    return (met if own_cluster else met.where(F.col("cluster") != F.col("cluster2"))).select("id", *by, "other", "distance", "value")
 
 
 def neighbour_counts(points: DataFrame, radii: tuple[int, ...] = (250, 500, 1000)) -> DataFrame:
@@ -352,18 +352,18 @@ def neighbour_counts(points: DataFrame, radii: tuple[int, ...] = (250, 500, 1000
     return points.select("id").join(met, "id", "left").select("id", *[F.coalesce(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in radii])
 
 
-def nearest_kth(points: DataFrame, k: int, least: float = 500.0, most: float = 16_000.0) -> DataFrame:
-    """Distance to the k-th neighbour: points that lack k of them look again at twice the radius, up to `most`."""
+def nearest_kth(points: DataFrame, k: int, least: float = 500.0, most: float = 16_000.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distance to the k-th neighbour (with equal `by`): points that lack k of them look again at twice the radius, up to `most`."""
     points = written(points)
     asking, radius, out = points, least, None
-    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
+    rank = F.row_number().over(W.partitionBy("id", *by).orderBy("distance", "other"))
     while True:
-        found = written(neighbour_pairs(points, radius, asking=asking).withColumn("_r", rank).where(F.col("_r") == k).select("id", "distance"))
+        found = written(neighbour_pairs(points, radius, asking=asking, by=by).withColumn("_r", rank).where(F.col("_r") == k).select("id", *by, "distance"))
         out = found if out is None else out.unionByName(found)
         radius *= 2
         if radius > most:
             return out
-        asking = written(asking.join(found, "id", "left_anti"))
+        asking = written(asking.join(found, ["id", *by], "left_anti"))
         if asking.isEmpty():
             return out
 

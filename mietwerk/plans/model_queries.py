@@ -222,7 +222,7 @@ ORACLES = {
     "conformal_assessment": _sql(f"""with r as (select listing_id, tier, round(ln(actual / fair), 9) as x, ln(actual / fair) as y from v_score), o as (select *, row_number() over (order by listing_id, tier, y) - 1 as k from r), even as (select tier, x from o where k % 2 = 0), {_CALIBRATE.format(source='even')}
       select r.tier, count(*) as n, round(avg(case when y between coalesce(q.lo, p.lo) and coalesce(q.hi, p.hi) then 1 else 0 end), 6) as coverage, round(median(100 * (exp(coalesce(q.hi, p.hi) - coalesce(q.lo, p.lo)) - 1)), 3) as width
       from o r left join q on q.tier = r.tier join q p on p.tier = '*' where k % 2 = 1 group by r.tier"""),
-    "spatial_folds": _sql("""with k as (select id, floor(x / 500)::bigint || ':' || floor(y / 500)::bigint || '|ridge-params' as k from v_point)
+    "spatial_folds": _sql("""with k as (select id, 'c:' || floor(x / 500)::bigint || ':' || floor(y / 500)::bigint || '|ridge-params' as k from v_point)
       select id, (abs(list_reduce(list_prepend(0::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)), lambda h, c: (((h * 31 + c) & 4294967295) + 2147483648) % 4294967296 - 2147483648)) % 5)::int as fold from k"""),
     "neighbour_counts": _sql(f"""with {_KNN} select p.id, count(*) filter (where distance <= 250) as n_250, count(*) filter (where distance <= 500) as n_500, count(*) filter (where distance <= 1000) as n_1000
       from v_point p left join n on n.id = p.id group by p.id"""),
