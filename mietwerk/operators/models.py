@@ -43,23 +43,23 @@ def conformal_quantile(values: Column, p: float) -> Column:
     return F.when(at <= F.size(values), F.get(values, at - 1))
 
 
-def _rank_value(df: DataFrame, keys: list[str], column: str, p: float, name: str, buckets: int = 1000) -> DataFrame:
+def _rank_value(df: DataFrame, keys: list[str], column: str, p: float, name: str) -> DataFrame:
     """Conformal quantile of each group by rank, without gathering or sorting a group in one task.
 
-    Values are counted in `buckets` equal parts of their group's range; only the part that holds the rank is
-    ranked value by value, each distinct value once.
+    A sketch tells two values that enclose the rank closely (its error is a ten-thousandth of the rows, the
+    bracket a two-hundredth; a group of few rows is taken whole). Rows below are counted, those between ranked
+    value by value, each distinct value once.
     """
-    ends = df.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.count("*").alias("_all"))
-    share = F.coalesce(F.try_divide(F.col(column) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
-    placed = df.join(F.broadcast(ends), keys).withColumn("_part", F.least(F.lit(buckets - 1), F.floor(share * buckets)))  # one row a tier
-    run = lambda own, by: F.sum("_n").over(own.orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow))
-    own = W.partitionBy(*keys)
-    parts = placed.groupBy(*keys, "_part", "_all").agg(F.count("*").alias("_n")).withColumn("_run", run(own, "_part"))
-    rank = F.ceil((F.col("_all") + 1) * F.lit(p))
-    hit = parts.where(F.col("_run") >= rank).groupBy(*keys).agg(F.min_by(F.struct("_part", (rank - F.col("_run") + F.col("_n")).alias("rank")), "_part").alias("_h"))
-    inside = placed.join(F.broadcast(hit.select(*keys, F.col("_h._part").alias("_part"), F.col("_h.rank").alias("_rank"))), [*keys, "_part"])
-    values = inside.groupBy(*keys, "_rank", column).agg(F.count("*").alias("_n")).withColumn("_run", run(own, column))
-    return values.where(F.col("_run") >= F.col("_rank")).groupBy(*keys).agg(F.min(column).alias(name))
+    around = F.array(F.lit(max(0.0, p - 0.0025)), F.lit(min(1.0, p + 0.0025)))
+    ends = df.groupBy(*keys).agg(F.percentile_approx(column, around, 10_000).alias("_q"), F.min(column).alias("_low"), F.max(column).alias("_high"), F.count(column).alias("_all"))
+    few = F.col("_all") <= 2000
+    bracket = ends.select(*keys, F.when(few, F.col("_low")).otherwise(F.col("_q")[0]).alias("_low"), F.when(few | (F.ceil(F.col("_all") * (p + 0.0025)) >= F.col("_all")), F.col("_high")).otherwise(F.col("_q")[1]).alias("_high"), F.ceil((F.col("_all") + 1) * F.lit(p)).alias("_rank"))
+    placed = df.join(bracket, keys)
+    below = placed.groupBy(*keys).agg(F.count_if(F.col(column) < F.col("_low")).alias("_below"))
+    inside = placed.where(F.col(column).between(F.col("_low"), F.col("_high"))).groupBy(*keys, "_rank", column).agg(F.count("*").alias("_n"))
+    run = F.sum("_n").over(W.partitionBy(*keys).orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = inside.withColumn("_run", run).join(below, keys)
+    return ranked.where(F.col("_below") + F.col("_run") >= F.col("_rank")).groupBy(*keys).agg(F.min(column).alias(name))
 
 
 def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -76,40 +76,41 @@ def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return kept.join(F.broadcast(before), part == F.col("_p")).select(*rows.columns, (at + F.col("_before")).alias(name))
 
 
-def calibrate(rows: DataFrame, level: float = 0.8, digits: int = 9) -> DataFrame:
-    """tier, n, lo, hi: conformal offsets of log residuals for each tier of enough rows and pooled (tier '*').
+def calibrate(rows: DataFrame, level: float = 0.8, digits: int = 9, by: tuple[str, ...] = ()) -> DataFrame:
+    """tier, n, lo, hi: conformal offsets of log residuals for each tier of enough rows and pooled (tier '*'), by columns `by`.
 
     Residuals are rounded to `digits` so that equal ones can be counted; a group's values are never gathered.
     """
-    alpha = (1 - level) / 2
-    both = rows.select("tier", F.round("residual", digits).alias("r")).where("r is not null")
-    every = both.unionByName(both.select(F.lit("*").alias("tier"), "r"))
-    counts = every.groupBy("tier").agg(F.count("*").alias("n"))
-    hi = _rank_value(every, ["tier"], "r", 1 - alpha, "hi")
-    lo = _rank_value(every.select("tier", (-F.col("r")).alias("r")), ["tier"], "r", 1 - alpha, "neg")
+    alpha, keys = (1 - level) / 2, [*by, "tier"]
+    both = written(rows.select(*keys, F.round("residual", digits).alias("r")).where("r is not null"), "residuals")
+    every = both.unionByName(both.select(*by, F.lit("*").alias("tier"), "r"))
+    counts = every.groupBy(*keys).agg(F.count("*").alias("n"))
+    hi = _rank_value(every, keys, "r", 1 - alpha, "hi")
+    lo = _rank_value(every.select(*keys, (-F.col("r")).alias("r")), keys, "r", 1 - alpha, "neg")
     enough = F.col("n") >= F.when(F.col("tier") == "*", LEAST_POOLED).otherwise(LEAST_TIER)
-    return counts.where(enough).join(hi, "tier", "left").join(lo, "tier", "left").select("tier", "n", (-F.col("neg")).alias("lo"), "hi")
+    return counts.where(enough).join(hi, keys, "left").join(lo, keys, "left").select(*keys, "n", (-F.col("neg")).alias("lo"), "hi")
 
 
-def calibrate_quantiles(rows: DataFrame, level: float = 0.8, digits: int = 9) -> DataFrame:
-    """tier, n, adjustment: how far predicted intervals (y, lo, hi, all logarithms) must widen, for each tier of enough rows and pooled.
+def calibrate_quantiles(rows: DataFrame, level: float = 0.8, digits: int = 9, by: tuple[str, ...] = ()) -> DataFrame:
+    """tier, n, adjustment: how far predicted intervals (y, lo, hi, all logarithms) must widen, for each tier of enough rows and pooled, by columns `by`.
 
     A row's score is how far it lies outside its interval, negative inside.
     """
-    score = F.round(F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")), digits)
-    own = rows.where("y is not null and not isnan(y)").select(F.coalesce("tier", F.lit("coarse")).alias("tier"), score.alias("r")).where("r is not null")
-    every = own.unionByName(own.select(F.lit("*").alias("tier"), "r"))
+    score, keys = F.round(F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")), digits), [*by, "tier"]
+    own = written(rows.where("y is not null and not isnan(y)").select(*by, F.coalesce("tier", F.lit("coarse")).alias("tier"), score.alias("r")).where("r is not null"), "scores")
+    every = own.unionByName(own.select(*by, F.lit("*").alias("tier"), "r"))
     enough = F.col("n") >= F.when(F.col("tier") == "*", LEAST_POOLED).otherwise(LEAST_TIER)
-    counts = every.groupBy("tier").agg(F.count("*").alias("n")).where(enough)
-    return counts.join(_rank_value(every, ["tier"], "r", level, "adjustment"), "tier").select("tier", "n", "adjustment")
+    counts = every.groupBy(*keys).agg(F.count("*").alias("n")).where(enough)
+    return counts.join(_rank_value(every, keys, "r", level, "adjustment"), keys).select(*keys, "n", "adjustment")
 
 
-def with_intervals(rows: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Adds lo and hi of the row's tier, of the pooled calibration where its tier has none (a handful of tiers)."""
-    tiers = F.broadcast(calibration.where("tier <> '*'").select("tier", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
-    pooled = F.broadcast(calibration.where("tier = '*'").select(F.col("lo").alias("_plo"), F.col("hi").alias("_phi")).limit(1))
-    joined = rows.join(tiers, "tier", "left").join(pooled, F.lit(True), "left")
-    return joined.withColumns({"lo": F.coalesce("_lo", "_plo"), "hi": F.coalesce("_hi", "_phi")}).drop("_lo", "_hi", "_plo", "_phi")
+def with_intervals(rows: DataFrame, calibration: DataFrame, by: tuple[str, ...] = (), columns: tuple[str, ...] = ("lo", "hi")) -> DataFrame:
+    """Adds `columns` of the calibration of the row's tier, of the pooled one where its tier has none (a row a tier and `by`)."""
+    tiers = calibration.where("tier <> '*'").select(*by, "tier", *[F.col(c).alias(f"_{c}") for c in columns])
+    pooled = calibration.where("tier = '*'").select(*by, *[F.col(c).alias(f"_p{c}") for c in columns])
+    tiers, pooled = (tiers, pooled) if by else (F.broadcast(tiers), F.broadcast(pooled.limit(1)))  # without `by` a handful of tiers
+    joined = rows.join(tiers, [*by, "tier"], "left").join(pooled, list(by) if by else F.lit(True), "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", f"_p{c}") for c in columns}).drop(*[f"_{c}" for c in columns], *[f"_p{c}" for c in columns])
 
 
 def assess(rows: DataFrame, order: list[str], level: float = 0.8, digits: int = 9) -> DataFrame:
@@ -301,7 +302,7 @@ def huber_by_market(design: DataFrame, terms: list[str], target: str, penalties:
     return now.select("market", "lambda", "beta", "moved", F.lit(k).alias("rounds"))
 
 
-def live_scores(rows: DataFrame, calibration: DataFrame, level: float = 0.8) -> DataFrame:
+def live_scores(rows: DataFrame, calibration: DataFrame, level: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:
     """Fair price, interval, difference, confidence and z of adverts (id, market, tier, actual, predicted, field_residual, field_spread, field_confidence, smear, low_band, high_band).
 
     Logarithms throughout. An advert whose price lies outside its model's band has no score; a tier without
@@ -309,7 +310,7 @@ def live_scores(rows: DataFrame, calibration: DataFrame, level: float = 0.8) ->
     """
     fits = rows.where((F.col("actual") > 0) & (F.col("low_band").isNull() | F.log("actual").between(F.col("low_band"), F.col("high_band"))))
     log = F.col("predicted") + F.col("field_residual") + F.coalesce("smear", F.lit(0.0))
-    held = with_intervals(fits.withColumn("_log", log), calibration)
+    held = with_intervals(fits.withColumn("_log", log), calibration, by)
     fair = F.greatest(F.lit(1.0), F.exp("_log"))
     confidence = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("field_confidence") * F.when(F.col("tier") == "trusted", 1.0).otherwise(0.75)))
     return held.select(
