@@ -422,106 +422,6 @@ def ordered_quantiles(lo: Column, mid: Column, hi: Column) -> Column:
     return F.array_sort(F.array(lo, mid, hi))
 
 
-def fit_quantile_trees(x: np.ndarray, y: np.ndarray, alpha: float, trees: int = 40, leaves: int = 7, step: float = 0.1, least: int = 10) -> list[dict]:
-    """Gradient-boosted quantile trees of one market, as nested nodes that `tree_column` reads."""
-    edges = [np.unique(np.quantile(c[np.isfinite(c)], np.linspace(0, 1, 33)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-    fit = np.full(len(y), np.quantile(y, alpha))
-    out = [{"tree_structure": {"leaf_value": float(fit[0])}}] if len(y) else []
-    for _ in range(trees if len(y) else 0):
-        gradient = np.where(y > fit, alpha, alpha - 1)
-        root: dict = {"rows": np.arange(len(y))}
-        open_ = [root]
-        while len(open_) < leaves:
-            best = None
-            for node in open_:
-                rows = node["rows"]
-                total = gradient[rows].sum()
-                for f, cuts in enumerate(edges):
-                    b = np.searchsorted(cuts, x[rows, f], side="left")
-                    n = np.cumsum(np.bincount(b, minlength=len(cuts) + 1))[:-1]
-                    g = np.cumsum(np.bincount(b, gradient[rows], len(cuts) + 1))[:-1]
-                    fine = (n >= least) & (len(rows) - n >= least)
-                    if fine.any():
-                        gain = np.where(fine, g**2 / np.maximum(n, 1) + (total - g) ** 2 / np.maximum(len(rows) - n, 1) - total**2 / len(rows), -1)
-                        k = int(np.argmax(gain))
-                        if gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
-                            best = (gain[k], node, f, float(cuts[k]))
-            if best is None:
-                break
-            _, node, f, cut = best
-            rows = node.pop("rows")
-            left = x[rows, f] <= cut
-            node.update(split_feature=f, threshold=cut, missing_type="NaN", default_left=False, left_child={"rows": rows[left]}, right_child={"rows": rows[~left]})
-            open_.remove(node)
-            open_ += [node["left_child"], node["right_child"]]
-        for node in open_:
-            rows = node.pop("rows")
-            node["leaf_value"] = float(step * np.quantile(y[rows] - fit[rows], alpha))
-            fit[rows] += node["leaf_value"]
-        out.append({"tree_structure": root})
-    return out
-
-
-def train_quantile_models(rows: DataFrame, features: list[str], target: str, alphas: tuple[float, ...] = (0.1, 0.5, 0.9), most: int = 20_000) -> DataFrame:
-    """market, alpha, rows, sampled, model (JSON) of each market: one task a market and quantile.
-
-    `rows` counts all of the market's rows; the trees learn from `sampled` of them, a sample by hash of at
-    most `most`, so that a market of any size fits a task's memory.
-    """
-    import json
-
-    rank = F.row_number().over(W.partitionBy("market").orderBy(F.xxhash64("id"), "id", *features, target))
-    bounded = rows.select("id", "market", *features, target).withColumn("_r", rank).where(F.col("_r") <= most)
-    dealt = bounded.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        alpha = float(pdf["alpha"].iloc[0])
-        pdf = pdf.sort_values(["id", *features, target])
-        trees = fit_quantile_trees(pdf[features].to_numpy(float), pdf[target].to_numpy(float), alpha)
-        return pd.DataFrame({"market": [pdf["market"].iloc[0]], "alpha": [alpha], "sampled": [len(pdf)], "model": [json.dumps(trees)]})
-
-    models = dealt.groupBy("market", "alpha").applyInPandas(train, "market string, alpha double, sampled long, model string")
-    totals = rows.groupBy(F.col("market").alias("_market")).agg(F.count("*").alias("rows"))
-    return models.join(totals, F.col("market").eqNullSafe(F.col("_market"))).select("market", "alpha", "rows", "sampled", "model")
-
-
-def score_with_models(rows: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
-    """id, market, alpha, rows, sampled, predicted of every row and level of its market; trees are walked batch by batch.
-
-    The models pass the driver and are broadcast (one a market and level), so no row carries its trees.
-    """
-    import json
-
-    known: dict[str | None, list[tuple]] = {}
-    for r in models.collect():
-        known.setdefault(r["market"], []).append((r["alpha"], r["rows"], r["sampled"], r["model"]))
-    shared = rows.sparkSession.sparkContext.broadcast(known)
-
-    def walk(node: dict, x: np.ndarray) -> np.ndarray:
-        if "leaf_value" in node:
-            return np.full(len(x), node["leaf_value"])
-        v = x[:, node["split_feature"]]
-        left = np.where(np.isnan(v), node["default_left"], v <= node["threshold"])
-        out = np.empty(len(x))
-        out[left] = walk(node["left_child"], x[left])
-        out[~left] = walk(node["right_child"], x[~left])
-        return out
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[tuple, list[dict]] = {}
-        for pdf in batches:
-            for market, own in pdf.groupby("market", dropna=False):
-                market = market if isinstance(market, str) else None
-                x = own[features].to_numpy(float)
-                for alpha, n, sampled, model in shared.value.get(market, []):
-                    if (market, alpha) not in parsed:
-                        parsed = {**(parsed if len(parsed) < 64 else {}), (market, alpha): json.loads(model)}
-                    predicted = sum((walk(t["tree_structure"], x) for t in parsed[market, alpha]), np.zeros(len(x)))
-                    yield pd.DataFrame({"id": own["id"], "market": own["market"], "alpha": alpha, "rows": n, "sampled": sampled, "predicted": predicted})
-
-    return rows.select("id", "market", *features).mapInPandas(score, "id long, market string, alpha double, rows long, sampled long, predicted double")
-
-
 def greedy_point_dedupe(rows: DataFrame, tolerance: float = 0.02, filled: tuple[str, ...] = ()) -> DataFrame:
     """Rows left when, of those at one point and size, each within `tolerance` of an earlier kept price goes.
 

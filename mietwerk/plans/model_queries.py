@@ -129,19 +129,6 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "created_at", m.ensemble_column(TREES, ["size", "rooms"]).alias("score")).groupBy("id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def quantile_models(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of every market and those that its trees learned from, by level; `quantile_predictions` has what the trees say."""
-    rows = m.corpus_rows(t.listings(spark, d))
-    return m.train_quantile_models(rows, ["size", "rooms"], "log_price").select("market", "alpha", "rows", "sampled")
-
-
-def quantile_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Predicted log price of every row of every market at each level, with the market's rows and those learned from."""
-    rows = m.corpus_rows(t.listings(spark, d))
-    found = m.score_with_models(rows, m.train_quantile_models(rows, ["size", "rooms"], "log_price"), ["size", "rooms"])
-    return found.select("id", "market", "alpha", "rows", "sampled", F.round("predicted", 9).alias("predicted"))
-
-
 def corpus_deduped(spark: SparkSession, d: str) -> DataFrame:
     """Listings left after near-equal prices at one address and size fold into the first."""
     rows = m.corpus_rows(t.listings(spark, d)).select("id", F.col("address").alias("point"), "size", "price", "created_at")
@@ -188,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         robust_stats, weighted_quantiles, effective_sample_sizes, error_stats, naive_baseline, pinball_by_quantile, corpus_outlier_filter, conformal_calibration, conformal_assessment, spatial_folds, neighbour_counts,
-        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, quantile_models, quantile_predictions, corpus_deduped, quantile_calibration, market_penalties, market_ridges, live_scores,
+        knn_distance, bandwidth_clamps, kernel_field, grid_cell_counts, design_moments, normal_equations, ridge_residuals, log_smear, tree_scores, corpus_deduped, quantile_calibration, market_penalties, market_ridges, live_scores,
     )
 }
 
@@ -255,5 +242,4 @@ ORACLES = {
     "log_smear": _sql("select tier, round(ln(greatest(0.8, least(1.25, avg(exp(ln(actual / fair) / 20))))), 6) as smear from v_score group by tier"),
     "tree_scores": _sql("""with r as (select id, case when size <> 13 then size end as s, case when rooms::int % 10 <> 0 then rooms when rooms > 20 then 0.0 end as r from v_listing)
       select id, round(sum((case when s is null or s <= 20.5 then 1.5 when coalesce(r, 0) <= 25 then -0.5 else 2.0 end) + (case when r is null or r = 0 then 0.75 when r <= 10 then 0.25 else 0.75 end)), 6) as score from r group by id"""),
-    "quantile_models": _sql(f"""with {_CORPUS} select market, alpha, count(*) as "rows", least(count(*), 20000) as sampled from c, unnest([0.1::double, 0.5::double, 0.9::double]) a(alpha) group by all"""),
 }

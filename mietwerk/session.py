@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,6 +28,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(place or 'file:///tmp/mietwerk-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def counted(df: DataFrame, *conditions: str, name: str = "table") -> tuple[DataFrame, list[int]]:
+    """The table written as by `written`, and how many of its rows meet each condition, told while they are written."""
+    told = Observation()
+    marked = df.observe(told, *[F.count_if(F.expr(c)).alias(f"n{i}") for i, c in enumerate(conditions)])
+    out = written(marked, name)
+    return out, [told.get[f"n{i}"] for i in range(len(conditions))]
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The table written to a shared folder and read again, so that what follows doesn't compute it once more."""
     folder = shared_folder(df.sparkSession, name)

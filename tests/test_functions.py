@@ -67,19 +67,6 @@ def test_tree_follows_missing_rules(spark):
     assert [r[0] for r in rows.select(models.tree_column(right, ["x"])).collect()] == [2.0, 1.0, 2.0]
 
 
-def test_compiled_trees_equal_walked_ones(spark):
-    rows = spark.createDataFrame([(i, "m", float(i % 37), float(i % 11), float((i % 37) * 2 + i % 11)) for i in range(400)], "id long, market string, a double, b double, y double")
-    trained = models.train_quantile_models(rows, ["a", "b"], "y", (0.5,))
-    import json
-
-    trees = json.loads(trained.first()["model"])
-    walked = {r["id"]: r["predicted"] for r in models.score_with_models(rows, trained, ["a", "b"]).collect()}
-    compiled = {r["id"]: r["p"] for r in rows.select("id", models.ensemble_column(trees, ["a", "b"]).alias("p")).collect()}
-    assert walked == pytest.approx(compiled)
-    error = sorted(abs(compiled[r["id"]] - r["y"]) for r in rows.collect())
-    assert error[200] < 8
-
-
 def test_greedy_dedupe_equals_a_loop(spark):
     import random
 
@@ -138,38 +125,6 @@ def test_bot_signs_anywhere_in_a_page(spark, tmp_path):
     assert got == {i: not h.endswith("nothing") for i, _, h in rows}
 
 
-def test_predictions_of_all_markets_equal_a_loop(spark):
-    from mietwerk.plans import model_queries
-    from mietwerk.sources import tables
-    from tests.conftest import SMALL
-
-    rows = models.corpus_rows(tables.listings(spark, SMALL)).select("id", "market", "size", "rooms", "log_price").toPandas()
-
-    def walk(node, row):
-        while "leaf_value" not in node:
-            node = node["left_child"] if row[node["split_feature"]] <= node["threshold"] else node["right_child"]
-        return node["leaf_value"]
-
-    want = []
-    for market, own in rows.groupby("market"):
-        own = own.sort_values(["id", "size", "rooms", "log_price"])
-        x, y = own[["size", "rooms"]].to_numpy(float), own["log_price"].to_numpy(float)
-        for alpha in (0.1, 0.5, 0.9):
-            trees = models.fit_quantile_trees(x, y, alpha)
-            want += [(int(i), market, alpha, len(own), len(own), sum(walk(t["tree_structure"], r) for t in trees)) for i, r in zip(own["id"], x, strict=True)]
-    got = sorted(tuple(r) for r in model_queries.quantile_predictions(spark, SMALL).collect())
-    want.sort()
-    assert len({r[1] for r in got}) > 2 and [r[:5] for r in got] == [r[:5] for r in want]
-    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-8)
-
-
-def test_market_larger_than_the_sample(spark):
-    rows = spark.range(300).selectExpr("id", "if(id < 250, 'a', 'b') as market", "double(id % 17) as x", "double(id % 17 + id % 5) as y")
-    trained = models.train_quantile_models(rows, ["x"], "y", (0.5,), most=100)
-    assert sorted((r["market"], r["rows"], r["sampled"]) for r in trained.collect()) == [("a", 250, 100), ("b", 50, 50)]
-    assert models.score_with_models(rows, trained, ["x"]).count() == 300
-
-
 def test_far_neighbours_are_found(spark):
     """Points whose k-th neighbour is 0.4, 3, 15 and over 16 km away, against a loop."""
     from math import hypot
