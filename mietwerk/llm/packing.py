@@ -1,7 +1,8 @@
-"""Packing of tokenised documents by a configuration program over the length histogram, rounded; the rest best-fit."""
+"""Packing of tokenised documents by a configuration program over the length histogram, rounded by priced configurations."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mietwerk.llm.common import Scratch
+from mietwerk.llm.common import Scratch, free_name
 from mietwerk.llm.pieces import added_tokens, broadcast_ranks, chunks, encode_words, gather, with_pieces, word_encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,6 +28,8 @@ STEPS, STEP = 4000, (0.02, 0.5)
 FALL, LONG = 0.3, 0.05
 #: Lengths that a block of a sweep prices together, and what a configuration may lack under the dual to be rounded up.
 BLOCK, SLACK = 32, 0.005
+#: Shares of the sequences, the emptiest first, that may be packed anew.
+SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.85, 1.0)
 #: Rows of one length that are numbered in one window, on average.
 PART_ROWS = 1000
 
@@ -75,7 +78,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: in
 class Plan:
     """Patterns of (length, count) and how many sequences each has; bounded by the number of distinct lengths.
 
-    `configured` sequences are configurations of the program, the rest best-fit; `bound` is the program's best
+    `configured` sequences are configurations priced by a knapsack, the rest best-fit; `bound` is the program's best
     dual value, below which no packing has fewer sequences.
     """
 
@@ -222,14 +225,69 @@ def _priced(program: Program, rest: np.ndarray, slack: float) -> Iterator[tuple[
             block *= 2
 
 
+def _completed(program: Program, rest: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Configurations that cover `rest`: each holds the longest length left and what is worth most in the room beside it.
+
+    The room is priced by a knapsack over a cut through the lengths that fit, another cut each time.
+    """
+    rest, out, lengths, capacity = rest.copy(), [], program.lengths, program.capacity
+    value = program.dual * (1 + LONG * lengths / capacity)
+    while (rest > 0).any():
+        top = int(np.flatnonzero(rest)[-1])
+        room, config = capacity - int(lengths[top]), {top: 1}
+        rest[top] -= 1
+        fits = np.flatnonzero((rest > 0) & (lengths <= room))
+        if len(fits):
+            every = max(1, len(fits) // (2 * BLOCK))
+            own = np.unique(np.concatenate([fits[len(out) % every :: every], fits[-8:], fits[:8]]))
+            _, found = _price(lengths[own], value[own], rest[own], room)
+            for i, n in found.items():
+                config[int(own[i])] = config.get(int(own[i]), 0) + n
+        rest[top] += 1
+        times = min(int(rest[i]) // n for i, n in config.items())
+        for i, n in config.items():
+            rest[i] -= n * times
+        out.append((config, times))
+    return out
+
+
+def _repacked(program: Program, patterns: list[tuple[dict[int, int], int, bool]]) -> list[tuple[dict[int, int], int, bool]]:
+    """The patterns (configuration, times, priced) after the emptiest sequences were taken apart and priced anew: the share that needs fewest in all.
+
+    Of equal results the smallest share counts. If best-fit makes fewer sequences of the whole histogram, it packs all.
+    """
+    lengths, least = program.lengths, math.ceil(program.bound - 1e-6)
+    order = sorted(patterns, key=lambda u: sum(int(lengths[i]) * n for i, n in u[0].items()))
+    total = sum(u[1] for u in order)
+    best, fewest = patterns, total
+    for share in SHARES:
+        if fewest <= least:
+            break
+        rest, kept, open_ = np.zeros(len(lengths), np.int64), [], int(share * total)
+        for config, times, own in order:
+            n = min(times, open_)
+            open_ -= n
+            for i, k in config.items():
+                rest[i] += k * n
+            if times > n:
+                kept.append((config, times - n, own))
+        priced = [(config, times, True) for config, times in _completed(program, rest)]
+        made = sum(u[1] for u in kept) + sum(u[1] for u in priced)
+        if made < fewest:
+            best, fewest = kept + priced, made
+    fitted = [(config, times, False) for config, times in _best_fit(lengths, program.counts, program.capacity)] if fewest > least else []
+    return fitted if fitted and sum(u[1] for u in fitted) < fewest else best
+
+
 def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
     """Solve the configuration program on the histogram and round it.
 
     The whole parts of the tight fractional configurations come first. The counts that these leave are a smaller
     program of the same kind: its configurations are priced under the best dual and taken a whole number of
-    times, first only those that lack at most SLACK, then twice that, and so on. Of this and best-fit, the way
-    that needs fewer sequences packs what tight configurations leave. Each use takes up some length, so the
-    number of patterns depends on the lengths and not on how many rows there are.
+    times, first those that lack at most SLACK, then around the longest length left. At last the emptiest
+    sequences are taken apart and priced anew, as large a share as saves any; best-fit packs the whole only if
+    that needs fewer sequences still. Each use takes up some length, so the number of patterns depends on the
+    lengths and not on how many rows there are.
     """
     histogram = {n: c for n, c in histogram.items() if c > 0}
     if not histogram:
@@ -246,32 +304,29 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
             for i, n in key:
                 rest[i] -= n * times
     used += _priced(program, rest, SLACK)
-    fitted, configured, slack = _best_fit(lengths, rest, capacity), [], SLACK
-    while (rest > 0).any():
-        slack *= 2
-        configured += _priced(program, rest, slack)
-    total = lambda patterns: sum(times for _, times in patterns)
-    whole = total(configured) <= total(fitted)
-    every = used + (configured if whole else fitted)
-    patterns = [[(int(lengths[i]), n) for i, n in sorted(config.items(), reverse=True)] for config, _ in every]
-    return Plan(patterns, [times for _, times in every], total(used) + total(configured) * whole, program.bound)
+    used += _completed(program, rest)
+    every = _repacked(program, [(c, n, True) for c, n in used])
+    patterns = [[(int(lengths[i]), n) for i, n in sorted(config.items(), reverse=True)] for config, _, _ in every]
+    return Plan(patterns, [times for _, times, _ in every], sum(times for _, times, own in every if own), program.bound)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None) -> DataFrame:
     """Add sequence_id and offset to `pieces` (which has doc_id, piece, length and anything else).
 
     Only the histogram of lengths (at most `capacity` rows) and the plan made from it pass the driver. Rows
-    of a length are numbered in parts, so that a frequent length is no task of its own. Equal rows may swap
-    places; an empty table gives an empty one.
+    of a length are numbered in parts, so that a frequent length is no task of its own, nor are rows repeated often.
+    Equal rows may swap places; an empty table gives an empty one.
     """
     scratch = scratch or Scratch(pieces.sparkSession)
-    written = scratch.write(pieces)
+    row, parts_, part_, rank_, before_ = (free_name(n, pieces.columns) for n in ("_row", "_parts", "_part", "_rank", "_before"))
+    written = scratch.write(pieces.withColumn(row, F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
-    parts = pieces.sparkSession.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in histogram.items()], "length long, _parts long")
-    part = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_parts")).alias("_part")
+    parts = pieces.sparkSession.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in histogram.items()], f"length long, {parts_} long")
+    # a row's own number deals equal rows out too
+    part = F.pmod(F.xxhash64(row), F.col(parts_)).alias(part_)
     kept = written.join(F.broadcast(parts), "length").select(*written.columns, part)  # at most `capacity` lengths
-    counts = kept.groupBy("length", "_part").agg(F.count("*").alias("n"))
+    counts = kept.groupBy("length", part_).agg(F.count("*").alias("n"))
     # first slot, slots a sequence, first sequence, offset: of each pattern that holds the length
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -285,15 +340,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
         sequence += times
     tables = {n: np.array(v, np.int64).T for n, v in slots.items()}
     shared = pieces.sparkSession.sparkContext.broadcast(tables)
-    before = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("length", "_part", F.coalesce("before", F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "_part").orderBy("doc_id", "piece", "start")) - 1
-    ranked = kept.withColumn("_rank", rank).join(before, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("before"))
+    running = F.sum("n").over(W.partitionBy("length").orderBy(part_).rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select("length", part_, F.coalesce(running, F.lit(0)).alias(before_))
+    rank = F.row_number().over(W.partitionBy("length", part_).orderBy("doc_id", "piece", row)) - 1
+    ranked = kept.withColumn(rank_, rank).join(before, ["length", part_]).withColumn(rank_, F.col(rank_) + F.col(before_))
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c in columns) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", rank_))
             seq, off = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1
@@ -306,7 +362,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(seq), pa.array(off)], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, "_rank").mapInArrow(place, schema)
+    return ranked.select(*columns, rank_).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, added: bool = False) -> DataFrame:

@@ -148,6 +148,16 @@ def test_configurations_make_the_packing(sf_dir):
         plan = packing.plan_packing({n: c * often for n, c in histogram.items()}, 2048)
         assert plan.configured >= 0.9 * plan.sequences
         assert plan.bound <= plan.sequences <= 1.005 * plan.bound + 2
+        lengths = np.array(sorted(histogram), np.int64)
+        greedy = packing._best_fit(lengths, np.array([histogram[int(n)] * often for n in lengths], np.int64), 2048)
+        assert plan.sequences <= sum(times for _, times in greedy)
+
+
+def test_uniform_lengths_stay_near_the_bound():
+    lengths, counts = np.unique(np.random.default_rng(1).integers(1, 2049, 20_000), return_counts=True)
+    plan = packing.plan_packing(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), 2048)
+    assert plan.sequences <= min(1.01 * plan.bound, sum(times for _, times in packing._best_fit(lengths, counts, 2048)))
+    assert plan.configured >= 0.9 * plan.sequences
 
 
 def test_pricing_and_bound_against_brute_force():
