@@ -253,7 +253,8 @@ def hot_join(rows: DataFrame, once: DataFrame, key: str, spread: str, count: str
     if hubs.isEmpty():
         return rows.join(once.drop(count), key)
     hot = may_hold(hubs.select(key))
-    dealt = rows.where(hot(key)).withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)))
-    copied = once.where(hot(key)).drop(count).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    cool = rows.where(~hot(key)).join(once.where(~hot(key)).drop(count), key)
-    return cool.unionByName(dealt.join(copied, [key, "_salt"]).drop("_salt"))
+    # one pass over either side: a salt for the rows of hot keys, -1 for all others
+    dealt = rows.withColumn("_salt", F.when(hot(key), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(-1))
+    every = F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")
+    copied = once.drop(count).withColumn("_salt", F.explode(F.when(hot(key), every).otherwise(F.array(F.lit(-1).cast("long")))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
