@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,10 +202,27 @@ def maybe(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
 
 
 def may_hold(members: DataFrame) -> Callable[[str], Column]:
-    """A test of a long column: false only for values that are not among `members` (one long column).
+    """A test of a long column by `filter_of`: false only for values that are not among `members` (one long column)."""
+    shared = filter_of(members)
 
-    A Bloom filter of a fixed 4 MB, built part by part on the executors, keeps rows out of that join's
-    shuffle. However many members there are, its size is the same; when it is full it lets all rows pass.
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(filter_hits(shared.value, keys.fillna(0).to_numpy(np.int64)))
+
+    return hit
+
+
+def filter_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which long keys may be among the members of a filter."""
+    at = _filter_bits(np.ascontiguousarray(keys))
+    return (((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) == 1).all(0)
+
+
+def filter_of(members: DataFrame) -> Broadcast:
+    """A Bloom filter of a fixed 4 MB over `members` (one long column), built part by part on the executors.
+
+    It keeps rows out of a join's shuffle. However many members there are, its size is the same; when it is full
+    it lets all rows pass.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +245,7 @@ def may_hold(members: DataFrame) -> Callable[[str], Column]:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in made:
         bits[r["part"] * FILTER_PART // 8 : (r["part"] + 1) * FILTER_PART // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def hit(keys: pd.Series) -> pd.Series:
-        at = _filter_bits(np.ascontiguousarray(keys.fillna(0).to_numpy(np.int64)))
-        return pd.Series((((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) == 1).all(0))
-
-    return hit
+    return spark.sparkContext.broadcast(bits)
 
 
 #: Rows of one key beyond which `hot_join` spreads the key over tasks, at least.

@@ -341,6 +341,27 @@ def candidates(postings: DataFrame, percent: int, scratch: Scratch, width: int =
     return edges.unionByName(more.select("src", "dst"))
 
 
+#: Sets that are compared pair by pair.
+FEW = 4
+
+
+def _few_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """`exact_components` of a handful of sorted sets, pair by pair."""
+    label = list(range(len(sets)))
+    for i in range(1, len(sets)):
+        for j in range(i):
+            a, b = sets[j], sets[i]
+            # sizes alone may rule a link out
+            if label[i] == label[j] or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                continue
+            both = np.sort(np.concatenate([a, b]))
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if common and 100 * common >= percent * (len(a) + len(b) - common):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return np.array(label)
+
+
 def exact_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Components of rows linked at 100 * intersection >= percent * union; labels are smallest positions.
 
@@ -348,6 +369,8 @@ def exact_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     component have been: every pair with one end outside it is then decided, and pairs inside need not be.
     """
     n = len(sets)
+    if n <= FEW:
+        return _few_components(sets, percent)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
