@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mietwerk.functions import text as tx
@@ -13,14 +17,6 @@ SIZE, ROOMS = r"(\d{1,4}(?:[.,]\d{1,2})?)\s*m²", r"(\d{1,2}(?:[.,]\d)?)\s*(?:Zi
 PRICE = r"(?:Kaltmiete|Nettokaltmiete|Grundmiete)\D{0,24}?(\d[\d.]{2,})\s*€"
 
 
-def _fact(value: Column, source: str, confidence: str) -> Column:
-    return F.when(value > 0, F.struct(value.alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
-
-
-def _place(text: Column, source: str, confidence: str) -> Column:
-    return F.when(F.coalesce(text, F.lit("")) != "", F.struct(text.alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
-
-
 def _at(json: Column, path: str) -> Column:
     return F.get_json_object(json, path)
 
@@ -29,15 +25,32 @@ def _known(*parts: Column, by: str) -> Column:
     return F.concat_ws(by, *[F.nullif(F.trim(p), F.lit("")) for p in parts])
 
 
-def json_ld_nodes(value: Column, depth: int = 3) -> Column:
-    """The objects of a JSON-LD value as JSON texts: an array's elements and what stands under @graph, to a depth."""
-    level = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
-    out = level
-    for _ in range(depth):
-        inner = F.transform(level, lambda n: F.coalesce(F.from_json(_at(n, "$['@graph']"), "array<string>"), F.array().cast("array<string>")))
-        level = F.flatten(inner)
-        out = F.concat(out, level)
-    return out
+def _flattened(values: pd.Series) -> pd.Series:
+    """All objects of JSON-LD texts, an object before what stands under its @graph; numbers stay as written."""
+
+    def nodes(value) -> Iterator[dict]:
+        open_ = [value]
+        while open_:
+            now = open_.pop()
+            if isinstance(now, list):
+                open_ += reversed(now)
+            elif isinstance(now, dict):
+                yield now
+                if isinstance(now.get("@graph"), list):
+                    open_.append(now["@graph"])
+
+    def parsed(text: str):
+        try:
+            return json.loads(text, parse_float=str, parse_int=str)
+        except (ValueError, RecursionError):
+            return None
+
+    return values.map(lambda texts: [json.dumps(n, ensure_ascii=False) for t in (texts if texts is not None else ()) for n in nodes(parsed(t))])
+
+
+def json_ld_nodes(values: Column) -> Column:
+    """The objects of an array of JSON-LD texts as JSON texts, however deep arrays and @graph stand in each other; what isn't JSON has none."""
+    return F.pandas_udf(_flattened, "array<string>")(values)
 
 
 def _first_where(embedded: Column, kind: str) -> Column:
@@ -50,36 +63,59 @@ def _single(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) == 1, found[0])
 
 
-def deterministic_detail(embedded: Column, full_text: Column) -> dict[str, Column]:
-    """price, size, rooms (structs of value, source, confidence) and address of a detail page; null where nothing tells."""
-    scout, welt = _first_where(embedded, "immoscout-expose"), _at(_first_where(embedded, "#__UFRN_LIFECYCLE_SERVERREQUEST__"), "$.app_cldp.data.classified")
-    nodes = F.flatten(F.transform(F.filter(embedded, lambda e: e["kind"] == "json-ld"), lambda e: json_ld_nodes(e["value"])))
-    home = F.get(F.filter(nodes, lambda n: F.coalesce(_at(n, "$['@type']").rlike(f"(?i){HOME}"), F.lit(False))), F.lit(0))
-    sections = F.from_json(_at(scout, "$.sections"), "array<struct<type:string,attributes:array<struct<label:string,text:string>>,addressLine1:string,addressLine2:string>>")
-    section = lambda kind: F.get(F.filter(sections, lambda s: s["type"] == kind), F.lit(0))
-    labelled = lambda pattern: F.get(F.transform(F.filter(section("TOP_ATTRIBUTES")["attributes"], lambda a: F.coalesce(a["label"].rlike(f"(?i){pattern}"), F.lit(False))), lambda a: a["text"]), F.lit(0))
-    tracking = F.from_json(_at(welt, "$.advertising.tracking_config"), "map<string,string>")
-    tracked = lambda pattern: F.get(F.map_values(F.map_filter(tracking, lambda k, _: k.rlike(f"(?i){pattern}") & ~k.rlike("(?i)range|bereich"))), F.lit(0))
-    facts = F.from_json(_at(welt, "$.sections.hardFacts.facts"), "array<struct<type:string,splitValue:string,value:string>>")
-    hard = lambda pattern: F.get(F.transform(F.filter(facts, lambda f: F.coalesce(f["type"].rlike(f"(?i){pattern}"), F.lit(False))), lambda f: F.coalesce(f["splitValue"], f["value"])), F.lit(0))
-    rented = F.coalesce(F.coalesce(tracking["Vermarktungsart"], _at(welt, "$.rawData.distributionType")).rlike("(?i)rent|miet"), F.lit(False))
-    number = tx.extract_number
+FACTS = ("price", "size", "rooms", "address")
+
+
+def deterministic_detail(pages: DataFrame) -> DataFrame:
+    """`pages` (embedded, full_text) with price, size, rooms (structs of value, source, confidence) and address; null where nothing tells.
+
+    Each embedded text is parsed once, into a column that the facts then read.
+    """
+    parsed = pages.withColumns(
+        {
+            "_scout": _first_where(F.col("embedded"), "immoscout-expose"),
+            "_welt": _at(_first_where(F.col("embedded"), "#__UFRN_LIFECYCLE_SERVERREQUEST__"), "$.app_cldp.data.classified"),
+            "_nodes": json_ld_nodes(F.transform(F.filter("embedded", lambda e: e["kind"] == "json-ld"), lambda e: e["value"])),
+        }
+    )
+    sections = F.from_json(_at(F.col("_scout"), "$.sections"), "array<struct<type:string,attributes:array<struct<label:string,text:string>>,addressLine1:string,addressLine2:string>>")
+    section = lambda kind: F.get(F.filter("_sections", lambda s: s["type"] == kind), F.lit(0))
+    facts = F.from_json(_at(F.col("_welt"), "$.sections.hardFacts.facts"), "array<struct<type:string,splitValue:string,value:string>>")
+    parsed = parsed.withColumns(
+        {
+            "_sections": sections,
+            "_home": F.get(F.filter("_nodes", lambda n: F.coalesce(_at(n, "$['@type']").rlike(f"(?i){HOME}"), F.lit(False))), F.lit(0)),
+            "_tracking": F.from_json(_at(F.col("_welt"), "$.advertising.tracking_config"), "map<string,string>"),
+            "_facts": facts,
+        }
+    )
+    parsed = parsed.withColumns({"_top": section("TOP_ATTRIBUTES")["attributes"], "_where": section("MAP"), "_spot": _at(F.col("_welt"), "$.sections.location.address"), "_own": _at(F.col("_home"), "$.address")})
+    welt, home, own = F.col("_welt"), F.col("_home"), F.col("_own")
+    labelled = lambda pattern: F.get(F.transform(F.filter("_top", lambda a: F.coalesce(a["label"].rlike(f"(?i){pattern}"), F.lit(False))), lambda a: a["text"]), F.lit(0))
+    tracked = lambda pattern: F.get(F.map_values(F.map_filter("_tracking", lambda k, _: k.rlike(f"(?i){pattern}") & ~k.rlike("(?i)range|bereich"))), F.lit(0))
+    hard = lambda pattern: F.get(F.transform(F.filter("_facts", lambda f: F.coalesce(f["type"].rlike(f"(?i){pattern}"), F.lit(False))), lambda f: F.coalesce(f["splitValue"], f["value"])), F.lit(0))
+    rented = F.coalesce(F.coalesce(F.col("_tracking")["Vermarktungsart"], _at(welt, "$.rawData.distributionType")).rlike("(?i)rent|miet"), F.lit(False))
     offer = F.when(~F.coalesce(_at(home, "$.offers['@type']").rlike("(?i)AggregateOffer"), F.lit(False)), F.coalesce(_at(home, "$.offers.price"), _at(home, "$.offers.priceSpecification.price")))
-    # a JSON number has a point where German text has a comma
-    plain = lambda text: F.coalesce(F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double")), number(text))
-    portal = lambda a, b, c: F.when(sections.isNotNull(), a).when(welt.isNotNull(), b).when(home.isNotNull(), c)
-    price = portal(_fact(number(F.coalesce(labelled("kaltmiete"), labelled("warmmiete"))), "immoscout-expose", "high"), F.when(rented, _fact(plain(tracked("^preis$|kaltmiete|nettokalt")), "immowelt", "high")), _fact(plain(offer), "json-ld", "medium"))
-    size = portal(_fact(number(labelled("wohnfl")), "immoscout-expose", "high"), _fact(plain(F.coalesce(tracked("wohnfl"), hard("livingspace|wohnfl"))), "immowelt", "high"), _fact(plain(_at(home, "$.floorSize.value")), "json-ld", "medium"))
-    rooms = portal(_fact(number(labelled("^zimmer")), "immoscout-expose", "high"), _fact(plain(F.coalesce(tracked("zimmer|room"), hard("room|zimmer"))), "immowelt", "high"), _fact(plain(F.coalesce(_at(home, "$.numberOfRooms.value"), _at(home, "$.numberOfRooms"))), "json-ld", "medium"))
-    where, spot = section("MAP"), "$.sections.location.address"
-    street = _known(_at(welt, f"{spot}.street"), _at(welt, f"{spot}.houseNumber"), by=" ")
-    town = _known(_at(welt, f"{spot}.zipCode"), _at(welt, f"{spot}.city"), by=" ")
-    own = _at(home, "$.address")
+    # the texts that tell a fact, one a fact and kind of page
+    street, town = _known(_at(F.col("_spot"), "$.street"), _at(F.col("_spot"), "$.houseNumber"), by=" "), _known(_at(F.col("_spot"), "$.zipCode"), _at(F.col("_spot"), "$.city"), by=" ")
     told = F.when(own.startswith("{"), _known(_at(own, "$.streetAddress"), _known(_at(own, "$.postalCode"), _at(own, "$.addressLocality"), by=" "), by=", ")).otherwise(F.trim(own))
-    address = portal(_place(_known(where["addressLine1"], where["addressLine2"], by=", "), "immoscout-expose", "high"), _place(_known(street, town, by=", "), "immowelt", "high"), _place(told, "json-ld", "medium"))
-    text = F.coalesce(full_text, F.lit(""))
-    said = lambda fact, pattern: F.coalesce(fact, _fact(_single(text, pattern), "fulltext", "low"))
-    structured = sections.isNotNull() | welt.isNotNull() | home.isNotNull()
+    portal = lambda a, b, c: F.when(F.col("_sections").isNotNull(), a).when(welt.isNotNull(), b).when(home.isNotNull(), c)
+    texts = {
+        "price": portal(F.coalesce(labelled("kaltmiete"), labelled("warmmiete")), F.when(rented, tracked("^preis$|kaltmiete|nettokalt")), offer),
+        "size": portal(labelled("wohnfl"), F.coalesce(tracked("wohnfl"), hard("livingspace|wohnfl")), _at(home, "$.floorSize.value")),
+        "rooms": portal(labelled("^zimmer"), F.coalesce(tracked("zimmer|room"), hard("room|zimmer")), F.coalesce(_at(home, "$.numberOfRooms.value"), _at(home, "$.numberOfRooms"))),
+        "address": portal(_known(F.col("_where")["addressLine1"], F.col("_where")["addressLine2"], by=", "), _known(street, town, by=", "), told),
+    }
+    kind = portal(F.lit("immoscout-expose"), F.lit("immowelt"), F.lit("json-ld"))
+    parsed = parsed.withColumns({f"_{n}": v for n, v in texts.items()} | {"_kind": kind})
+    # a JSON number has a point where German text has a comma
+    plain = lambda text: F.coalesce(F.when(text.rlike(r"^\d+(\.\d+)?$") & (F.col("_kind") != "immoscout-expose"), text.try_cast("double")), tx.extract_number(text))
+    full = F.coalesce("full_text", F.lit(""))
+    sure = F.when(F.col("_kind") == "json-ld", "medium").otherwise("high")
+    numbers = {n: F.when(F.col("_kind").isNotNull(), plain(F.col(f"_{n}"))).otherwise(_single(full, p)) for n, p in (("price", PRICE), ("size", SIZE), ("rooms", ROOMS))}
+    parsed = parsed.withColumns({f"_{n}_n": v for n, v in numbers.items()})
     # a portal that knows its advert but not a fact leaves it open
-    told_by = lambda fact, pattern: F.when(structured, fact).otherwise(said(fact, pattern))
-    return {"price": told_by(price, PRICE), "size": told_by(size, SIZE), "rooms": told_by(rooms, ROOMS), "address": address}
+    source, confidence = F.coalesce("_kind", F.lit("fulltext")).alias("source"), F.when(F.col("_kind").isNull(), "low").otherwise(sure).alias("confidence")
+    out = {n: F.when(F.col(f"_{n}_n") > 0, F.struct(F.col(f"_{n}_n").alias("value"), source, confidence)) for n in numbers}
+    out["address"] = F.when(F.coalesce("_address", F.lit("")) != "", F.struct(F.col("_address").alias("value"), F.col("_kind").alias("source"), sure.alias("confidence")))
+    return parsed.select(*pages.columns, *[out[n].alias(n) for n in FACTS])

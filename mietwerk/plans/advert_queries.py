@@ -186,7 +186,7 @@ def expose_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settings_merged(spark: SparkSession, d: str) -> DataFrame:
-    stored = t.read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("s"), F.col("c_custkey") % 50).alias("name"), F.to_json(F.struct(F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") % 50).alias("value"), F.when(F.col("c_custkey") % 4 != 0, F.lit("x")).alias("other"))).alias("value")).distinct()
+    stored = t.read(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey") % 50).alias("name"), F.to_json(F.struct(F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") % 50).alias("value"), F.when(F.col("c_custkey") % 4 != 0, F.lit("x")).alias("other"))).alias("value")).distinct()
     filed = spark.range(60).select(F.concat(F.lit("s"), "id").alias("name"), F.concat(F.lit("f"), "id").alias("value"))
     return ad.merged_settings(stored, filed)
 
@@ -213,10 +213,9 @@ def _embedded() -> Column:
 def deterministic_detail(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
     text = F.concat(F.lit("Kaltmiete: 1.2"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" € und "), F.col("size").cast("int").cast("string"), F.lit(" m², 2,5 Zimmer"), F.when(k % 8 == 3, ", dazu 7 Zi.").otherwise(""))
-    facts = dt.deterministic_detail(F.col("embedded"), F.col("full_text"))
-    a = t.attributes(spark, d).select("id", "price", "size", _embedded().alias("embedded"), text.alias("full_text"))
+    a = dt.deterministic_detail(t.attributes(spark, d).select("id", _embedded().alias("embedded"), text.alias("full_text")))
     shown = lambda c: F.coalesce(F.concat_ws(" ", F.regexp_replace(c["value"].cast("string"), r"\.0$", ""), c["source"], c["confidence"]), F.lit(""))
-    return a.select("id", *[shown(v).alias(n) for n, v in facts.items()])
+    return a.select("id", *[shown(F.col(n)).alias(n) for n in dt.FACTS])
 
 
 def html_detail(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +367,7 @@ ORACLES = {
       'https://s.example/a/b?order=DateDesc' || case id % 3 when 0 then '&sort_column=0&x=1' when 1 then '&page=7&sort_column=0&y=2' else '&sort_column=0' end as sorted from v_attribute"""),
     "expose_details": _sql("""select id, case when id % 5 <> 0 then p_name || chr(10) || chr(10) else '' end || 'Agent: Unbekannt ' || repeat(chr(10), 3) || 'Fakten' || chr(10) || 'Kaltmiete: ' || trunc(price)::int || ' €' || case when id % 3 = 0 then ' zzgl.' else '' end as text,
       '0:photo:https://i/' || id || case when id % 2 = 0 then ' 1:floorplan:https://i/plan' else '' end as images from v_attribute"""),
-    "settings_merged": """with s as (select distinct 's' || c_custkey % 50 as name, case when c_custkey % 4 = 0 then (c_custkey % 50)::varchar else '{"other":"x"}' end as value from customer where c_custkey % 2 = 0), f as (select 's' || i as name, 'f' || i as value from range(60) r(i))
+    "settings_merged": """with s as (select distinct 's' || c_custkey % 50 as name, case when c_custkey % 4 = 0 then (c_custkey % 50)::varchar else '{"other":"x"}' end as value from customer), f as (select 's' || i as name, 'f' || i as value from range(60) r(i))
       select name, coalesce(s.value, f.value) as value from s full join f using (name)""",
     "jobs_redacted": """select c_custkey, '[{"adapter":"telegram","fields":{"botToken":"(redacted)","chatId":"' || c_custkey || '"}}]' as notify from customer""",
 }

@@ -24,7 +24,7 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 def _providers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    own = t.read(spark, d, "supplier").where("s_suppkey < 60")
+    own = t.read(spark, d, "supplier")
     return own.select(F.concat(F.lit("p"), k % 4).alias("provider"), F.concat(F.lit("m"), F.floor(k / 4)).alias("market"), F.when(k % 5 != 0, F.lit(NOW) - k * 400_000).alias("last_success_at"), F.when(k % 3 == 0, F.lit(NOW) + (k - 20) * 1000).alias("open_until"))
 
 
@@ -53,17 +53,20 @@ def stale_providers(spark: SparkSession, d: str) -> DataFrame:
     return _providers(spark, d).where(F.coalesce("last_success_at", F.lit(0)) < NOW - hl.PROVIDER * 1000).select("provider", "market")
 
 
-def _required(spark: SparkSession) -> DataFrame:
-    return spark.range(40).select(F.concat(F.lit("p"), F.col("id") % 5).alias("provider"), F.concat(F.lit("m"), F.floor(F.col("id") / 5)).alias("market"), (F.col("id") % 3 != 0).alias("needs_proxy"))
+def _required(spark: SparkSession, d: str) -> DataFrame:
+    """Providers that the customers' searches ask for in their markets, and whether any of them needs a proxy."""
+    k = F.col("c_custkey")
+    asked = t.read(spark, d, "customer").select(F.concat(F.lit("p"), k % 6).alias("provider"), F.concat(F.lit("m"), "c_nationkey").alias("market"), (k % 7 == 0).alias("needs"))
+    return asked.groupBy("provider", "market").agg(F.bool_or("needs").alias("needs_proxy"))
 
 
 def known_providers(spark: SparkSession, d: str) -> DataFrame:
-    return hl.known_providers(_providers(spark, d), _required(spark))
+    return hl.known_providers(_providers(spark, d), _required(spark, d))
 
 
 def proxy_gate(spark: SparkSession, d: str) -> DataFrame:
     """Providers that can't run in markets whose proxy is down."""
-    return hl.proxy_missing(_required(spark), F.col("market").isin("m1", "m3")).select("provider", "market")
+    return hl.proxy_missing(_required(spark, d), F.col("market").isin("m1", "m3")).select("provider", "market")
 
 
 def model_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +142,7 @@ def extractions_reused(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("c_custkey")
     asked = t.read(spark, d, "customer").select(c.alias("id"), F.array(F.concat(F.lit("url:"), c % 100), F.concat(F.lit("pid:"), c % 30), F.concat(F.lit("tps:"), c % 9)).alias("claims"))
     owned = spark.range(120).select(F.explode(F.array(F.struct(F.concat(F.lit("url:"), "id").alias("claim"), F.lit("url").alias("kind")), F.struct(F.concat(F.lit("pid:"), "id").alias("claim"), F.lit("pid").alias("kind")), F.struct(F.concat(F.lit("tps:"), "id").alias("claim"), F.lit("tps").alias("kind")))).alias("x"), (F.col("id") * 7 % 50).alias("listing_id")).select("x.*", "listing_id")
-    stored = t.read(spark, d, "orders").where("o_orderkey % 3 = 0").select((k % 50).alias("listing_id"), k.cast("string").alias("llm_json"), k.alias("parsed_at"))
+    stored = t.read(spark, d, "orders").select((k % 50).alias("listing_id"), k.cast("string").alias("llm_json"), k.alias("parsed_at"))
     return rc.reusable_extractions(asked, owned, stored)
 
 
@@ -199,7 +202,7 @@ def listing_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interested_jobs(spark: SparkSession, d: str) -> DataFrame:
-    jobs = _jobs(spark, d).where("job_id < 5").select("job_id", "enabled")
+    jobs = _jobs(spark, d).select("job_id", "enabled")
     return rc.interested_jobs(rc.fold_sources(_observations(spark, d)), jobs).select("listing_id", "job_id")
 
 
@@ -248,8 +251,8 @@ def _sql(text: str) -> str:
     return t.with_views(text)
 
 
-_PROVIDERS = f"p as (select 'p' || s_suppkey % 4 as provider, 'm' || s_suppkey // 4 as market, case when s_suppkey % 5 <> 0 then {NOW} - s_suppkey * 400000 end as last_success_at, case when s_suppkey % 3 = 0 then {NOW} + (s_suppkey - 20) * 1000 end as open_until from supplier where s_suppkey < 60)"
-_REQUIRED = "q as (select 'p' || i % 5 as provider, 'm' || i // 5 as market, i % 3 <> 0 as needs_proxy from range(40) r(i))"
+_PROVIDERS = f"p as (select 'p' || s_suppkey % 4 as provider, 'm' || s_suppkey // 4 as market, case when s_suppkey % 5 <> 0 then {NOW} - s_suppkey * 400000 end as last_success_at, case when s_suppkey % 3 = 0 then {NOW} + (s_suppkey - 20) * 1000 end as open_until from supplier)"
+_REQUIRED = "q as (select 'p' || c_custkey % 6 as provider, 'm' || c_nationkey as market, bool_or(c_custkey % 7 = 0) as needs_proxy from customer group by all)"
 _CALLS = f"""k as (select event_id as id, event_type as operation, case when event_id % 7 = 0 then 'http_error' when event_id % 11 = 0 then 'aborted' else 'success' end as outcome, '{{"x":"[image]","u":' || user_id || '}}' as request, props, {NOW} - event_id % 200 * 60000 as started_at from events)"""
 _OBSERVED = """o as (select user_id % 5 as job_id, 'p' || user_id % 3 as provider, (user_id % 40)::varchar as source_key, case when event_id % 3 = 0 then 'https://x.example/' || event_id end as url, case when event_id % 4 = 0 then event_id % 100 end as listing_id, 'k' || event_id % 6 as k,
     epoch_us(ts) // 1000 as moment, event_id as seq from events),
@@ -290,7 +293,7 @@ ORACLES = {
     "verdicts_folded": """with o as (select user_id % 60 as listing_id, event_id % 3 as job_id, case when event_id % 4 = 0 then 'accepted' else 'rejected' end as verdict, case when event_id % 4 = 0 then '' else event_type end as reason, (event_id % 2)::varchar as config_hash, epoch_us(ts) // 1000 as moment, event_id from events)
       select * exclude (event_id) from o qualify row_number() over (partition by listing_id, job_id order by moment desc, event_id desc) = 1""",
     "extractions_reused": """with w as (select 'url:' || i as claim, i * 7 % 50 as listing_id from range(120) r(i) union all select 'pid:' || i, i * 7 % 50 from range(120) r(i)), a as (select c_custkey as id, unnest(['url:' || c_custkey % 100, 'pid:' || c_custkey % 30]) as claim from customer),
-        m as (select distinct id, listing_id from a join w using (claim)), e as (select o_orderkey % 50 as listing_id, o_orderkey as parsed_at from orders where o_orderkey % 3 = 0)
+        m as (select distinct id, listing_id from a join w using (claim)), e as (select o_orderkey % 50 as listing_id, o_orderkey as parsed_at from orders)
       select id, listing_id, parsed_at::varchar as llm_json from m join e using (listing_id) qualify row_number() over (partition by id order by parsed_at desc, listing_id desc) = 1""",
     "settings_applied": """with b as (select 's' || i as name, 'old' as value, -1 as moment from range(30) r(i) union all select 's' || user_id % 20, case when event_id % 5 <> 0 then event_id::varchar end, event_id from events)
       select name, value from (select * from b qualify row_number() over (partition by name order by moment desc) = 1) where value is not null""",

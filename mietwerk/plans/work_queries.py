@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mietwerk.operators import work as wk
@@ -67,6 +67,25 @@ def work_settled(spark: SparkSession, d: str) -> DataFrame:
     return _shown(after, *[F.coalesce(c, F.lit("")).alias(c) for c in ("outcome", "code", "note")])
 
 
+def work_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The same decisions as events of the keyed machine: each item is put in as it is, then decided on."""
+    from mietwerk.streaming import work_stream as ws
+
+    names = [c.split(" ")[0] for c in ws.EVENT.split(", ")]
+    kinds = dict(c.split(" ") for c in ws.EVENT.split(", "))
+
+    def events(df: DataFrame, **own: Column) -> DataFrame:
+        return df.select(*[own[c].cast(kinds[c]).alias(c) if c in own else (F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+
+    loaded = events(t.items(spark, d), payload=F.to_json("payload"), moment=F.lit(NOW), seq=F.lit(0), event=F.lit("load"))
+    decided = events(_decisions(spark, d), moment=F.lit(NOW), seq=F.lit(1), event=F.col("disposition"))
+    after = ws.replay(loaded.unionByName(decided), ws.Machine(max_attempts=4))
+    last = after.groupBy("kind", "key").agg(F.max_by(F.struct("changed", *ws.FIELDS), "seq").alias("s")).select("kind", "key", "s.*")
+    untouched = F.col("outcome").isNull() & F.col("code").isNull() & F.col("note").isNull()
+    said = [F.when(~untouched, F.coalesce(c, F.lit(""))).otherwise("").alias(c) for c in ("outcome", "code", "note")]
+    return _shown(last.withColumn("payload", F.from_json("payload", "map<string,string>")).select("kind", "key", "payload", "status", "attempts", "lease_until", "next_attempt_at", "deferrals", "created_at", "updated_at", *said), "outcome", "code", "note")
+
+
 def work_audited(spark: SparkSession, d: str) -> DataFrame:
     before = t.items(spark, d)
     return wk.audit_events(before, wk.settle(before, _decisions(spark, d), NOW, 4), NOW).groupBy("kind", "action", F.coalesce("code", F.lit("")).alias("code")).agg(F.count("*").alias("n"))
@@ -102,13 +121,14 @@ def terminal_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Adverts (customers) whose claims belong to refused sources or listings."""
     k, c = F.col("c_custkey"), F.col("o_orderkey")
     asked = t.read(spark, d, "customer").select(
-        k.alias("id"), (k % 5).alias("job_id"), F.concat(F.lit("h"), k % 3).alias("config_hash"), F.array(F.concat(F.lit("url:"), k % 90), F.concat(F.lit("tps:"), k % 7)).alias("claims"),
+        k.alias("id"), (k % 5).alias("job_id"), F.concat(F.lit("h"), k % 3).alias("config_hash"), F.array(F.concat(F.lit("url:"), k), F.concat(F.lit("tps:"), k % 7)).alias("claims"),
         F.when(k % 2 == 0, F.create_map(F.lit("card"), F.concat(F.lit("e"), k % 4))).otherwise(F.create_map().cast("map<string,string>")).alias("evidence"),
     )
-    owned = spark.range(90).select(F.concat(F.lit("url:"), "id").alias("claim"), F.lit("url").alias("kind"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("source_id"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("listing_id"))
+    known = t.read(spark, d, "customer").select(k.alias("id"))
+    owned = known.select(F.concat(F.lit("url:"), "id").alias("claim"), F.lit("url").alias("kind"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("source_id"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("listing_id"))
     evidence = lambda i: (F.concat(F.lit("h"), i % 3).alias("config_hash"), F.when(i % 4 < 2, "card").otherwise("final").alias("evidence_kind"), F.when(i % 4 < 2, F.concat(F.lit("e"), i % 4)).alias("evidence_hash"))
-    rejections = spark.range(0, 90, 2).select(F.col("id").alias("source_id"), F.concat(F.lit("r"), "id").alias("reason"), *evidence(F.col("id")))
-    verdicts = t.read(spark, d, "orders").where("o_orderkey % 2 = 1 and o_orderkey < 90").select(c.alias("listing_id"), (c % 5).alias("job_id"), F.when(c % 3 != 0, "rejected").otherwise("accepted").alias("verdict"), F.concat(F.lit("v"), c).alias("reason"), *evidence(c)).distinct()
+    rejections = known.where("id % 2 = 0").select(F.col("id").alias("source_id"), F.concat(F.lit("r"), "id").alias("reason"), *evidence(F.col("id")))
+    verdicts = t.read(spark, d, "orders").where("o_orderkey % 2 = 1").select(c.alias("listing_id"), (c % 5).alias("job_id"), F.when(c % 3 != 0, "rejected").otherwise("accepted").alias("verdict"), F.concat(F.lit("v"), c).alias("reason"), *evidence(c)).distinct()
     found = wk.terminal_verdicts(asked, owned, rejections, verdicts)
     return found.select("id", "job_id", "decided", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.coalesce("listing_id", F.lit(-1)).alias("listing_id"), F.coalesce("reason", F.lit("")).alias("reason"))
 
@@ -116,7 +136,7 @@ def terminal_verdicts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        work_enqueued, work_fingerprinted, work_ignored, work_claimed, work_claimed_stored, work_claimed_batch, work_settled, work_audited, failure_decisions, work_cancelled, scheduled_work, worker_health, terminal_verdicts,
+        work_enqueued, work_fingerprinted, work_ignored, work_claimed, work_claimed_stored, work_claimed_batch, work_settled, work_replayed, work_audited, failure_decisions, work_cancelled, scheduled_work, worker_health, terminal_verdicts,
     )
 }
 
@@ -165,9 +185,10 @@ ORACLES = {
     "worker_health": """with w as (select 'w' || s_suppkey as name, (s_suppkey % 90 * 1000)::bigint as h, case when s_suppkey % 3 = 0 then (s_suppkey % 50 * 2000)::bigint end as a from supplier),
         r as (select name, h as heartbeat_age, coalesce(a, 0) as active_age, h <= case when a is null then 30000 else 70000 end and coalesce(a, 0) <= 70000 as healthy from w), x as (select 'w' || (i - 2) as name from range(4) r(i))
       select * from r union all select name, -1, -1, false from x where name not in (select name from w)""",
-    "terminal_verdicts": """with a as (select c_custkey as id, c_custkey % 5 as job_id, c_custkey % 3 as h, c_custkey % 90 as k, case when c_custkey % 2 = 0 then 'e' || c_custkey % 4 end as card from customer),
-        v as (select distinct o_orderkey as k from orders where o_orderkey % 2 = 1 and o_orderkey < 90 and o_orderkey % 3 <> 0),
+    "terminal_verdicts": """with a as (select c_custkey as id, c_custkey % 5 as job_id, c_custkey % 3 as h, c_custkey as k, case when c_custkey % 2 = 0 then 'e' || c_custkey % 4 end as card from customer),
+        v as (select distinct o_orderkey as k from orders where o_orderkey % 2 = 1 and o_orderkey % 3 <> 0),
         f as (select a.*, case when k % 2 = 0 then 'r' || k when exists (select 1 from v where v.k = a.k and v.k % 5 = a.job_id) then 'v' || k end as reason from a),
         b as (select *, reason is not null and h = k % 3 and (k % 4 >= 2 or card is null or card = 'e' || k % 4) as decided from f)
       select id, job_id, decided, case when decided and k % 2 = 0 then k else -1 end as source_id, case when decided and k % 2 = 1 then k else -1 end as listing_id, case when decided then reason else '' end as reason from b""",
 }
+ORACLES["work_replayed"] = ORACLES["work_settled"]
