@@ -5,96 +5,158 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mietwerk.llm.dom import BLOCKS, HIDDEN, Node, attribute_tokens, parse
-from mietwerk.llm.page_maker import ARTICLE, PARTS, Page
+from mietwerk.llm.page_maker import Page
 
 #: Made-up pages that the trees learn from, trees, their depth and their step.
 PAGES, TREES, DEPTH, STEP = 900, 60, 4, 0.2
 BINS = 32
-_GOOD = frozenset(t for w in ARTICLE for t in w.replace("__", "-").split("-"))
-_BAD = {k: frozenset(t for w in v for t in w.split("-")) - _GOOD - {"list", "site", "top", "more"} for k, v in PARTS.items()}
+#: Buckets of hashed attribute tokens, folds that their odds are learned across, and the weight of knowing nothing.
+BUCKETS, FOLDS, PRIOR = 4096, 4, 4.0
+#: What leaving a block's choice to its children costs, in nats.
+OPEN = 0.7
 _TAGS = ("p", "div", "li", "article main", "section", "nav", "header", "footer", "aside", "form button input label select option", "h1 h2", "h3 h4 h5 h6", "td th tr table", "ul ol", "body", "blockquote pre figure")
 _TAG = {t: i for i, names in enumerate(_TAGS) for t in names.split()}
+_ASIDE = frozenset("nav header footer aside form button select label menu dialog".split())
+_RUNS = frozenset("p pre h1 h2 h3 h4 h5 h6 li td dd blockquote".split())
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def _hint(node: Node, hints: dict[str, tuple[float, float]]) -> tuple[float, float]:
-    """Whether a node's own attributes speak for and against it."""
-    if not node.attributes:
-        return 0.0, 0.0
-    tokens = attribute_tokens(node)
-    key = " ".join(tokens)
-    if key not in hints:
-        hints[key] = (float(any(t in _GOOD for t in tokens)), float(any(t in bad for t in tokens for bad in _BAD.values()) or "hidden" in tokens))
-    return hints[key]
+def _buckets(node: Node) -> list[int]:
+    return [crc32(t.encode()) % BUCKETS for t in attribute_tokens(node)]
 
 
-def node_features(nodes: list[Node]) -> np.ndarray:
-    """A row of numbers for each node: subtree sizes and densities, attribute words, depth, siblings, ancestors."""
+def _place(at: int, end: np.ndarray) -> np.ndarray:
+    """Each node's place to node `at`: within it, around it, before it, after it; four zeros without one."""
+    i = np.arange(len(end))
+    if at < 0:
+        return np.zeros((len(end), 4), np.float32)
+    return np.stack([(i >= at) & (i < end[at]), (i < at) & (end > at), end <= at, i >= end[at]], 1).astype(np.float32)
+
+
+def node_features(nodes: list[Node], odds: np.ndarray | None = None) -> np.ndarray:
+    """A row of numbers for each node: subtree sizes and densities, attribute tokens, depth, siblings, places.
+
+    Places are those to the node with the most running text of its own (the densest one), to the largest
+    article and main element, and to the first heading. `odds` tells for each bucket of hashed attribute
+    tokens how much it speaks for article text; without it no token says anything.
+    """
     n = len(nodes)
-    chars, links, tags, stops, paras = ([0] * n for _ in range(5))
-    hints: dict[str, tuple[float, float]] = {}
+    chars, links, tags, stops, paras, runs, score, size, titles = ([0] * n for _ in range(9))
+    title: set[str] = set()
+    for node in nodes:
+        if node.tag == "title":
+            title.update(w for part in node.parts if isinstance(part, str) for w in part.lower().split())
+    own = [0] * n
     for i in range(n - 1, -1, -1):
         node = nodes[i]
-        if node.tag in HIDDEN:
+        size[i] += 1
+        p = node.parent
+        if p >= 0:
+            size[p] += size[i]
+        if node.tag in HIDDEN or node.tag == "title":
             continue
         for part in node.parts:
             if isinstance(part, str):
-                size = len(part.strip())
-                chars[i] += size
+                own[i] += len(part.strip())
                 stops[i] += part.count(".") + part.count(",") + part.count("!") + part.count("?")
+        chars[i] += own[i]
+        runs[i] += own[i]
         tags[i] += 1
         if node.tag == "p":
             paras[i] += 1
-        if node.tag == "a":
+        elif node.tag == "a":
             links[i] = chars[i]
-        p = node.parent
+            runs[i] = 0
+        elif title and node.tag in ("h1", "h2"):
+            said = [w for part in node.parts if isinstance(part, str) for w in part.lower().split()]
+            titles[i] = int(bool(said) and sum(w in title for w in said) > 0.6 * len(said))
         if p >= 0:
             for a in (chars, links, tags, stops, paras):
                 a[p] += a[i]
-    total = max(chars[0], 1)
-    rows = np.zeros((n, 22 + len(_TAGS)), np.float32)
-    good, bad, bad_tag = [0.0] * n, [0.0] * n, [0.0] * n
-    index, count = [0] * n, [0] * n
-    for i in range(1, n):
-        p = nodes[i].parent
-        index[i] = count[p]
-        count[p] += 1
-    done = 0
+            if titles[i]:
+                titles[p] = 1
+            if node.tag not in BLOCKS:
+                runs[p] += runs[i]
+            elif node.tag in _RUNS:
+                score[p] += runs[i]
+                if nodes[p].parent >= 0:
+                    score[nodes[p].parent] += runs[i] / 2
+            else:
+                score[i] += runs[i]
+    index, count, twins, before, after = [0] * n, [0] * n, [0] * n, [-1] * n, [-1] * n
+    last: dict[int, int] = {}
+    same: dict[tuple[int, str], int] = {}
+    known: dict[str, tuple[float, float, int]] = {"": (0.0, 0.0, 0)}
+    low, high, under_low, under_high, aside = ([0.0] * n for _ in range(5))
+    said_n = [0] * n
     for i, node in enumerate(nodes):
         p = node.parent
-        g, b = _hint(node, hints)
-        t = float(node.tag in ("nav", "header", "footer", "aside", "form", "button", "select", "label", "menu", "dialog"))
-        good[i] = max(g or float(node.tag in ("article", "main")), good[p] * 0.9 if p >= 0 else 0)
-        bad[i] = max(b, bad[p] if p >= 0 else 0)
-        bad_tag[i] = max(t, bad_tag[p] if p >= 0 else 0)
-        c = chars[i]
-        up = max(chars[p], 1) if p >= 0 else total
-        rows[i, :22] = (
-            c, c / total, c / max(tags[i], 1), links[i] / max(c, 1), stops[i], stops[i] / max(c, 1), paras[i], tags[i],
-            node.depth, index[i], count[p] if p >= 0 else 1, index[i] / max(count[p] - 1, 1) if p >= 0 else 0, c / up,
-            (links[p] / up) if p >= 0 else 0, paras[p] if p >= 0 else 0, g, b, good[i], bad[i], bad_tag[i], t, done / total,
-        )
+        if p >= 0:
+            index[i] = count[p]
+            count[p] += 1
+            before[i] = last.get(p, -1)
+            if before[i] >= 0:
+                after[before[i]] = i
+            last[p] = i
+            same[p, node.tag] = same.get((p, node.tag), 0) + 1
+        if node.attributes:
+            key = repr(node.attributes)
+            if key not in known:
+                values = [0.0 if odds is None else float(odds[b]) for b in _buckets(node)]
+                known[key] = (min(values, default=0.0), max(values, default=0.0), len(values))
+            low[i], high[i], said_n[i] = known[key]
+        t = float(node.tag in _ASIDE)
+        under_low[i] = min(low[i], under_low[p]) if p >= 0 else low[i]
+        under_high[i] = max(high[i], under_high[p]) if p >= 0 else high[i]
+        aside[i] = max(t, aside[p]) if p >= 0 else t
+    for i, node in enumerate(nodes):
+        twins[i] = same.get((node.parent, node.tag), 1)
+    column = lambda a: np.asarray(a, np.float64)
+    chars_, links_, tags_, stops_, own_ = map(column, (chars, links, tags, stops, own))
+    end = np.arange(n) + np.asarray(size)
+    up = np.asarray([max(node.parent, 0) for node in nodes])
+    total = max(chars[0], 1)
+    c = np.maximum(chars_, 1)
+    up_chars = np.maximum(chars_[up], 1)
+    gather = lambda a, at: np.where(np.asarray(at) >= 0, a[np.maximum(at, 0)], 0)
+    dense = int(np.argmax(score)) if max(score) > 0 else -1
+    marks = {t: [i for i, node in enumerate(nodes) if node.tag == t and chars[i]] for t in ("article", "main", "h1")}
+    largest = lambda t: max(marks[t], key=lambda i: chars[i] - links[i], default=-1)
+    numbers = np.stack(
+        [
+            chars_, chars_ / total, chars_ / np.maximum(tags_, 1), links_ / c, stops_, stops_ / c, column(paras), tags_,
+            column([node.depth for node in nodes]), column(index), column(count)[up], index / np.maximum(column(count)[up] - 1, 1), chars_ / up_chars,
+            links_[up] / up_chars, column(paras)[up], column(aside), (np.cumsum(own_) - own_) / total, column(twins),
+            gather(chars_, before), gather(chars_, after), gather(links_ / c, before), gather(links_ / c, after), column(score) / total,
+            column(titles), column(low), column(high), column(under_low), column(under_high), column(said_n),
+        ],
+        1,
+    )
+    which = np.zeros((n, len(_TAGS)), np.float32)
+    for i, node in enumerate(nodes):
         k = _TAG.get(node.tag)
         if k is not None:
-            rows[i, 22 + k] = 1
-        done += sum(len(x.strip()) for x in node.parts if isinstance(x, str)) if node.tag not in HIDDEN else 0
-    return rows
+            which[i, k] = 1
+    places = [_place(dense, end), _place(largest("article"), end), _place(largest("main"), end), _place(marks["h1"][0] if marks["h1"] else -1, end)]
+    return np.concatenate([numbers.astype(np.float32), which, *places], 1)
 
 
 @dataclass
 class Trees:
-    """Complete binary trees: feature and threshold of each inner node, value of each leaf."""
+    """Complete binary trees: feature and threshold of each inner node, value of each leaf; odds of hashed tokens."""
 
     feature: np.ndarray
     threshold: np.ndarray
     value: np.ndarray
     base: float
+    odds: np.ndarray | None = None
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.base)
@@ -108,9 +170,9 @@ class Trees:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Gradient boosting of the log loss on binned features, second-order leaf values."""
+    """Gradient boosting of the log loss on binned features, level by level, second-order leaf values."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], 1)
+    binned = [np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     z = np.full(len(y), base)
     inner = 2**DEPTH - 1
@@ -119,24 +181,29 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
         p = 1 / (1 + np.exp(-z))
         g, h = y - p, p * (1 - p)
         at = np.zeros(len(y), np.int64)
-        for node in range(inner):
-            own = np.flatnonzero(at == node)
-            best = (1e-6, 0, np.float32(np.inf), None)
-            if len(own) > 20:
-                gs, hs = g[own].sum(), h[own].sum()
-                for f in range(x.shape[1]):
-                    if not len(edges[f]):
-                        continue
-                    b = binned[own, f]
-                    gl = np.cumsum(np.bincount(b, g[own], len(edges[f]) + 1))[:-1]
-                    hl = np.cumsum(np.bincount(b, h[own], len(edges[f]) + 1))[:-1]
-                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        best = (gain[k], f, np.float32(edges[f][k]), k)
-            feature[tree, node], threshold[tree, node] = best[1], best[2]
-            if len(own):
-                at[own] = 2 * node + 1 + (binned[own, best[1]] > best[3] if best[3] is not None else 0)
+        for level in range(DEPTH):
+            width, first = 2**level, 2**level - 1
+            node = at - first
+            gain, where, cut = np.full(width, 1e-6), np.zeros(width, np.int64), np.full(width, BINS)
+            enough = np.bincount(node, minlength=width) > 20
+            for f, e in enumerate(edges):
+                if not len(e):
+                    continue
+                key = node * (len(e) + 1) + binned[f]
+                gl, hl = (np.cumsum(np.bincount(key, w, width * (len(e) + 1)).reshape(width, -1), 1) for w in (g, h))
+                gs, hs = gl[:, -1:], hl[:, -1:]
+                gl, hl = gl[:, :-1], hl[:, :-1]
+                gains = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                k = gains.argmax(1)
+                best = gains[np.arange(width), k]
+                better = enough & (best > gain)
+                gain[better], where[better], cut[better] = best[better], f, k[better]
+            for j in range(width):
+                own = np.flatnonzero(node == j)
+                split = cut[j] < BINS
+                feature[tree, first + j] = where[j]
+                threshold[tree, first + j] = edges[where[j]][cut[j]] if split else np.inf
+                at[own] = 2 * (first + j) + 1 + ((binned[where[j]][own] > cut[j]) if split else 0)
         leaf = at - inner
         sums = np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + 1)
         value[tree] = STEP * sums
@@ -160,48 +227,80 @@ def _truth(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     return good, every
 
 
+def token_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of article text for each bucket, from counts of other and article nodes; 0 for unseen ones."""
+    share = counts.sum(0) / max(counts.sum(), 1)
+    return np.log((counts[:, 1] + PRIOR * share[1] + 1e-9) / (counts[:, 0] + PRIOR * share[0] + 1e-9) * (share[0] + 1e-9) / (share[1] + 1e-9))
+
+
 @lru_cache(maxsize=1)
 def train(pages: int = PAGES) -> Trees:
-    """Trees that tell subtrees of article text from others, learned on made-up pages of fixed seeds."""
-    xs, ys = [], []
+    """Trees that tell subtrees of article text from others, learned on made-up pages of fixed seeds.
+
+    Most of those pages name their parts by words made up for the page, or not at all, so the trees have to
+    go by structure; a page's features take the tokens' odds from pages of other folds, so that words seen
+    on one page alone say nothing.
+    """
+    made, counts = [], np.zeros((FOLDS, BUCKETS, 2))
     for seed in range(pages):
         nodes = parse(Page(seed).html)
         good, every = _truth(nodes)
-        keep = every > 0
         share = good / np.maximum(every, 1)
-        keep &= (share > 0.9) | (share < 0.1)  # mixed nodes are settled below
-        xs.append(node_features(nodes)[keep])
-        ys.append(share[keep] > 0.5)
-    return boost(np.concatenate(xs), np.concatenate(ys).astype(float))
+        keep = (every > 0) & ((share > 0.9) | (share < 0.1))  # mixed nodes are settled by the decoder
+        made.append((nodes, keep, share))
+        for i in np.flatnonzero(keep).tolist():
+            for b in _buckets(nodes[i]):
+                counts[seed % FOLDS, b, int(share[i] > 0.5)] += 1
+    odds = [token_odds(counts.sum(0) - counts[k]) for k in range(FOLDS)]
+    xs = [node_features(nodes, odds[k % FOLDS])[keep] for k, (nodes, keep, _) in enumerate(made)]
+    ys = [share[keep] > 0.5 for _, keep, share in made]
+    trees = boost(np.concatenate(xs), np.concatenate(ys).astype(float))
+    trees.odds = token_odds(counts.sum(0))
+    return trees
 
 
 def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
-    """Which nodes' texts are kept, decided from the root down.
+    """Which nodes' texts are kept: the likeliest cut of the tree without contradictions.
 
-    A refused block takes all its descendants with it, so none can be chosen out of it. Only a block that
-    itself looks refused but has a block child of high probability (a wrapper of mixed content) leaves the
-    decision to its children; its own loose text goes. Inline nodes follow their block.
+    A block is open (a wrapper that leaves the choice to its children, its own loose text goes), kept or
+    refused. Below a refused block all is refused, below a kept one blocks are kept or refused, so no kept
+    node has a refused ancestor. Of all such labellings the one with the highest sum of log probabilities is
+    taken, found bottom-up; equal sums refuse. Inline nodes follow their block; hidden ones are refused.
     """
-    kept = np.zeros(len(nodes), bool)
-    settled = np.zeros(len(nodes), np.int8)
-    for i, node in enumerate(nodes):
-        up = node.parent
-        if up >= 0 and settled[up] < 0:
-            settled[i] = -1
+    n = len(nodes)
+    yes, no = np.log(np.clip(p, 1e-6, 1)).tolist(), np.log(np.clip(1 - p, 1e-6, 1)).tolist()
+    text = [False] * n
+    kept, refused, opened = ([0.0] * n for _ in range(3))
+    inline = [node.tag not in BLOCKS and node.parent >= 0 for node in nodes]
+    out = [node.tag in HIDDEN or node.tag == "title" for node in nodes]
+    for i in range(n - 1, -1, -1):
+        node = nodes[i]
+        if out[i]:
             continue
-        if node.tag in HIDDEN or node.tag == "title":
-            settled[i] = -1
-        elif node.tag in BLOCKS and node.tag not in ("html", "body"):
-            if p[i] < 0.5 and not any(isinstance(c, int) and p[c] >= 0.7 and nodes[c].tag in BLOCKS for c in node.parts):
-                settled[i] = -1
-            elif p[i] >= 0.5:
-                settled[i] = 1
-        elif node.tag in BLOCKS or up < 0:
-            settled[i] = 0
-        else:  # inline: as its block
-            settled[i] = settled[up]
-        kept[i] = settled[i] > 0
-    return kept
+        text[i] = text[i] or any(isinstance(c, str) and not c.isspace() for c in node.parts)
+        # only blocks that hold text have a say
+        if text[i] and not inline[i]:
+            kept[i] += yes[i]
+            refused[i] += no[i]
+            opened[i] -= OPEN
+        up = node.parent
+        if up >= 0:
+            text[up] = text[up] or text[i]
+            refused[up] += refused[i]
+            kept[up] += kept[i] if inline[i] else max(kept[i], refused[i])
+            opened[up] += opened[i] if inline[i] else max(opened[i], kept[i], refused[i])
+    chosen = np.zeros(n, np.int8)  # -1 refused, 0 open, 1 kept
+    for i, node in enumerate(nodes):
+        up = chosen[node.parent] if node.parent >= 0 else 0
+        if out[i] or up < 0:
+            chosen[i] = -1
+        elif inline[i]:
+            chosen[i] = up
+        elif refused[i] >= max(kept[i], opened[i] if up == 0 else kept[i]):
+            chosen[i] = -1
+        else:
+            chosen[i] = 1 if up > 0 or kept[i] >= opened[i] else 0
+    return chosen > 0
 
 
 def block_texts(nodes: list[Node], kept: np.ndarray) -> list[str]:
@@ -242,9 +341,8 @@ def block_texts(nodes: list[Node], kept: np.ndarray) -> list[str]:
 def extract_pages(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page from its whole html.
 
-    Blocks are joined by one line feed. A null html counts as empty; a page without main text, or of no
-    markup at all that reads as an article, gives an empty text. Rows repeat as they stand, more columns are
-    ignored, an empty table gives an empty one. The trees have a fixed size and are broadcast.
+    Blocks are joined by one line feed. A null html counts as empty; a page without main text gives an empty text. Rows repeat as they stand, more columns are
+    ignored, an empty table gives an empty one. Text outside all markup is decided as a block's. The trees have a fixed size and are broadcast.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees or train())
 
@@ -253,7 +351,7 @@ def extract_pages(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
             sources = batch.column(2).to_pylist()
             for a in range(0, len(sources), 200):
                 found = [parse(s or "") for s in sources[a : a + 200]]
-                features = [node_features(n) for n in found]
+                features = [node_features(n, shared.value.odds) for n in found]
                 scores = shared.value.predict(np.concatenate(features))
                 ends = np.cumsum([len(n) for n in found])
                 texts = ["\n".join(block_texts(n, decode(n, scores[e - len(n) : e]))) for n, e in zip(found, ends.tolist(), strict=True)]

@@ -98,6 +98,67 @@ def test_no_contradictory_choices():
             raise AssertionError("an inline node was kept without its block")
 
 
+@pytest.mark.parametrize("change", ["renamed", "unnamed", "plain division"])
+def test_extraction_goes_by_structure_too(spark, change):
+    """Pages whose classes say nothing, have gone, or whose article is a mere division."""
+    said = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r["html"]]
+    edit = {
+        "renamed": lambda s: re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="{m[2][::-1]}"', s),
+        "unnamed": lambda s: re.sub(r' (class|id)="[^"]*"', "", s),
+        "plain division": lambda s: re.sub(r"<(/?)article>", r"<\1div>", s),
+    }[change]
+    df = spark.createDataFrame([(i, "u", edit(s)) for i, s in enumerate(said)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    wrong = [i for i, s in enumerate(said) if got[i] != "\n".join(article_blocks(s))]
+    assert len(said) > 200 and len(wrong) <= 0.01 * len(said), wrong[:5]
+
+
+def test_cut_is_the_likeliest_without_contradictions():
+    """Against all labellings of small trees: open above kept above refused, or open above refused."""
+    import itertools
+    import math
+    import random
+
+    from mietwerk.llm.dom import Node
+
+    r = random.Random(5)
+    for _ in range(150):
+        nodes = [Node("#root", -1, 0, {})]
+        for i in range(1, r.randint(2, 8)):
+            up = r.randrange(i)
+            nodes.append(Node("div", up, nodes[up].depth + 1, {}, ["text"]))
+            nodes[up].parts.append(i)
+        p = [r.choice([0.02, 0.2, 0.4, 0.55, 0.7, 0.95]) * r.uniform(0.9, 1) for _ in nodes]
+
+        def value(labels):
+            for i, node in enumerate(nodes):
+                up = labels[node.parent] if i else 0
+                if (up < 0 and labels[i] >= 0) or (up > 0 and labels[i] == 0):
+                    return None
+            return sum(math.log(q) if x > 0 else math.log(1 - q) if x < 0 else -html_extract.OPEN for x, q in zip(labels, p, strict=True))
+
+        values = {x: v for x in itertools.product((-1, 0, 1), repeat=len(nodes)) if (v := value(x)) is not None}
+        import numpy as np
+
+        kept = html_extract.decode(nodes, np.asarray(p))
+        best = max(values, key=values.get)
+        assert [x > 0 for x in best] == kept.tolist()
+
+
+def test_words_are_learned_across_pages():
+    """A token seen on other pages' adverts speaks against a block; one never seen says nothing."""
+    import numpy as np
+
+    counts = np.zeros((4, 2))
+    counts[0], counts[1], counts[3] = (40, 1), (1, 40), (1000, 1000)
+    odds = html_extract.token_odds(counts)
+    assert odds[0] < -1 < 1 < odds[1] and abs(odds[2]) < 1e-6
+    from mietwerk.llm.dom import parse
+
+    nodes = parse('<div class="zzq"><p>One text.</p></div><div class="zzq"><p>Other text.</p></div>')
+    assert np.array_equal(html_extract.node_features(nodes), html_extract.node_features(nodes, np.zeros(html_extract.BUCKETS)))
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     place, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{SMALL}/documents.parquet"), []
