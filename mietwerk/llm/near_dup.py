@@ -226,12 +226,24 @@ def candidate_edges(percent: int, width: int = COORDINATES, matches: int = MATCH
     """
 
     def lists(key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, uf: UnionFind) -> None:
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        # rows that stand alone under their key, and repeats of a row, link nothing
+        alone = np.ones(len(key) + 1, bool)
+        alone[1:-1] = key[1:] != key[:-1]
+        some = np.flatnonzero(~(alone[1:] & alone[:-1]))
+        some = some[np.lexsort((ids[some], key[some]))]
+        key, ids = key[some], ids[some]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        some, key, ids = some[new], key[new], ids[new]
+        sizes, short = sizes[some], short[some]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
         length = np.diff(np.concatenate([start, [len(key)]]))
         long = length > 32
         run = np.repeat(np.arange(len(start)), length)
+        small = np.flatnonzero(~long[run])
+        run_, at = run[small], small
         for d in range(1, 32):
-            i = np.flatnonzero((run[d:] == run[:-d]) & ~long[run[d:]]) if d < len(key) else np.zeros(0, np.int64)
+            i = at[:-d][run_[d:] == run_[:-d]] if d < len(at) else at[:0]
             if not len(i):
                 break
             for a in range(0, len(i), 100_000):
