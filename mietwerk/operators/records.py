@@ -72,9 +72,12 @@ def fold_verdicts(events: DataFrame) -> DataFrame:
 
 def reusable_extractions(asked: DataFrame, owned: DataFrame, extractions: DataFrame) -> DataFrame:
     """The newest stored extraction of a listing that owns one of the advert's identity claims."""
-    met = asked.select("id", F.explode("claims").alias("claim")).join(owned.where(F.col("kind").isin("cap", "src", "pid", "url")), "claim").select("id", "listing_id").distinct()
-    found = met.join(extractions, "listing_id")
-    return found.groupBy("id").agg(F.max_by(F.struct("listing_id", "llm_json"), F.struct("parsed_at", "listing_id")).alias("e")).select("id", "e.*")
+    order = ("parsed_at", "listing_id", "llm_json")
+    newest = extractions.groupBy("listing_id").agg(F.max("parsed_at").alias("parsed_at"), F.max_by("llm_json", F.struct("parsed_at", "llm_json")).alias("llm_json"))
+    # a claim's newest extraction, then an advert's: a listing's extractions never meet the adverts
+    held = owned.where(F.col("kind").isin("cap", "src", "pid", "url")).join(newest, "listing_id").groupBy("claim").agg(F.max(F.struct(*order)).alias("e"))
+    met = asked.select("id", F.explode("claims").alias("claim")).join(held, "claim")
+    return met.groupBy("id").agg(F.max("e").alias("e")).select("id", "e.listing_id", "e.llm_json")
 
 
 def listing_context(listings: DataFrame, sources: DataFrame, images: DataFrame, cache: DataFrame) -> DataFrame:

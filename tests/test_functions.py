@@ -218,3 +218,26 @@ def test_market_ridges_against_numpy(spark):
             if moved < 1e-7:
                 break
         assert np.allclose(fits[market]["beta"], beta, atol=1e-4)
+
+
+def test_housing_note_after_a_denial(spark, tmp_path):
+    """A text without a full stop that ends in a denial, or none at all, leaves the note as it is."""
+    from mietwerk.plans.text_queries import social_housing_flags
+
+    texts = [(5, "und nicht nicht nicht"), (10, None), (6, "Token AKWBSR"), (7, None), (8, "und nicht nicht")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    flags = {r["doc_id"]: (r["certificate"], r["landlord"]) for r in social_housing_flags(spark, f"file://{tmp_path}").collect()}
+    assert flags == {5: (True, False), 10: (True, False), 6: (False, False), 7: (False, True), 8: (False, False)}
+
+
+def test_reused_extractions_of_busy_listings(spark):
+    """100,000 adverts of a listing with 250,000 extractions: all pairs of them, 50 billion, would not end."""
+    from pyspark.sql import functions as F
+
+    from mietwerk.operators import records as rc
+
+    asked = spark.range(100_000).select("id", F.array(F.lit("url:a"), F.lit("tps:b")).alias("claims"))
+    owned = spark.createDataFrame([("url:a", "url", 1), ("url:a", "url", 2), ("tps:b", "tps", 3)], "claim string, kind string, listing_id long")
+    stored = spark.range(1_000_000).select((F.col("id") % 4).alias("listing_id"), F.col("id").cast("string").alias("llm_json"), F.col("id").alias("parsed_at"))
+    found = rc.reusable_extractions(asked, owned, stored)
+    assert found.count() == 100_000 and found.select("listing_id", "llm_json").distinct().collect() == [(2, "999998")]
