@@ -54,7 +54,7 @@ def absorbed_listings(spark: SparkSession, d: str) -> DataFrame:
     from mietwerk.plans.text_queries import _adverts
 
     adverts = _adverts(spark, d)
-    matches = cl.best_match(cl.judged_pairs(adverts, cl.exact_pairs(adverts, cl.claims(adverts))))
+    matches = cl.best_match(cl.judged_pairs(adverts, cl.exact_matches(adverts, cl.claims(adverts))))
     return cl.absorb(adverts, cl.roots(matches)).where("members > 1").select("root", "title", "price", "size", "first_seq", "members")
 
 
