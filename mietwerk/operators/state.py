@@ -97,9 +97,17 @@ def breaker_scores(signals: DataFrame, now: int, half_life: int = HOUR, limit: f
 
 
 def rate_limited(calls: DataFrame, limit: int, span: int = 60_000) -> DataFrame:
-    """Calls in the span that ends with each call, by key, and whether it exceeds the limit."""
-    recent = W.partitionBy("key").orderBy("moment").rangeBetween(-span + 1, 0)
-    return calls.withColumn("in_window", F.count("*").over(recent)).withColumn("limited", F.col("in_window") > limit)
+    """Calls in the span that ends with each call, by key, and whether it exceeds the limit.
+
+    A key's calls are dealt by blocks of time as long as the span; each block also sees the one before. What lies
+    in the span is the difference of two running counts, so a call costs the same however many the span holds.
+    """
+    block = F.floor(F.col("moment") / span)
+    seen = calls.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_later")).where("moment is not null or _later = 0").withColumn("_block", block + F.col("_later"))
+    own = W.partitionBy("key", "_block").orderBy("moment")
+    upto, before = (F.count("*").over(own.rangeBetween(W.unboundedPreceding, end)) for end in (0, -span))
+    n = F.when(F.col("moment").isNull(), upto).otherwise(upto - before)
+    return seen.withColumn("in_window", n).where("_later = 0").drop("_later", "_block").withColumn("limited", F.col("in_window") > limit)
 
 
 def daily_budget(calls: DataFrame, limit: int) -> DataFrame:

@@ -241,3 +241,41 @@ def test_reused_extractions_of_busy_listings(spark):
     stored = spark.range(1_000_000).select((F.col("id") % 4).alias("listing_id"), F.col("id").cast("string").alias("llm_json"), F.col("id").alias("parsed_at"))
     found = rc.reusable_extractions(asked, owned, stored)
     assert found.count() == 100_000 and found.select("listing_id", "llm_json").distinct().collect() == [(2, "999998")]
+
+
+def test_rate_limit_against_a_loop(spark):
+    """Calls at a span's ends, at equal and negative moments and at none."""
+    import random
+
+    from mietwerk.operators import state as st
+
+    r = random.Random(4)
+    calls = [(r.choice("ab"), r.choice([None, r.randrange(-500, 900), r.randrange(-5, 9) * 100]), i) for i in range(300)]
+    got = st.rate_limited(spark.createDataFrame(calls, "key string, moment long, seq long"), 6, 100).collect()
+    near = lambda k, m: sum(1 for a, b, _ in calls if a == k and (b is None if m is None else b is not None and m - 100 < b <= m))
+    assert sorted((x["seq"], x["in_window"], x["limited"]) for x in got) == [(i, near(k, m), near(k, m) > 6) for k, m, i in calls]
+    # a busy key: counting each call's span anew would be 45 billion steps
+    busy = st.rate_limited(spark.range(300_000).selectExpr("'a' as key", "id as moment", "id as seq"), 6, 1_000_000)
+    assert busy.selectExpr("max(in_window) as most").first()["most"] == 300_000
+
+
+def _merge_joins(df):
+    """How many joins of the plan, before it runs, deal both sides by key."""
+    return df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+
+
+def test_groups_are_not_gathered_by_joins(spark):
+    """A group's rows meet its bracket or its quantiles where they are, and equal values are counted before they are ranked."""
+    from mietwerk.functions import stats
+    from mietwerk.operators import models as m
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(5000).selectExpr("if(id % 2 = 0, 'a', 'b') as tier", "id * 7919 % 5003 / 10.0 as r")
+        ranked = m._rank_value(rows, ["tier"], "r", 0.9, "v")
+        found = stats.robust(rows, ["tier"], "r")
+        # the joins left are of the counts below and of both results, a row a group
+        assert _merge_joins(ranked) == 1 and {x["tier"] for x in ranked.collect()} == {"a", "b"}
+        assert _merge_joins(found) == 1 and {x["n"] for x in found.collect()} == {2500}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
