@@ -54,7 +54,7 @@ def _rank_value(df: DataFrame, keys: list[str], column: str, p: float, name: str
     ends = df.groupBy(*keys).agg(F.percentile_approx(column, around, 10_000).alias("_q"), F.min(column).alias("_low"), F.max(column).alias("_high"), F.count(column).alias("_all"))
     few = F.col("_all") <= 2000
     bracket = ends.select(*keys, F.when(few, F.col("_low")).otherwise(F.col("_q")[0]).alias("_low"), F.when(few | (F.ceil(F.col("_all") * (p + 0.0025)) >= F.col("_all")), F.col("_high")).otherwise(F.col("_q")[1]).alias("_high"), F.ceil((F.col("_all") + 1) * F.lit(p)).alias("_rank"))
-    placed = df.join(bracket, keys)
+    placed = df.join(F.broadcast(bracket), keys)  # a row a group; by a shuffle a whole group would meet in one task
     below = placed.groupBy(*keys).agg(F.count_if(F.col(column) < F.col("_low")).alias("_below"))
     inside = placed.where(F.col(column).between(F.col("_low"), F.col("_high"))).groupBy(*keys, "_rank", column).agg(F.count("*").alias("_n"))
     run = F.sum("_n").over(W.partitionBy(*keys).orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow))
