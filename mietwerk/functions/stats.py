@@ -12,11 +12,14 @@ def finite(x: Column) -> Column:
 
 
 def robust(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """n, median, 5 and 95 percent quantiles, interquartile range and median absolute deviation of each group."""
-    x = df.withColumn("_x", finite(F.col(column).cast("double"))).where("_x is not null")
-    q = F.percentile("_x", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    first = x.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"))
-    spread = x.join(first, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("_x") - F.col("q")[2]), 0.5).alias("mad"))
+    """n, median, 5 and 95 percent quantiles, interquartile range and median absolute deviation of each group.
+
+    Equal values are counted first, so that a group's values meet once each, not once a row or task.
+    """
+    x = df.withColumn("_x", finite(F.col(column).cast("double"))).where("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    q = F.percentile("_x", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]), F.col("_n"))
+    first = x.groupBy(*keys).agg(F.sum("_n").alias("n"), q.alias("q"))
+    spread = x.join(F.broadcast(first), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("_x") - F.col("q")[2]), 0.5, F.col("_n")).alias("mad"))
     return first.join(spread, keys).select(*keys, "n", F.col("q")[2].alias("median"), F.col("q")[0].alias("q05"), F.col("q")[4].alias("q95"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), "mad")
 
 
