@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import logging
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type as _arrow_type
 
 from mietwerk.functions import geo, stats
 from mietwerk.functions.text import string_hash
@@ -20,6 +23,8 @@ from mietwerk.session import written
 FOLDS, HUBER, ITERATIONS, TOLERANCE = 5, 1.345, 50, 1e-8
 LAMBDAS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 LEAST_POOLED, LEAST_TIER = 20, 30
+#: Places from which on neighbours are first looked for nearer by, and distances that a task holds at once.
+DENSE, HELD = 5000, 1 << 20
 #: Names of design_columns(), which needs a running session.
 TERMS = ("one", "log_size", "log_size_2", "rooms_missing", "rooms_dev", "small", "large", "provider_a", "provider_n", "active")
 
@@ -353,20 +358,75 @@ def neighbour_counts(points: DataFrame, radii: tuple[int, ...] = (250, 500, 1000
     return points.select("id").join(met, "id", "left").select("id", *[F.coalesce(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in radii])
 
 
+def _cells(rows: DataFrame, side: float, around: int = 0) -> DataFrame:
+    """Rows with cx, cy of their cell; with `around`, a copy for each cell up to so many away."""
+    cx, cy = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
+    if not around:
+        return rows.withColumns({"cx": cx, "cy": cy})
+    reach = range(-around, around + 1)
+    cells = F.explode(F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in reach for j in reach]))
+    return rows.withColumn("_c", cells).select(*rows.columns, "_c.cx", "_c.cy")
+
+
+def _by_cell(asking: DataFrame, near: DataFrame, keys: list[str], side: float, around: int, told, kind: str) -> DataFrame:
+    """`told` of the rows that ask in each cell and of all rows in it and around; only cells in which someone asks get copies."""
+    asks = _cells(asking, side)
+    every = [*keys, "cx", "cy"]
+    near = near.select(*[F.col(c).alias(c) for c in near.columns])  # both may be one table
+    copies = _cells(near, side, around).join(asks.select(*every).distinct(), every, "left_semi")
+    return asks.groupBy(*every).cogroup(copies.groupBy(*every)).applyInArrow(told, kind)
+
+
+def _located(points: DataFrame) -> DataFrame:
+    return points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+
+
 def nearest_kth(points: DataFrame, k: int, least: float = 500.0, most: float = 16_000.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distance to the k-th neighbour (with equal `by`): points that lack k of them look again at twice the radius, up to `most`."""
-    points = written(points)
-    asking, radius, out = points, least, None
-    rank = F.row_number().over(W.partitionBy("id", *by).orderBy("distance", "other"))
+    """Distance to the k-th neighbour (with equal `by`), up to `most`: points that lack k of them look again at twice the radius.
+
+    Points at one place have one answer, so only places look, and meet other places with the number of their
+    points. The first radius shrinks with the root of the number of places, so that a place meets about as many in a
+    large table as in a small one; no pairs leave the task that finds them.
+    """
+    points = _located(points)
+    places = written(points.groupBy(*by, "x", "y").agg(F.count("*").alias("n")), "places")
+    shrunk = max(0, math.ceil(math.log(max(places.count(), 1) / DENSE, 4)))
+    kinds = dict(places.dtypes)
+    schema = pa.schema([*((c, _arrow_type(places.schema[c].dataType)) for c in by), ("x", pa.float64()), ("y", pa.float64()), ("distance", pa.float64())])
+    kind = ", ".join(f"{c} {kinds[c]}" for c in by) + (", " if by else "") + "x double, y double, distance double"
+    radius, out, asking = least / 2**shrunk, None, places
+
+    def looking(radius: float):
+        def told(asks: pa.Table, near: pa.Table) -> pa.Table:
+            x, y, x2, y2, n2 = (t.column(c).to_numpy(zero_copy_only=False) for t, c in ((asks, "x"), (asks, "y"), (near, "x"), (near, "y"), (near, "n")))
+            found = np.full(len(x), np.nan)
+            few = min(k + 1, len(x2))
+            step = max(1, HELD // max(1, len(x2)))
+            for s in range(0, len(x), step):
+                d = np.hypot(x[s : s + step, None] - x2[None], y[s : s + step, None] - y2[None])
+                at = np.argpartition(d, few - 1, axis=1)[:, :few]
+                own = np.take_along_axis(d, at, 1)
+                order = np.argsort(own, axis=1, kind="stable")
+                own, at = np.take_along_axis(own, order, 1), np.take_along_axis(at, order, 1)
+                run = np.cumsum(n2[at] - (own == 0), axis=1)  # a point isn't its own neighbour
+                enough = run >= k
+                distance = np.take_along_axis(own, enough.argmax(1)[:, None], 1)[:, 0]
+                found[s : s + step] = np.where(enough[:, -1] & (distance <= radius), distance, np.nan)
+            held = ~np.isnan(found)
+            return pa.table([*(asks.column(c).combine_chunks().filter(pa.array(held)) for c in by), pa.array(x[held]), pa.array(y[held]), pa.array(found[held])], schema=schema)
+
+        return told
+
     while True:
-        found = written(neighbour_pairs(points, radius, asking=asking, by=by).withColumn("_r", rank).where(F.col("_r") == k).select("id", *by, "distance"))
+        found = written(_by_cell(asking, places, list(by), radius, 1, looking(radius), kind), "found")
         out = found if out is None else out.unionByName(found)
         radius *= 2
         if radius > most:
-            return out
-        asking = written(asking.join(found, ["id", *by], "left_anti"))
+            break
+        asking = written(asking.join(found, [*by, "x", "y"], "left_anti"), "asking")
         if asking.isEmpty():
-            return out
+            break
+    return points.select("id", *by, "x", "y").join(out, [*by, "x", "y"]).select("id", *by, "distance")
 
 
 def bandwidth_clamps(points: DataFrame, k: int = 8) -> DataFrame:
@@ -378,17 +438,55 @@ def bandwidth_clamps(points: DataFrame, k: int = 8) -> DataFrame:
 
 
 def kernel_field(points: DataFrame, low: float, high: float, k: int = 8) -> DataFrame:
-    """Residual at each point from neighbours of other clusters: weighted median, effective sample size, confidence."""
-    met = neighbour_pairs(points, 3 * high, own_cluster=False)
-    own = W.partitionBy("id")
-    ranked = met.withColumn("_r", F.row_number().over(own.orderBy("distance", "other"))).withColumn("_n", F.count("*").over(own))
-    kth = F.max(F.when(F.col("_r") == F.least(F.lit(k), F.col("_n")), F.col("distance"))).over(own)
-    near = ranked.withColumn("h", F.greatest(F.lit(low), F.least(F.lit(high), kth))).where(F.col("distance") <= 3 * F.col("h"))
-    weighted = near.withColumn("w", F.exp(-0.5 * F.pow(F.col("distance") / F.col("h"), F.lit(2))))
-    size = weighted.groupBy("id").agg((F.pow(F.sum("w"), F.lit(2)) / F.sum(F.col("w") * F.col("w"))).alias("n_eff"), F.first("h").alias("h"))
-    middle = stats.weighted_quantile(weighted.select("id", "value", "w"), ["id"], "value", "w", 0.5)
+    """Residual at each point from neighbours of other clusters: weighted median, effective sample size, confidence.
+
+    A point's bandwidth is the distance to its k-th such neighbour, within `low` and `high`; it sees three times as
+    far. Points look three times `low` far first, and again three times `high` if their bandwidth is wider. Every
+    neighbour weighs, so work is quadratic in the points within reach; they are read by cell, in blocks, and no
+    pairs leave the task.
+    """
+    kind = "id long, solved boolean, residual double, n_eff double, h double"
+
+    def looking(radius: float, last: bool):
+        def told(asks: pa.Table, near: pa.Table) -> pa.Table:
+            ids, x, y = (asks.column(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
+            x2, y2, value = (near.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "value"))
+            order = np.argsort(value, kind="stable")  # so that running weights are in order of the values
+            x2, y2, value = x2[order], y2[order], value[order]
+            numbers: dict = {}
+            mine, theirs = (np.array([numbers.setdefault(c, len(numbers)) if c is not None else -1 for c in t.column("cluster").to_pylist()], np.int64) for t in (asks, near))
+            theirs = theirs[order]
+            out = {"solved": np.zeros(len(x), bool), "residual": np.full(len(x), np.nan), "n_eff": np.zeros(len(x)), "h": np.full(len(x), np.nan)}
+            step = max(1, HELD // max(1, len(x2)))
+            for s in range(0, len(x), step):
+                d = np.hypot(x[s : s + step, None] - x2[None], y[s : s + step, None] - y2[None])
+                seen = (d <= radius) & (theirs[None] != mine[s : s + step, None]) & (theirs[None] >= 0) & (mine[s : s + step, None] >= 0)
+                d[~seen] = np.inf
+                number = seen.sum(1)
+                few = min(k, d.shape[1])
+                nearest = np.sort(np.partition(d, few - 1, axis=1)[:, :few], axis=1)
+                kth = np.take_along_axis(nearest, np.maximum(np.minimum(number, few) - 1, 0)[:, None], 1)[:, 0]
+                h = np.clip(kth, low, high)
+                w = np.where(d <= 3 * h[:, None], np.exp(-0.5 * (d / h[:, None]) ** 2), 0.0)
+                run = np.cumsum(w, axis=1)
+                total = run[:, -1]
+                any_ = total > 0
+                at = (run >= 0.5 * total[:, None] - 1e-9).argmax(1)
+                rows = slice(s, s + step)
+                out["solved"][rows] = last | ((number >= k) & (3 * h <= radius))
+                out["residual"][rows] = np.where(any_, value[at], np.nan)
+                out["n_eff"][rows] = np.where(any_, total**2 / np.maximum((w * w).sum(1), 1e-300), 0.0)
+                out["h"][rows] = np.where(any_, h, np.nan)
+            return pa.table({"id": ids, **out}).cast(pa.schema([("id", pa.int64()), ("solved", pa.bool_()), ("residual", pa.float64()), ("n_eff", pa.float64()), ("h", pa.float64())]))
+
+        return told
+
+    known = written(_located(points).select(F.col("id").cast("long").alias("id"), "x", "y", "value", "cluster"), "known")
+    first = written(_by_cell(known.drop("value"), known, [], 1.5 * low, 2, looking(3 * low, high <= low), kind), "field")
+    wider = known.join(first.where("not solved").select("id"), "id", "left_semi")
+    met = first.where("solved").unionByName(_by_cell(wider.drop("value"), known, [], 1.5 * high, 2, looking(3 * high, True), kind))
     confidence = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("n_eff") / 12) * F.sqrt(F.lit(low) / F.col("h"))))
-    found = size.join(middle, "id").select("id", F.col("quantile").alias("residual"), "n_eff", confidence.alias("confidence"))
+    found = met.where("not isnan(h)").select("id", "residual", "n_eff", confidence.alias("confidence"))
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("residual", F.lit(0.0)).alias("residual"), F.coalesce("n_eff", F.lit(0.0)).alias("n_eff"), F.coalesce("confidence", F.lit(0.05)).alias("confidence"))
 
 

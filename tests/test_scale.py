@@ -1,9 +1,12 @@
 """What the work of a query depends on: values told once, places met once, groups that don't meet in one task."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from mietwerk.functions import text as tx
 from mietwerk.operators import claims as cl
+from mietwerk.operators import models
 
 
 def _plan(df):
@@ -26,3 +29,44 @@ def test_url_rules_tell_their_parts_once(spark):
     assert [r["c"] for r in canonical.collect()] == [None, "", "no url", "https://wg-gesucht.de/a.12345.html?asset_id=77", "https://www.immowelt.de/expose/abcd1234", "https://h.de", "https://h.de"]
     assert [r["p"] for r in canonical.collect()] == [None, None, None, "wgGesucht:77", "immowelt:abcd1234", None, None]
     assert _plan(urls.select(tx.canonical_url(F.col("u")).alias("c"))).count("[A-Za-z0-9+.-]") == 1
+
+
+def _points(spark, n):
+    made = np.random.default_rng(5)
+    x, y = made.normal(0, 1500, (2, n)).round(0)
+    x[:20], y[:20] = 7.0, 7.0  # one place of many
+    return pd.DataFrame({"id": range(n), "x": x, "y": y, "value": made.normal(0, 1, n).round(2), "cluster": made.integers(0, 4, n)})
+
+
+def test_nearest_of_one_crowded_place_and_of_the_rest(spark, monkeypatch):
+    crowd = spark.range(30_000).selectExpr("id", "1.0D as x", "2.0D as y", "0.0D as value", "id as cluster")  # 900 million pairs
+    got = models.nearest_kth(crowd, 8)
+    assert got.count() == 30_000 and got.where("distance <> 0").isEmpty()
+    monkeypatch.setattr(models, "DENSE", 50)  # several rounds
+    rows = _points(spark, 400)
+    lost = pd.DataFrame({"id": [900, 901], "x": [None, float("nan")], "y": [1.0, 1.0], "value": [1.0, 1.0], "cluster": [0, 0]})
+    got = {r["id"]: r["distance"] for r in models.nearest_kth(spark.createDataFrame(pd.concat([rows, lost])), 8).collect()}
+    d = np.hypot(rows["x"].to_numpy()[:, None] - rows["x"].to_numpy(), rows["y"].to_numpy()[:, None] - rows["y"].to_numpy())
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, 1)[:, 7]
+    assert set(got) == set(range(400)) and max(abs(got[i] - want[i]) for i in got) < 1e-9
+    assert models.nearest_kth(spark.createDataFrame(rows.head(5)), 8).isEmpty()
+
+
+def test_field_of_a_kernel_against_a_loop(spark):
+    rows = _points(spark, 300)
+    found = models.kernel_field(spark.createDataFrame(rows), 300.0, 700.0)
+    assert "Window" not in _plan(found)  # no task holds a point's pairs
+    got = {r["id"]: (r["residual"], r["n_eff"], r["confidence"]) for r in found.collect()}
+    for p in rows.itertuples():
+        d = np.hypot(rows["x"] - p.x, rows["y"] - p.y)
+        near = rows.assign(d=d)[(rows["cluster"] != p.cluster) & (d <= 2100)].sort_values("d")
+        if near.empty:
+            assert got[p.id] == (0.0, 0.0, 0.05)
+            continue
+        h = min(700.0, max(300.0, near["d"].iloc[min(8, len(near)) - 1]))
+        near = near[near["d"] <= 3 * h].assign(w=lambda f: np.exp(-0.5 * (f["d"] / h) ** 2))
+        by_value = near.groupby("value")["w"].sum().cumsum()
+        size = near["w"].sum() ** 2 / (near["w"] ** 2).sum() if len(near) else 0.0
+        want = (by_value.index[(by_value >= by_value.iloc[-1] / 2 - 1e-9).to_numpy().argmax()], size, max(0.05, min(1.0, size / 12) * (300 / h) ** 0.5)) if len(near) else (0.0, 0.0, 0.05)
+        assert np.allclose(got[p.id], want, atol=1e-9)
