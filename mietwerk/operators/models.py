@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -529,31 +530,41 @@ def greedy_point_dedupe(rows: DataFrame, tolerance: float = 0.02, filled: tuple[
     have to be filtered first.
     """
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, prices, kept = None, [], []
-
-        def close() -> pd.DataFrame:
-            return pd.concat([k for _, k in kept]) if kept else pd.DataFrame()
-
-        for pdf in batches:
-            rich = pdf[list(filled)].notna().sum(axis=1).to_numpy() if filled else np.zeros(len(pdf), int)
-            out = []
-            for i, (point, size, price) in enumerate(zip(pdf["point"], pdf["size"], pdf["price"], strict=True)):
-                if (point, size) != group:
-                    out.append(close())
-                    group, prices, kept = (point, size), [], []
-                at = bisect_left(prices, price)
-                near = [j for j in (at - 1, at) if 0 <= j < len(prices) and abs(price - prices[j]) <= tolerance * max(price, prices[j])]
-                if not near:
-                    prices.insert(at, price)
-                    kept.insert(at, (rich[i], pdf.iloc[i : i + 1]))
-                elif rich[i] > kept[near[0]][0]:
-                    kept[near[0]] = (rich[i], pdf.iloc[i : i + 1])
-            out = [o for o in out if len(o)]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, prices, kept, held = None, [], [], None  # kept: how many columns are known, and the row's number in the table at hand
+
+        for batch in batches:
+            table, ahead = pa.Table.from_batches([batch]), 0
+            if held is not None:  # kept rows of the open group come first
+                table, ahead = pa.concat_tables([held, table]), held.num_rows
+            points, sizes, values = (table.column(c).to_pandas().to_numpy() for c in ("point", "size", "price"))
+            rich = sum((~pc.is_null(table.column(c), nan_is_null=True).to_numpy() for c in filled), np.zeros(table.num_rows, np.int64)) if filled else np.zeros(table.num_rows, np.int64)
+            fresh = np.ones(table.num_rows, bool)
+            fresh[1:] = (points[1:] != points[:-1]) | (sizes[1:] != sizes[:-1])
+            starts = [ahead, *(np.flatnonzero(fresh[ahead + 1 :]) + ahead + 1).tolist(), table.num_rows]
+            out: list[int] = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if (points[a], sizes[a]) != group:
+                    out += [i for _, i in kept]
+                    group, prices, kept = (points[a], sizes[a]), [values[a]], [(rich[a], a)]
+                    a += 1
+                for i in range(a, b):
+                    price = values[i]
+                    at = bisect_left(prices, price)
+                    near = [j for j in (at - 1, at) if 0 <= j < len(prices) and abs(price - prices[j]) <= tolerance * max(price, prices[j])]
+                    if not near:
+                        prices.insert(at, price)
+                        kept.insert(at, (rich[i], i))
+                    elif rich[i] > kept[near[0]][0]:
+                        kept[near[0]] = (rich[i], i)
             if out:
-                yield pd.concat(out)
-        if kept:
-            yield close()
+                yield from table.take(out).to_batches()
+            held = table.take([i for _, i in kept])
+            kept = [(r, n) for n, (r, _) in enumerate(kept)]
+        if held is not None and held.num_rows:
+            yield from held.to_batches()
 
     ordered = rows.repartition("point", "size").sortWithinPartitions("point", "size", "created_at", "id")
-    return ordered.mapInPandas(keep, rows.schema)
+    return ordered.mapInArrow(keep, rows.schema)

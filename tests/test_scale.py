@@ -70,3 +70,28 @@ def test_field_of_a_kernel_against_a_loop(spark):
         size = near["w"].sum() ** 2 / (near["w"] ** 2).sum() if len(near) else 0.0
         want = (by_value.index[(by_value >= by_value.iloc[-1] / 2 - 1e-9).to_numpy().argmax()], size, max(0.05, min(1.0, size / 12) * (300 / h) ** 0.5)) if len(near) else (0.0, 0.0, 0.05)
         assert np.allclose(got[p.id], want, atol=1e-9)
+
+
+def test_rows_of_a_point_are_kept_over_batches(spark):
+    """Against a loop over rows, with groups that reach over many batches, unknown sizes and richer rows."""
+    made = np.random.default_rng(3)
+    n = 3000
+    rows = pd.DataFrame({"id": range(n), "point": made.choice(["a", "b", "c"], n), "size": made.choice([10.0, 20.0, np.nan], n, p=[0.6, 0.39, 0.01]), "price": made.uniform(100, 400, n).round(0), "created_at": made.integers(0, 50, n), "rooms": made.choice([1.0, np.nan], n)})
+    want = []
+    for (point, size), own in rows.sort_values(["created_at", "id"]).groupby(["point", "size"], dropna=False):
+        kept = []
+        for r in own.itertuples():
+            rich = int(r.rooms == r.rooms)
+            near = [] if size != size else [k for k in sorted(kept) if abs(r.price - k[0]) <= 0.02 * max(r.price, k[0])]
+            if not near:
+                kept.append([r.price, rich, r.id])
+            elif rich > near[0][1]:
+                near[0][1:] = [rich, r.id]
+        want += [k[2] for k in kept]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        held = models.greedy_point_dedupe(spark.createDataFrame(rows).withColumns({"size": F.nanvl("size", F.lit(None)), "rooms": F.nanvl("rooms", F.lit(None))}), filled=("rooms",))
+        assert "MapInArrow" in held._jdf.queryExecution().executedPlan().toString()  # rows aren't cut out of frames one by one
+        assert sorted(r["id"] for r in held.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
