@@ -225,7 +225,9 @@ def html_detail(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<html><head><title>t</title></head><body><nav>menu</nav><main><h1>"), "p_name", F.lit("</h1><p>Nr.  "), n, F.lit(" &amp; more</p>"), F.when(k % 3 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 300), F.lit("</p>"))).otherwise(""), F.lit("<script>var x = '<p>no</p>'</script></main><img src='https://i/"), n, F.lit(".jpg' srcset='a 1x, https://i/z.jpg 2x'><img data-src='https://i/z.jpg'>"),
         F.lit('<script type="application/ld+json">{"@type": "House", "n": '), n, F.lit("}</script>"), F.when(k % 2 == 0, F.concat(F.lit("<script id='state'>window.s = JSON.parse('{\"a\":\"it\\'s "), n, F.lit("\"}');</script>"))).otherwise("<script id='state'>nothing</script>"), F.lit("</body></html>"),
     )
-    found = scan_details(t.attributes(spark, d).select(k.alias("page_id"), body.alias("html")), scripts=("#state",))
+    # a part is a few bytes in its file and a page to parse here, so a file's split holds far more than a task's work
+    dealt = t.attributes(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "id")
+    found = scan_details(dealt.select(k.alias("page_id"), body.alias("html")), scripts=("#state",))
     return found.select("page_id", "full_text", F.array_join(F.transform("embedded", lambda e: F.concat_ws(" ", e["kind"], e["value"])), ";").alias("embedded"), F.array_join(F.transform("images", lambda i: i["url"]), " ").alias("images"))
 
 

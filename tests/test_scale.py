@@ -95,3 +95,11 @@ def test_rows_of_a_point_are_kept_over_batches(spark):
         assert sorted(r["id"] for r in held.collect()) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pages_are_parsed_in_many_tasks(spark):
+    """A small file of parts is one split, and its pages far more work than one task should have."""
+    from mietwerk.plans.advert_queries import html_detail
+    from tests.conftest import SMALL
+
+    assert html_detail(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
