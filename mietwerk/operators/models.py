@@ -8,17 +8,19 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.pandas.types import to_arrow_type as _arrow_type
+from pyspark.sql.types import StructType
 
 from mietwerk.functions import geo, stats
 from mietwerk.functions.text import string_hash
-from mietwerk.session import written
+from mietwerk.operators.blocks import doubles, medians, numbers, over, packed
+from mietwerk.session import counted, written
 
 #: Fixed values of the models.
 FOLDS, HUBER, ITERATIONS, TOLERANCE = 5, 1.345, 50, 1e-8
@@ -171,41 +173,20 @@ def solve_ridge(gram: np.ndarray, right: np.ndarray, lam: float) -> np.ndarray:
 
 
 def huber_ridge(design: DataFrame, terms: list[str], target: str, lam: float, rounds: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, means and deviations of a robust ridge regression over all rows.
+    """Coefficients, means and deviations of a robust ridge regression over all rows, as one market of `huber_by_market`.
 
-    Each round is one distributed pass: Spark sums the weighted normal equations (terms squared numbers) and
-    a percentile of residuals; only these reach the driver, whatever the number of rows. It ends when no coefficient moves by TOLERANCE, or
-    with a warning after `rounds`.
+    Only the coefficients and moments reach the driver, whatever the number of rows. It ends when no coefficient
+    moves by TOLERANCE, or with a warning after `rounds`.
     """
-    design = written(design.select(*terms, target))
-    first = design.agg(*[F.avg(t) for t in terms], *[F.stddev_samp(t) for t in terms], F.percentile_approx(target, 0.5, 100_000)).first()
-    k = len(terms)
-    mean, std = np.array(first[:k], float), np.array([s if s and s > 1e-12 else 1.0 for s in first[k : 2 * k]])
+    k, spark = len(terms), design.sparkSession
+    first = design.agg(*[F.avg(t) for t in terms], *[F.stddev_samp(t) for t in terms]).first()
+    mean, std = np.array(first[:k], float), np.array([s if s and s > 1e-12 else 1.0 for s in first[k:]])
     mean[0], std[0] = 0.0, 1.0
-    beta = np.zeros(k)
-    beta[0] = first[2 * k]
-    scaled = design.select(*[((F.col(t) - float(m)) / float(s)).alias(t) for t, m, s in zip(terms, mean, std, strict=True)], target)
-    for _ in range(rounds):
-        fit = sum((F.col(t) * float(b) for t, b in zip(terms[1:], beta[1:], strict=True)), F.col(terms[0]) * float(beta[0]))
-        r = F.col(target) - fit
-        spread = max(1.4826 * scaled.agg(F.percentile_approx(F.abs(r), 0.5, 100_000)).first()[0], 1e-3)
-        weight = F.least(F.lit(1.0), F.lit(HUBER * spread) / F.greatest(F.abs(r), F.lit(1e-9)))
-        found = normal_equations(scaled.withColumn("_w", weight), [], terms, target, F.col("_w")).collect()  # terms squared rows
-        at = {t: i for i, t in enumerate(terms)}
-        gram, right = np.zeros((k, k)), np.zeros(k)
-        for row in found:
-            if row["j"] == "y":
-                right[at[row["i"]]] = row["value"]
-            else:
-                gram[at[row["i"]], at[row["j"]]] = gram[at[row["j"]], at[row["i"]]] = row["value"]
-        new = solve_ridge(gram, right, lam)
-        moved = np.abs(new - beta).max()
-        beta = new
-        if moved < TOLERANCE:
-            break
-    else:
-        logging.getLogger(__name__).warning("coefficients still moved by %g after %d rounds", moved, rounds)
-    return beta, mean, std
+    scaled = design.select(F.lit("").alias("market"), F.lit(0).alias("fold"), *[((F.col(t) - float(m)) / float(s)).alias(t) for t, m, s in zip(terms, mean, std, strict=True)], target)
+    found = huber_by_market(scaled, terms, target, spark.createDataFrame([("", float(lam))], "market string, lambda double"), rounds).first()
+    if found["moved"] >= TOLERANCE:
+        logging.getLogger(__name__).warning("coefficients still moved by %g after %d rounds", found["moved"], found["rounds"])
+    return np.array(found["beta"]), mean, std
 
 
 def ridge_cv(design: DataFrame, terms: list[str], target: str, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
@@ -238,74 +219,95 @@ def ridge_cv(design: DataFrame, terms: list[str], target: str, lambdas: tuple[fl
     return scored.select("n", pairs.alias("p")).select("p.*", "n")
 
 
-def _market_fits(sums: DataFrame, keys: list[str], terms: list[str], lambdas: tuple[float, ...] = ()) -> DataFrame:
-    """Coefficients of each group's normal equations (terms squared rows a group) under each penalty, or under its own (column lambda)."""
-    at = {t: i for i, t in enumerate([*terms, "y"])}
-    k = len(terms)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((k, k + 1))
-        for i, j, v in zip(pdf["i"].map(at), pdf["j"].map(at), pdf["value"], strict=True):
-            m[i, j] = v
-            if j < k:
-                m[j, i] = v
-        head = {c: pdf[c].iloc[0] for c in keys}
-        return pd.DataFrame([{**head, "lambda": lam, "beta": solve_ridge(m[:, :k], m[:, k], lam).tolist()} for lam in lambdas or (float(pdf["lambda"].iloc[0]),)])
-
-    kinds = dict(sums.dtypes)
-    return sums.groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", lambda double, beta array<double>")
-
-
-def _fitted(terms: list[str]) -> Column:
-    return sum((F.col(t) * F.get("beta", F.lit(i)) for i, t in enumerate(terms[1:], 1)), F.col(terms[0]) * F.get("beta", F.lit(0)))
-
-
 def standardised(design: DataFrame, terms: list[str]) -> DataFrame:
     """The design (market, terms and more) with each term but the first in deviations from its market's mean."""
     own = design.groupBy("market").agg(*[F.avg(t).alias(f"_m{i}") for i, t in enumerate(terms)], *[F.stddev_samp(t).alias(f"_s{i}") for i, t in enumerate(terms)])
     scaled = {t: (F.col(t) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 1e-12, F.col(f"_s{i}")).otherwise(1.0) for i, t in enumerate(terms) if i}
-    return design.join(own, "market").withColumns(scaled).select(*design.columns)
+    return design.join(F.broadcast(own), "market").withColumns(scaled).select(*design.columns)  # a row a market
 
 
 def choose_penalties(design: DataFrame, terms: list[str], target: str, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
     """market, lambda, mdape: of each market the penalty whose predictions of folds left out err least; of equal ones the larger.
 
-    `design` has market, fold and standardised terms. The search fits by least squares from sums of the normal
-    equations of each market and fold, one pass; a fold's coefficients come from the other folds' sums. Medians are
-    approximate to one in 100,000. Needs at least two folds with rows in a market.
+    `design` has market, fold and standardised terms, or is `packed` from them. The search fits by least squares from
+    sums of the normal equations of each market and fold, one pass; a fold's coefficients come from the other folds'
+    sums. Medians (the lower of two) are exact, of all penalties together. Needs at least two folds with rows in a market.
     """
-    sums = written(normal_equations(design, ["market", "fold"], terms, target, F.lit(1.0)), "sums")
-    total = sums.groupBy("market", "i", "j").agg(F.sum("value").alias("total"))
-    others = sums.join(total, ["market", "i", "j"]).select("market", "fold", "i", "j", (F.col("total") - F.col("value")).alias("value"))
-    fits = written(_market_fits(others, ["market", "fold"], terms, lambdas), "fits")
-    scored = design.join(fits, ["market", "fold"]).withColumn("_e", F.abs(F.exp(_fitted(terms) - F.col(target)) - 1))
-    errors = scored.groupBy("market", "lambda").agg(F.percentile_approx("_e", 0.5, 100_000).alias("mdape"))
-    best = errors.groupBy("market").agg(F.min_by(F.struct("lambda", "mdape"), F.struct(F.round("mdape", 9), -F.col("lambda"))).alias("b"))
+    blocks, k = packed(design, terms, target), len(terms)
+
+    def add(each: Iterator[tuple]) -> Iterator[dict]:
+        sums: dict[tuple, np.ndarray] = {}
+        for market, fold, y, x, _ in each:
+            sums[market, fold] = sums.get((market, fold), 0) + np.hstack([x @ x.T, (x @ y)[:, None]])
+        for (market, fold), own in sums.items():
+            yield {"market": market, "fold": fold, "sums": doubles(own)}
+
+    kind = "market string, g int, lambda double, low double, high double, betas array<struct<fold:int,beta:binary>>"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def solve(key: tuple, sums: pa.Table) -> pa.Table:
+        per: dict[int, np.ndarray] = {}
+        for fold, own in zip(sums.column("fold").to_pylist(), sums.column("sums").to_pylist(), strict=True):
+            per[fold] = per.get(fold, 0) + numbers(own).reshape(k, k + 1)
+        total, rows = sum(per.values()), []
+        for g, lam in enumerate(lambdas):
+            betas = [{"fold": f, "beta": doubles(solve_ridge((total - own)[:, :k], (total - own)[:, k], lam))} for f, own in per.items()]
+            rows.append({"market": key[0].as_py(), "g": g, "lambda": float(lam), "low": 0.0, "high": 1.0, "betas": betas})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    def error(fold: int, y: np.ndarray, x: np.ndarray, fit: dict) -> np.ndarray:
+        return np.abs(np.exp(numbers(next(b["beta"] for b in fit["betas"] if b["fold"] == fold)) @ x - y) - 1)
+
+    sums = over(blocks, blocks.select("market", F.lit(0).alias("g")).distinct(), add, "market string, fold int, sums binary")
+    errors = medians(blocks, written(sums.groupBy("market").applyInArrow(solve, kind), "fits"), error)
+    best = errors.groupBy("market").agg(F.min_by(F.struct("lambda", F.col("middle").alias("mdape")), F.struct(F.round("middle", 9), -F.col("lambda"))).alias("b"))
     return best.select("market", "b.lambda", "b.mdape")
 
 
 def huber_by_market(design: DataFrame, terms: list[str], target: str, penalties: DataFrame, rounds: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """market, lambda, beta, moved, rounds: a robust ridge regression of each market under its penalty (market, lambda).
 
-    All markets take a round together: one pass for the spread of residuals, one for the weighted normal equations,
-    whose sums (terms squared a market) are solved group by group. It ends when no market's coefficients move by
+    `design` is as in `choose_penalties`. All markets take a round together: a pass or two for the median absolute
+    residual, looked for around the last one, and a pass for the weighted normal equations. What meets for a market
+    are bins and squared terms, a row a task, however many rows it has. It ends when no market's coefficients move by
     `tolerance`, or after `rounds`; `moved` tells how far they still did.
     """
-    middle = design.groupBy("market").agg(F.percentile_approx(target, 0.5, 100_000).alias("_y"))
-    zeros = [F.lit(0.0)] * (len(terms) - 1)
-    now = written(penalties.select("market", "lambda").join(middle, "market").select("market", "lambda", F.array("_y", *zeros).alias("beta")), "beta")
-    for k in range(1, rounds + 1):
-        residual = design.join(now, "market").withColumn("_r", F.col(target) - _fitted(terms))
-        spread = residual.groupBy("market").agg(F.greatest(F.lit(1e-3), 1.4826 * F.percentile_approx(F.abs("_r"), 0.5, 100_000)).alias("_s"))
-        weight = F.least(F.lit(1.0), HUBER * F.col("_s") / F.greatest(F.abs("_r"), F.lit(1e-9)))
-        weighted = residual.join(spread, "market").withColumn("_w", weight)
-        sums = normal_equations(weighted, ["market", "lambda"], terms, target, F.col("_w"))
-        fits = _market_fits(sums, ["market"], terms)
-        step = F.array_max(F.zip_with("beta", "_old", lambda a, b: F.abs(a - b)))
-        now = written(fits.join(now.select("market", F.col("beta").alias("_old")), "market").select("market", "lambda", "beta", step.alias("moved")), "beta")
-        if now.where(F.col("moved") >= tolerance).isEmpty():
+    blocks, k = packed(design, terms, target), len(terms)
+    first = medians(blocks, written(penalties.select("market", F.lit(0).alias("g"), "lambda", F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")), "first"), lambda fold, y, x, fit: y)
+    kind = "market string, g int, lambda double, low double, high double, beta array<double>, spread double, moved double"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+    none = F.lit(None).cast("double")
+    start = F.array(F.col("middle"), *[F.lit(0.0)] * (k - 1))
+    now = written(first.select("market", "g", "lambda", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), start.alias("beta"), none.alias("spread"), none.alias("moved")), "beta")
+
+    def residual(fold: int, y: np.ndarray, x: np.ndarray, fit: dict) -> np.ndarray:
+        return np.abs(y - np.array(fit["beta"]) @ x)
+
+    def add(each: Iterator[tuple]) -> Iterator[dict]:
+        sums: dict[str, np.ndarray] = {}
+        for market, fold, y, x, (fit,) in each:
+            w = np.minimum(1.0, HUBER * max(1e-3, 1.4826 * fit["middle"]) / np.maximum(residual(fold, y, x, fit), 1e-9))
+            xw = x * w
+            sums[market] = sums.get(market, 0) + np.hstack([xw @ x.T, (xw @ y)[:, None]])
+        for market, own in sums.items():
+            yield {"market": market, "sums": doubles(own)}
+
+    def solve(key: tuple, sums: pa.Table, state: pa.Table) -> pa.Table:
+        fit = state.to_pylist()[0]
+        total = sum(numbers(s) for s in sums.column("sums").to_pylist()).reshape(k, k + 1)
+        beta, middle, last = solve_ridge(total[:, :k], total[:, k], fit["lambda"]), fit.pop("middle"), fit["spread"]
+        # four times as far as the median moved; a half of it before that is known
+        reach = min(0.5, max(4 * abs(middle - last) / middle, 1e-9)) if last is not None and middle > 0 else 0.5
+        fit |= {"beta": beta.tolist(), "moved": float(np.abs(beta - np.array(fit["beta"])).max()), "spread": middle, "low": middle * (1 - reach), "high": middle * (1 + reach)}
+        return pa.Table.from_pylist([fit], schema=schema)
+
+    for n in range(1, rounds + 1):
+        spread = medians(blocks, now, residual)
+        sums = over(blocks, spread, add, "market string, sums binary")
+        now, (left,) = counted(sums.groupBy("market").cogroup(spread.groupBy("market")).applyInArrow(solve, kind), f"moved >= {tolerance!r}", name="beta")
+        if not left:
             break
-    return now.select("market", "lambda", "beta", "moved", F.lit(k).alias("rounds"))
+    return now.select("market", "lambda", "beta", "moved", F.lit(n).alias("rounds"))
 
 
 def live_scores(rows: DataFrame, calibration: DataFrame, level: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:

@@ -142,10 +142,10 @@ def quantile_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _market_design(spark: SparkSession, d: str) -> DataFrame:
-    """Standardised design of every market, whole suppliers in one fold."""
+    """Standardised design of every market in blocks, whole suppliers in one fold."""
     rows = m.corpus_rows(t.listings(spark, d)).withColumn("fold", (m.string_hash(F.col("address")) % m.FOLDS).cast("int"))
-    design = rows.select("id", "market", "fold", "log_price", *[c.cast("double").alias(n) for n, c in m.design_columns().items()])
-    return m.written(m.standardised(design, list(m.TERMS)), "design")
+    design = m.written(rows.select("market", "fold", "log_price", *[c.cast("double").alias(n) for n, c in m.design_columns().items()]), "design")
+    return m.packed(m.standardised(design, list(m.TERMS)), list(m.TERMS), "log_price")
 
 
 def market_penalties(spark: SparkSession, d: str) -> DataFrame:

@@ -103,3 +103,24 @@ def test_pages_are_parsed_in_many_tasks(spark):
     from tests.conftest import SMALL
 
     assert html_detail(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_medians_over_blocks_are_exact(spark):
+    """Close values, equal ones, few and infinite ones, looked for in the wrong place first; no sketch of a market's rows meets in a task."""
+    from mietwerk.operators import blocks
+
+    made, n = np.random.default_rng(2), 40_000
+    rows = pd.DataFrame({"market": made.choice(["near", "far", "equal"], n, p=[0.6, 0.3, 0.1]), "fold": made.integers(0, 3, n), "one": 1.0})
+    rows["y"] = np.select([rows["market"] == "near", rows["market"] == "far"], [1 + made.normal(0, 1e-7, n), np.exp(made.normal(0, 9, n))], made.choice([3.0, 4.0], n, p=[0.7, 0.3]))
+    rows = pd.concat([rows, pd.DataFrame({"market": ["two", "two", "lost", "lost", "lost"], "fold": 0, "one": 1.0, "y": [5.0, -7.0, 1.0, np.inf, np.inf]})])
+    held = blocks.packed(spark.createDataFrame(rows).repartition(5), ["one"], "y")
+    assert held.agg(F.sum("n")).first()[0] == len(rows) and blocks.packed(held, ["one"], "y") is held
+    asked = spark.createDataFrame([(m, 0, 0.0, 0.5) for m in ("near", "far", "equal", "two", "lost")], "market string, g int, low double, high double")
+    got = {r["market"]: r["middle"] for r in blocks.medians(held, asked, lambda fold, y, x, fit: y * x[0]).collect()}
+    assert got == {m: np.sort(own["y"].to_numpy())[(len(own) - 1) // 2] for m, own in rows.groupby("market")}
+
+
+def test_ridge_search_makes_no_sketches(spark):
+    rows = spark.range(500).selectExpr("if(id % 2 = 0, 'a', 'b') as market", "cast(id % 5 as int) as fold", "1.0D as one", "id * 7919 % 503 / 100.0D as p", "id * 31 % 97 / 50.0D as y")
+    best = models.choose_penalties(models.standardised(rows, ["one", "p"]), ["one", "p"], "y", (1.0, 10.0))
+    assert "percentile" not in _plan(best) and {r["market"] for r in best.collect()} == {"a", "b"}
