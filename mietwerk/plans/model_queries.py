@@ -113,7 +113,7 @@ def normal_equations(spark: SparkSession, d: str) -> DataFrame:
 
 def ridge_residuals(spark: SparkSession, d: str) -> DataFrame:
     """Error of a robust ridge fit over all rows, by market."""
-    design = _design(spark, d)
+    design = m.written(_design(spark, d).drop("id"), "design")
     beta, mean, std = m.huber_ridge(design, list(m.TERMS), "log_price", 3.0)
     scored = m.predict_ridge(design, list(m.TERMS), beta, mean, std)
     found = stats.error_stats(scored.withColumns({"a": F.exp("log_price"), "p": F.exp("predicted")}), ["market"], "a", "p")

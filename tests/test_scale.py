@@ -124,3 +124,20 @@ def test_ridge_search_makes_no_sketches(spark):
     rows = spark.range(500).selectExpr("if(id % 2 = 0, 'a', 'b') as market", "cast(id % 5 as int) as fold", "1.0D as one", "id * 7919 % 503 / 100.0D as p", "id * 31 % 97 / 50.0D as y")
     best = models.choose_penalties(models.standardised(rows, ["one", "p"]), ["one", "p"], "y", (1.0, 10.0))
     assert "percentile" not in _plan(best) and {r["market"] for r in best.collect()} == {"a", "b"}
+
+
+def test_medians_of_groups_are_not_gathered(spark):
+    """Exact where ranks lie between values, for null keys, groups of one, of nothing known and of one value."""
+    from mietwerk.functions import stats
+
+    made, n = np.random.default_rng(6), 30_001
+    rows = pd.DataFrame({"a": made.choice(["x", "y", None], n), "b": made.integers(0, 2, n), "v": made.normal(0, 1, n)})
+    rows = pd.concat([rows, pd.DataFrame({"a": ["one", "few", "few", "none", *["same"] * 3000], "b": 0, "v": [2.5, 1.0, 4.0, None, *[7.0] * 3000]})], ignore_index=True)
+    given = spark.createDataFrame([(r.a, int(r.b), None if r.v != r.v else float(r.v)) for r in rows.itertuples()], "a string, b int, v double").repartition(7)
+    got = {(r["a"], r["b"]): r["median"] for r in stats.medians(given, ["a", "b"], "v").collect()}
+    want = {(None if a != a else a, b): own["v"].median() for (a, b), own in rows.groupby(["a", "b"], dropna=False)}
+    assert set(got) == set(want) and got.pop(("none", 0)) is None and want.pop(("none", 0))
+    assert got == want
+    told = stats.error_stats(given.selectExpr("a", "1.0D as actual", "1 + v as predicted"), ["a"], "actual", "predicted")
+    assert "median(" not in _plan(told) and "percentile(" not in _plan(told)
+    assert {r["a"]: (round(r["mdape"], 6), r["n"]) for r in told.where("a in ('one', 'few', 'same')").collect()} == {"one": (250.0, 1), "few": (250.0, 2), "same": (700.0, 3000)}
