@@ -79,8 +79,7 @@ def work_replayed(spark: SparkSession, d: str) -> DataFrame:
 
     loaded = events(t.items(spark, d), payload=F.to_json("payload"), moment=F.lit(NOW), seq=F.lit(0), event=F.lit("load"))
     decided = events(_decisions(spark, d), moment=F.lit(NOW), seq=F.lit(1), event=F.col("disposition"))
-    after = ws.replay(loaded.unionByName(decided), ws.Machine(max_attempts=4))
-    last = after.groupBy("kind", "key").agg(F.max_by(F.struct("changed", *ws.FIELDS), "seq").alias("s")).select("kind", "key", "s.*")
+    last = ws.replay(loaded.unionByName(decided), ws.Machine(max_attempts=4), last=True)
     untouched = F.col("outcome").isNull() & F.col("code").isNull() & F.col("note").isNull()
     said = [F.when(~untouched, F.coalesce(c, F.lit(""))).otherwise("").alias(c) for c in ("outcome", "code", "note")]
     return _shown(last.withColumn("payload", F.from_json("payload", "map<string,string>")).select("kind", "key", "payload", "status", "attempts", "lease_until", "next_attempt_at", "deferrals", "created_at", "updated_at", *said), "outcome", "code", "note")

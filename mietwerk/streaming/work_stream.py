@@ -22,6 +22,8 @@ FIELDS = tuple(f.split(" ")[0] for f in ITEM.split(", "))
 CHANGE = f"kind string, key long, moment long, seq long, event string, changed boolean, {ITEM}"
 #: How long an item that nothing happens to is remembered: 90 days.
 TTL = 90 * 86_400_000
+#: Events that a task of `replay` sorts, about.
+DEALT = 1 << 16
 ENDINGS = {"settle": ("done", "completed"), "cancel": ("cancelled", "cancelled"), "abandon": ("dead", "abandoned")}
 
 
@@ -186,26 +188,36 @@ def work_stream(events: DataFrame, machine: Machine | None = None, ttl: int = TT
     return events.groupBy("kind", "key").transformWithStateInPandas(WorkProcessor(machine or Machine(), ttl), CHANGE, "Append", "ProcessingTime")
 
 
-def replay(events: DataFrame, machine: Machine | None = None) -> DataFrame:
+def replay(events: DataFrame, machine: Machine | None = None, last: bool = False) -> DataFrame:
     """Every change of every item of a table of events, by the same steps: what `work_stream` gives for them, but for rows `due`.
 
-    Keys are dealt and sorted; a task holds one item at a time, however many events a key has. A null kind or key is one of its own.
+    With `last` only what an item's last event left, a row an item. Keys are dealt and sorted over as many tasks as
+    the events, counted first, need at `DEALT` each: fewer, as Spark would make of rows that pack well, would sort far
+    more at once. A task holds one item at a time, however many events a key has. A null kind or key is one of its own.
     """
     machine = machine or Machine()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, item = None, None
+        at, item, left = None, None, None
         for pdf in batches:
             out = []
             for e in pdf.to_dict("records"):
                 own = (_text(e["kind"]), _number(e["key"]))
                 if own != at:
-                    at, item = own, None
+                    if left is not None:
+                        out.append(left)
+                    at, item, left = own, None, None
                 item, changed = machine.step(item, e)
                 if item is not None:
-                    out.append(_change(*own, e, item, changed))
+                    left = _change(*own, e, item, changed)
+                    if not last:
+                        out.append(left)
+                        left = None
             if out:
                 yield _frame(out)
+        if left is not None:
+            yield _frame([left])
 
-    ordered = events.repartition("kind", "key").sortWithinPartitions("kind", "key", "moment", "seq")
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // DEALT))
+    ordered = events.repartition(tasks, "kind", "key").sortWithinPartitions("kind", "key", "moment", "seq")
     return ordered.mapInPandas(fold, CHANGE)

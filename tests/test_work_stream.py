@@ -71,6 +71,23 @@ def test_replay_equals_the_set_based_steps(spark, duck, same):
     same(work_queries.work_replayed(spark, SMALL).toPandas(), duck.execute(work_queries.ORACLES["work_settled"]).df())
 
 
+def test_replay_is_dealt_by_its_events(spark):
+    """Of an item's changes the last, over batches too; tasks grow with the events, not only with their packed size."""
+    events = spark.createDataFrame(made(), ws.EVENT)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        kept = {}
+        for r in sorted(ws.replay(events).collect(), key=lambda r: (r["moment"], r["seq"])):
+            kept[r["kind"], r["key"]] = r
+        found = ws.replay(events, last=True).collect()
+        assert sorted(map(str, found)) == sorted(map(str, kept.values())) and len(found) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(1_000_000).selectExpr(*[{"kind": "'detail'", "key": "id", "moment": "0L", "seq": "0L", "event": "'enqueue'"}.get(c.split(" ")[0], f"cast(null as {c.split(' ')[1]})") + f" as {c.split(' ')[0]}" for c in ws.EVENT.split(", ")])
+    plan = ws.replay(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("RepartitionByExpression" in line and "], 16" in line for line in plan.splitlines())
+
+
 def test_unknown_code_is_an_error(spark):
     rows = [event(1, 0, 0, "enqueue", payload="{}"), event(1, 1, 1, "retry", code="nonsense")]
     with pytest.raises(Exception, match="unknown outcome code"):
