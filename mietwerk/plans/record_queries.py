@@ -51,10 +51,9 @@ def invalid_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def absorbed_listings(spark: SparkSession, d: str) -> DataFrame:
     """Groups of more than one advert, each field with its last known value."""
-    from mietwerk.plans.text_queries import _adverts
+    from mietwerk.plans.text_queries import _plain
 
-    adverts = _adverts(spark, d)
-    matches = cl.best_match(cl.judged_pairs(adverts, cl.exact_matches(adverts, cl.claims(adverts))))
+    adverts, matches = cl.matched(_plain(spark, d), exact=True)
     return cl.absorb(adverts, cl.roots(matches)).where("members > 1").select("root", "title", "price", "size", "first_seq", "members")
 
 
